@@ -61,8 +61,25 @@ def percent(value: Column, total: Column) -> Column:
 
 
 def fixed_text(value: Column, digits: int) -> Column:
-    """Decimal text, ties to even as in IEEE printing."""
-    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+    """Decimal text rounded from the exact binary value, ties to even.
+
+    Formatting functions round the shortest decimal form instead, which differs
+    for values such as 0.0000055. Near a tie the exact product ``2 * 10^digits *
+    value`` is compared with the odd integer it would equal: the value is split
+    in two halves whose products are exact in double arithmetic.
+    """
+    x = F.abs(value.cast("double"))
+    scale = 10.0 ** digits
+    low = F.floor(x * scale).cast("double")
+    carry = x * 134217729.0
+    high = carry - (carry - x)
+    side = (high * (2 * scale) - (low * 2 + 1)) + (x - high) * (2 * scale)
+    is_odd = low % 2 == 1
+    nearest = F.when((side > 0) | ((side == 0) & is_odd), low + 1).otherwise(low) / scale
+    # Beyond 2^51 units the last digit is below the precision of a double.
+    rounded = F.when(x * scale < 2.0 ** 51, nearest).otherwise(x)
+    text = F.format_string(f"%.{digits}f", rounded)
+    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def number_text(value: Column) -> Column:

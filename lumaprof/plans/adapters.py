@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lumaprof.functions.classify import child_class, word_class
 from lumaprof.operators import counters, lines, resolve, sampling
+from lumaprof.plans.line_report import Profile, kept
 from lumaprof.sources.source_text import numbered_lines
 
 TAG = 1 << 62
@@ -85,10 +86,18 @@ class Views:
         return self.spe.select("mapping_id", "ip", "word").distinct().select("mapping_id", "ip", found.alias("c")).select(
             "mapping_id", "ip", "c.*")
 
+    @cached_property
+    def spe_classified(self) -> DataFrame:
+        samples = sampling.with_category(self.spe).withColumn("_c", word_class(F.col("word"))).select("*", "_c.*").drop("_c")
+        return samples.withColumn("child", child_class(F.col("category"), F.col("class")))
+
     @cached_property
     def spe_base(self) -> DataFrame:
-        samples = sampling.with_category(self.spe).withColumn("_c", word_class(F.col("word"))).select("*", "_c.*")
-        return sampling.base_frequency(samples.withColumn("child", child_class(F.col("category"), F.col("class"))))
+        return kept(sampling.base_frequency(self.spe_classified))
+
+    @cached_property
+    def profile(self) -> Profile:
+        return Profile(self.samples, self.maps, self.matches, self.line_table, self.source, self.spe_classified)
 
     # --- maps, symbols, lines ------------------------------------------------
 
@@ -151,15 +160,15 @@ class Views:
 
     @cached_property
     def by_address(self) -> DataFrame:
-        return counters.by_address(self.samples)
+        return kept(counters.by_address(self.samples))
 
     @cached_property
     def pmu_placed(self) -> DataFrame:
-        return resolve.address_lines(self.by_address, self.maps, self.matches, self.line_table)
+        return kept(resolve.address_lines(self.by_address, self.maps, self.matches, self.line_table))
 
     @cached_property
     def spe_placed(self) -> DataFrame:
-        return resolve.address_lines(self.spe, self.maps, self.matches, self.line_table)
+        return kept(resolve.address_lines(self.spe, self.maps, self.matches, self.line_table))
 
     # --- callstacks ------------------------------------------------------------
 

@@ -8,9 +8,11 @@ from lumaprof.functions import address as A
 from lumaprof.functions import metric_value as M
 from lumaprof.functions import paths as P
 from lumaprof.functions import text as X
-from lumaprof.operators import counters, lines, resolve, stack_text
+from lumaprof.operators import counters, lines, resolve, sampling, stack_text
 from lumaprof.plans.adapters import PLAN
+from lumaprof.plans.line_report import Profile, line_rows
 from lumaprof.plans.registry import query, r6, rounded
+from lumaprof.plans.sql_views import number_text
 
 MASK = (1 << 56) - 1
 ADDRESS_SUMS = "self_weight, self_samples, acc_weight, acc_samples"
@@ -138,8 +140,6 @@ def lines_with_source(v):
         UNION ALL SELECT file, line, 0, count(*) FROM v_spe JOIN v_placed USING (mapping_id, ip) WHERE file IS NOT NULL GROUP BY file, line)
     GROUP BY file, line""")
 def both_lanes(v):
-    from lumaprof.operators import sampling
-
     pmu = lines.counter_rows(lines.counters_by_line(v.by_address, v.pmu_placed)).select(
         "file", "line", F.col("sample_count").alias("p"), F.lit(0).alias("s"))
     spe = lines.spe_counters_by_line(sampling.by_address(v.spe), v.spe_placed).select(
@@ -256,13 +256,6 @@ def sampling_period(v):
 
 # --- finished line rows ----------------------------------------------------------
 
-def line_report(v):
-    """Line rows of both lanes: weights, names, ids, counter and sampling metrics, status, percentages."""
-    from lumaprof.plans.line_report import build
-
-    return build(v)
-
-
 _LINE_ROWS = """
     SELECT coalesce(s.file, c.file) AS file, coalesce(s.line, c.line)::INTEGER AS line, coalesce(s.code, '') AS code,
         coalesce(n.function, '') AS function, coalesce(n.module, '') AS module,
@@ -291,14 +284,8 @@ LINES_SQL = f"""
 
 
 def counter_lines(v):
-    """Line rows of the counter lane alone, with empty sampling maps."""
-    rows = lines.counter_rows(lines.counters_by_line(v.by_address, v.pmu_placed))
-    names = lines.line_names(v.pmu_placed.withColumn("lane", F.lit(0)))
-    ids = lines.line_ids(counters.ids_by_address(v.samples), v.pmu_placed)
-    sampled = rows.join(names, ["file", "line"]).join(ids, ["file", "line"])
-    for column in lines.METRIC_MAPS[1:]:
-        sampled = sampled.withColumn(column, F.lit(None).cast(f"map<string,{M.TYPE}>"))
-    return lines.finish(lines.with_source(sampled, v.source), PLAN)
+    """Line rows of the counter lane alone."""
+    return line_rows(Profile(v.samples, v.maps, v.matches, v.line_table, v.source), PLAN)
 
 
 @query("m20_line_percentages", LINES_SQL + """
@@ -354,14 +341,30 @@ def typed_functions(v):
     return rounded(rows.withColumn("hot_lines", F.array_join(F.col("hot_lines").cast("array<string>"), ",")))
 
 
-@query("p19_p20_row_status_and_detail", LINES_SQL + """
-    SELECT file, line, status, length(detail) - length(replace(detail, ';', '')) AS separators, left(detail, position(';' IN detail) - 1) AS first_part
-    FROM (SELECT *, 'branch_mispredict=Missing; branch_miss_rate=Missing;;;;;;;;;;;' AS detail FROM line_rows)""")
+def _share(column):
+    return number_text(f"CASE WHEN sample_count > 0 THEN {column} / sample_count ELSE 0 END")
+
+
+def _or_undefined(bottom, value):
+    return f"CASE WHEN {bottom} = 0 THEN 'Undefined' ELSE {number_text(value)} END"
+
+
+_TEXTS = f"""
+    texts AS (
+        SELECT *, {_or_undefined("n_inst", "n_cycles / n_inst")} AS cpi, {_or_undefined("n_inst", "n_refill / n_inst * 1000")} AS mpki,
+            {_or_undefined("n_access", "greatest(n_access - n_refill, 0) / n_access")} AS hit,
+            {number_text("n_inst / 2e0 / 1e6")} AS mips, {number_text("n_cycles / 2e0 / 1e6")} AS mcps, {_share("n_branch")} AS branch,
+            {_share("n_cycles")} AS cycles, {_share("n_inst")} AS inst, {_share("n_access")} AS access, {_share("n_refill")} AS refill
+        FROM line_rows)"""
+
+
+@query("p19_p20_row_status_and_detail", LINES_SQL + "," + _TEXTS + """
+    SELECT file, line, status, 'branch_mispredict=Missing; branch_miss_rate=Missing; branch_retired=' || branch || '; cpi=' || cpi
+        || '; cpu_cycles=' || cycles || '; inst_retired=' || inst || '; l1d_cache_access=' || access || '; l1d_cache_hit_rate=' || hit
+        || '; l1d_cache_refill=' || refill || '; l2d_cache_hit_rate=Missing; l3d_cache_hit_rate=Missing; mcps=' || mcps || '; mips=' || mips
+        || '; mpki=' || mpki AS detail FROM texts""")
 def status_and_detail(v):
-    rows = counter_lines(v)
-    parts = F.split("detail", "; ")
-    return rows.select("file", "line", "status", (F.size(parts) - 1).alias("separators"),
-                       F.element_at(F.array_sort(F.filter(parts, lambda p: p.startswith("branch_mispredict"))), 1).alias("first_part"))
+    return counter_lines(v).select("file", "line", "status", "detail")
 
 
 @query("p4_metric_texts", LINES_SQL + """
@@ -373,13 +376,11 @@ def metric_texts(v):
 
 
 @query("p21_status_flags", LINES_SQL + """
-    SELECT file, line, array_to_string(list_filter(
-        CASE WHEN n_branch = 0 OR sample_count = 0 THEN ['missing', CASE WHEN n_inst = 0 THEN 'undefined' END, nz] ELSE ['missing', CASE WHEN n_branch > 0 THEN 'nonzero' END, CASE WHEN n_inst = 0 OR n_access = 0 THEN 'undefined' END] END,
-        x -> x IS NOT NULL), '|') AS sorted_flags
-    FROM (SELECT *, CASE WHEN n_cycles > 0 THEN 'nonzero' END AS nz FROM line_rows) WHERE false""")
+    SELECT file, line, CASE WHEN n_branch + n_inst > 0 THEN 'missing|nonzero' || CASE WHEN n_inst = 0 OR n_access = 0 THEN '|undefined' ELSE '' END
+        ELSE 'missing|undefined' || CASE WHEN n_cycles + n_access + n_refill > 0 THEN '|nonzero' ELSE '' END END AS flags FROM line_rows""")
 def status_flags(v):
     maps = [F.col("pmu_values"), F.col("spe_values")]
-    return counter_lines(v).filter("false").select("file", "line", F.array_join(M.status_flags(maps), "|").alias("sorted_flags"))
+    return counter_lines(v).select("file", "line", F.array_join(M.status_flags(maps), "|").alias("flags"))
 
 
 # --- stacks as text -----------------------------------------------------------------

@@ -40,6 +40,12 @@ def _word_class(w: str) -> str:
     return f"{klass} AS class, {kind} AS kind"
 
 
+def number_text(value: str) -> str:
+    """Printed number: whole values without decimals, others with six."""
+    x = f"({value})::DOUBLE"
+    return f"CASE WHEN {x} = floor({x}) THEN printf('%.0f', {x}) ELSE printf('%.6f', {x}) END"
+
+
 def stats_sql(freq: str, keys: str) -> str:
     """Latency statistics of a frequency view ``freq`` grouped by ``keys``."""
     on = " AND ".join(f"r.{k.strip()} IS NOT DISTINCT FROM t.{k.strip()}" for k in keys.split(","))

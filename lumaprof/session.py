@@ -23,6 +23,7 @@ def local_session(app: str, cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in REQUIRED.items():
         builder = builder.config(key, value)
