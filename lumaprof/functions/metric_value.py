@@ -68,7 +68,16 @@ def fixed_text(value: Column, digits: int) -> Column:
     value`` is compared with the odd integer it would equal: the value is split
     in two halves whose products are exact in double arithmetic.
     """
-    x = F.abs(value.cast("double"))
+    return bound(value.cast("double"), lambda v: _rounded_text(v, digits))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
+def _rounded_text(value: Column, digits: int) -> Column:
+    x = F.abs(value)
     scale = 10.0 ** digits
     low = F.floor(x * scale).cast("double")
     carry = x * 134217729.0
@@ -79,21 +88,18 @@ def fixed_text(value: Column, digits: int) -> Column:
     # Beyond 2^51 units the last digit is below the precision of a double.
     rounded = F.when(x * scale < 2.0 ** 51, nearest).otherwise(x)
     text = F.format_string(f"%.{digits}f", rounded)
-    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(value < 0, F.concat(F.lit("-"), text)).when(value.isNotNull(), text)
 
 
 def number_text(value: Column) -> Column:
-    return F.when(value == F.floor(value), fixed_text(value, 0)).otherwise(fixed_text(value, 6))
+    return bound(value.cast("double"), lambda v: F.when(v == F.floor(v), _rounded_text(v, 0)).otherwise(_rounded_text(v, 6)))
 
 
 
 def metric_text(metric: Column) -> Column:
     """The printed form; an absent metric prints as 0."""
-    return (
-        F.when(metric.isNull(), F.lit("0"))
-        .when(metric["state"] == "number", number_text(metric["value"]))
-        .otherwise(F.initcap(metric["state"]))
-    )
+    return bound(metric, lambda m: F.when(m.isNull(), F.lit("0")).when(
+        m["state"] == "number", number_text(m["value"])).otherwise(F.initcap(m["state"])))
 
 
 def metric_number(metric: Column) -> Column:

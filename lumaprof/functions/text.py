@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumaprof.functions.metric_value import fixed_text, metric_text
+from lumaprof.functions.metric_value import bound, fixed_text, metric_text
 from lumaprof.functions.names import SPE_COLUMNS
 
 
@@ -43,8 +43,7 @@ def id_list_text(ids: Column) -> Column:
 
 def summary_text(key: Column, value: Column) -> Column:
     """Percent keys, latency bounds and plain numbers each have their precision."""
-    large = F.abs(value) >= 1000.0
-    scaled = F.when(large, fixed_text(value, 0)).otherwise(fixed_text(value, 3))
+    scaled = bound(value, lambda v: F.when(F.abs(v) >= 1000.0, fixed_text(v, 0)).otherwise(fixed_text(v, 3)))
     return (
         F.when(key.endswith("_pct"), F.concat(scaled, F.lit("%")))
         .when(key.endswith("min_latency_cycles") | key.endswith("max_latency_cycles"),
@@ -55,12 +54,8 @@ def summary_text(key: Column, value: Column) -> Column:
 
 def is_zero_text(text: Column) -> Column:
     """Does a printed summary show nothing: blank, a state name, or zero."""
-    bare = F.regexp_replace(F.trim(text), "%+$", "")
-    return (
-        (F.trim(text) == "")
-        | text.isin("N/A", "Missing", "Unresolved")
-        | F.coalesce(bare.try_cast("double") == 0.0, F.lit(False))
-    )
+    return bound(text, lambda t: (F.trim(t) == "") | t.isin("N/A", "Missing", "Unresolved") | F.coalesce(
+        F.regexp_replace(F.trim(t), "%+$", "").try_cast("double") == 0.0, F.lit(False)))
 
 
 def record_time(epoch_seconds: Column) -> Column:

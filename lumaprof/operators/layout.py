@@ -19,7 +19,8 @@ def calls_below(stacks: DataFrame, func: Column, reverse: bool = False) -> DataF
     """
     walk = F.col("calls") if reverse else F.reverse("calls")
     at = F.array_position(F.transform(walk, lambda c: c["func"]), func)
-    cut = F.slice(walk, at.cast("int"), F.size(walk))
+    # Position 0 means absent; such stacks are filtered out, but may be evaluated first.
+    cut = F.slice(walk, F.greatest(at.cast("int"), F.lit(1)), F.size(walk))
     return stacks.filter(F.exists("calls", lambda c: c["func"] == func)).withColumn(
         "calls", cut if reverse else F.reverse(cut))
 

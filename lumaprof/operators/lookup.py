@@ -107,8 +107,8 @@ def dense_ids(df: DataFrame, order: Sequence[str], split: str, name: str, slices
     """
     shares = [i / slices for i in range(1, slices)]
     cuts = df.agg(F.percentile_approx(split, shares)).scalar()
-    slice_no = F.size(F.filter(cuts, lambda cut: cut < F.col(split)))
-    sliced = df.withColumn("_slice", slice_no)
+    slice_no = F.size(F.filter("_cuts", lambda cut: cut < F.col(split)))
+    sliced = df.withColumn("_cuts", cuts).withColumn("_slice", slice_no).drop("_cuts")
     counts = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     # At most `slices` rows from here: one small window and a bounded broadcast.
     starts = counts.select("_slice", (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_start"))

@@ -258,7 +258,7 @@ def sampling_period(v):
 
 _LINE_ROWS = """
     SELECT coalesce(s.file, c.file) AS file, coalesce(s.line, c.line)::INTEGER AS line, coalesce(s.code, '') AS code,
-        coalesce(n.function, '') AS function, coalesce(n.module, '') AS module,
+        coalesce(n.function, '') AS function, coalesce(n.module, '') AS module, coalesce(i.cpu, '') AS cpu, coalesce(i.thread, '') AS thread,
         coalesce(c.sample_count, 0)::BIGINT AS sample_count, coalesce(c.self_weight, 0)::DOUBLE AS self_weight,
         coalesce(c.accumulated_weight, 0)::DOUBLE AS accumulated_weight,
         coalesce(c.n_cycles, 0) AS n_cycles, coalesce(c.n_inst, 0) AS n_inst, coalesce(c.n_access, 0) AS n_access,
@@ -266,7 +266,9 @@ _LINE_ROWS = """
     FROM v_source s FULL JOIN v_counter_rows c ON c.file = s.file AND c.line = s.line
     LEFT JOIN (SELECT file, line, coalesce(first(function ORDER BY mapping_id, ip) FILTER (function <> ''), '') AS function,
         first(module_id ORDER BY mapping_id, ip) AS module FROM v_placed WHERE file IS NOT NULL GROUP BY file, line) n
-        ON n.file = c.file AND n.line = c.line"""
+        ON n.file = c.file AND n.line = c.line
+    LEFT JOIN (SELECT file, line, array_to_string(list_sort(list(DISTINCT cpu)), ',') AS cpu, array_to_string(list_sort(list(DISTINCT tid)), ',') AS thread
+        FROM v_hits JOIN v_placed USING (mapping_id, ip) WHERE file IS NOT NULL GROUP BY file, line) i ON i.file = c.file AND i.line = c.line"""
 # Derived metrics lack branch and cache inputs, so every row has a missing one; rows without
 # instructions or accesses have undefined ratios.
 _STATUS = """
@@ -349,7 +351,7 @@ def _or_undefined(bottom, value):
     return f"CASE WHEN {bottom} = 0 THEN 'Undefined' ELSE {number_text(value)} END"
 
 
-_TEXTS = f"""
+TEXTS_SQL = f"""
     texts AS (
         SELECT *, {_or_undefined("n_inst", "n_cycles / n_inst")} AS cpi, {_or_undefined("n_inst", "n_refill / n_inst * 1000")} AS mpki,
             {_or_undefined("n_access", "greatest(n_access - n_refill, 0) / n_access")} AS hit,
@@ -358,11 +360,14 @@ _TEXTS = f"""
         FROM line_rows)"""
 
 
-@query("p19_p20_row_status_and_detail", LINES_SQL + "," + _TEXTS + """
-    SELECT file, line, status, 'branch_mispredict=Missing; branch_miss_rate=Missing; branch_retired=' || branch || '; cpi=' || cpi
+DETAIL_SQL = """'branch_mispredict=Missing; branch_miss_rate=Missing; branch_retired=' || branch || '; cpi=' || cpi
         || '; cpu_cycles=' || cycles || '; inst_retired=' || inst || '; l1d_cache_access=' || access || '; l1d_cache_hit_rate=' || hit
         || '; l1d_cache_refill=' || refill || '; l2d_cache_hit_rate=Missing; l3d_cache_hit_rate=Missing; mcps=' || mcps || '; mips=' || mips
-        || '; mpki=' || mpki AS detail FROM texts""")
+        || '; mpki=' || mpki"""
+
+
+@query("p19_p20_row_status_and_detail", LINES_SQL + "," + TEXTS_SQL + f"""
+    SELECT file, line, status, {DETAIL_SQL} AS detail FROM texts""")
 def status_and_detail(v):
     return counter_lines(v).select("file", "line", "status", "detail")
 
