@@ -98,7 +98,7 @@ def function_rows(stacks: DataFrame, keys: Sequence[str] = tuple(THREAD)) -> Dat
     """Per thread and function: leaf samples and weight, and the weight of stacks holding it (once each)."""
     leaf = F.element_at("calls", 1)["func"]
     distinct = F.array_distinct("calls")
-    rows = stacks.select(*keys, "weight", "samples", leaf.alias("_leaf"), F.explode(distinct).alias("c"))
+    rows = stacks.select(*keys, "weight", "samples", leaf.alias("_leaf"), F.explode_outer(distinct).alias("c"))
     own = F.col("c.func") == F.col("_leaf")
     return rows.groupBy(*keys, F.col("c.lib").alias("lib"), F.col("c.func").alias("func"), F.col("c.name").alias("name")).agg(
         F.sum(F.when(own, F.col("samples")).otherwise(0)).alias("sample_count"),
@@ -111,47 +111,51 @@ def library_rows(functions: DataFrame, keys: Sequence[str] = tuple(THREAD)) -> D
     return functions.groupBy(*keys, "lib").agg(F.sum("self").alias("self"))
 
 
-def _roll(calls: Column) -> Column:
+NODE = "struct<a:bigint,b:bigint>"
+
+
+def _roll(calls: Column, named: bool) -> Column:
     """Nodes of one path from the root on; a node is the pair of rolling hashes of its prefix.
 
     Two independent 64-bit hashes make an accidental merge of two prefixes
     practically impossible, and keep a node at 16 bytes whatever its depth.
+    ``named`` also rolls the function names, for same-name merging.
     """
     zero = F.lit(0).cast("bigint")
 
     def key(a: Column, b: Column) -> Column:
         return F.struct(a.alias("a"), b.alias("b"))
 
-    fields = "depth:int,func:bigint,name:string,node:struct<a:bigint,b:bigint>,parent:struct<a:bigint,b:bigint>"
-    fields += ",name_node:struct<a:bigint,b:bigint>"
-    start = F.struct(
-        key(zero, zero).alias("node"), key(zero, zero).alias("name_node"),
-        F.array().cast(f"array<struct<{fields}>>").alias("nodes"))
+    fields = f"depth:int,func:bigint,name:string,node:{NODE},parent:{NODE}" + (f",name_node:{NODE}" if named else "")
+    rolled = ["node", "name_node"] if named else ["node"]
+    start = F.struct(*[key(zero, zero).alias(r) for r in rolled], F.array().cast(f"array<struct<{fields}>>").alias("nodes"))
 
     def step(acc: Column, call: Column) -> Column:
-        def grow(prev: Column, item: Column) -> Column:
-            return key(F.xxhash64(prev["a"], item), F.xxhash64(prev["b"], item, F.lit("b")))
-
-        node = grow(acc["node"], call["func"])
-        name_node = grow(acc["name_node"], call["name"])
-        row = F.struct(
-            (F.size(acc["nodes"]) + 1).alias("depth"), call["func"].alias("func"), call["name"].alias("name"),
-            node.alias("node"), acc["node"].alias("parent"), name_node.alias("name_node"))
-        return F.struct(node.alias("node"), name_node.alias("name_node"),
-                        F.concat(acc["nodes"], F.array(row)).alias("nodes"))
+        grown = [key(F.xxhash64(acc[r]["a"], call[item]), F.xxhash64(acc[r]["b"], call[item], F.lit("b"))).alias(r)
+                 for r, item in zip(rolled, ("func", "name"))]
+        row = F.struct((F.size(acc["nodes"]) + 1).alias("depth"), call["func"].alias("func"), call["name"].alias("name"),
+                       grown[0], acc["node"].alias("parent"), *grown[1:])
+        return F.struct(*grown, F.concat(acc["nodes"], F.array(row)).alias("nodes"))
 
     return F.aggregate(calls, start, step, lambda acc: acc["nodes"])
 
 
-def _node_rows(stacks: DataFrame, keys: Sequence[str], reverse: bool, with_path: bool) -> DataFrame:
+def rolled_stacks(stacks: DataFrame, reverse: bool, named: bool) -> DataFrame:
     calls = F.col("calls") if reverse else F.reverse("calls")
-    rolled = stacks.withColumn("_nodes", _roll(calls)).withColumn("_size", F.size("_nodes"))
-    path = []
-    if with_path:
-        rolled = rolled.withColumn("_path", F.col("_nodes.node")).withColumn("_name_path", F.col("_nodes.name_node"))
-        path = ["_path", "_name_path"]
-    return rolled.select(*keys, "weight", "_size", *path, F.explode("_nodes").alias("n")).select(
-        *keys, "weight", (F.col("n.depth") == F.col("_size")).alias("_last"), *path, "n.*")
+    return stacks.withColumn("_nodes", _roll(calls, named))
+
+
+def node_rows(stacks: DataFrame, keys: Sequence[str], reverse: bool = False, named: bool = False) -> DataFrame:
+    """One row per (stack, prefix); ``_stack`` is a hash of the whole stack.
+
+    The outer explode keeps the optimizer from inferring a filter on the
+    rolled array, which it would evaluate again on every raw sample.
+    """
+    rolled = rolled_stacks(stacks, reverse, named)
+    return rolled.select(
+        *keys, "weight", F.size("_nodes").alias("_size"), F.xxhash64("calls").alias("_stack"),
+        F.explode_outer("_nodes").alias("n")).filter("n IS NOT NULL").select(
+        *keys, "weight", "_stack", (F.col("n.depth") == F.col("_size")).alias("_last"), "n.*")
 
 
 def call_tree(stacks: DataFrame, keys: Sequence[str] = tuple(THREAD), reverse: bool = False) -> DataFrame:
@@ -159,7 +163,7 @@ def call_tree(stacks: DataFrame, keys: Sequence[str] = tuple(THREAD), reverse: b
 
     ``self`` is the weight of stacks ending at the node, ``subtree`` of all stacks through it.
     """
-    rows = _node_rows(stacks, keys, reverse, with_path=False)
+    rows = node_rows(stacks, keys, reverse)
     return rows.groupBy(*keys, "node", "parent", "depth", "func", "name").agg(
         F.sum(F.when(F.col("_last"), F.col("weight")).otherwise(0)).alias("self"),
         F.sum("weight").alias("subtree"))

@@ -21,7 +21,7 @@ def address_hits(samples: DataFrame) -> DataFrame:
     """One row per touched address: the sampled one, and every caller under the same mapping id."""
     ips = F.concat(F.array(F.col("ip")), F.col("callchain"))
     return samples.select(
-        "mapping_id", F.posexplode(ips).alias("_pos", "ip"), "event_key", "cpu", "tid", "period")
+        "mapping_id", F.posexplode_outer(ips).alias("_pos", "ip"), "event_key", "cpu", "tid", "period")
 
 
 def by_address(samples: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def frame_functions(placed: DataFrame, threads: DataFrame) -> DataFrame:
     """Self (leaf) and subtree (distinct in the stack) period per frame and function."""
     rows = placed.join(threads.select(*THREAD), THREAD, "left_semi").select(
         *THREAD, "frame_idx", "period", F.get("funcs", F.lit(0)).alias("_leaf"),
-        F.explode(F.array_distinct("funcs")).alias("func"))
+        F.explode_outer(F.array_distinct("funcs")).alias("func"))
     return rows.groupBy(*THREAD, "frame_idx", "func").agg(
         F.sum(F.when(F.col("func") == F.col("_leaf"), F.col("period")).otherwise(0)).alias("self"),
         F.sum("period").alias("subtree"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaprof.functions.names import MIN_FLAME_WIDTH_PCT
-from lumaprof.operators.callstacks import THREAD, _node_rows
+from lumaprof.operators.callstacks import THREAD, node_rows, rolled_stacks
 
 
 def calls_below(stacks: DataFrame, func: Column, reverse: bool = False) -> DataFrame:
@@ -25,52 +25,60 @@ def calls_below(stacks: DataFrame, func: Column, reverse: bool = False) -> DataF
         "calls", cut if reverse else F.reverse(cut))
 
 
-def _name_groups(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Nodes by name path, wide enough to show, with the depth at which merging stops.
+def _with_paths(groups: DataFrame, stacks: DataFrame, keys: Sequence[str], reverse: bool) -> DataFrame:
+    """Groups with the node and name-node paths of their representative stack.
 
-    Equal names merge among the roots and under a merged node, but not under a
-    single node; ``single_depth`` is the first depth on the path that holds one node.
+    Only representative stacks are rolled again. ``rep`` is a hash, so the
+    path is checked to lead through the group's own name node.
     """
-    groups = rows.groupBy(*keys, "name_node", "depth").agg(
-        F.sum("weight").alias("subtree"), F.min("node").alias("_a"), F.max("node").alias("_b"),
-        F.any_value("_name_path").alias("_name_path"), F.any_value("_path").alias("_path"))
-    total = groups.filter("depth = 1").groupBy(*keys).agg(F.sum("subtree").alias("total"))
-    shown = groups.join(total, list(keys)).filter(
-        F.col("subtree") * 100.0 / F.col("total") >= MIN_FLAME_WIDTH_PCT)
-    single = shown.select(*keys, F.col("name_node").alias("_ancestor"),
-                          F.when(F.col("_a") == F.col("_b"), F.col("depth")).alias("_single"))
-    reached = (
-        shown.select(*keys, "name_node", "depth", F.explode(F.slice("_name_path", F.lit(1), F.col("depth"))).alias("_ancestor"))
-        .join(single, [*keys, "_ancestor"])
-        .groupBy(*keys, "name_node").agg(F.min("_single").alias("single_depth")))
-    return shown.join(reached, [*keys, "name_node"]).withColumn(
-        "single_depth", F.coalesce("single_depth", "depth"))
+    wanted = groups.select(*keys, "rep").distinct()
+    chosen = stacks.withColumn("rep", F.xxhash64("calls")).join(wanted, [*keys, "rep"], "left_semi")
+    paths = rolled_stacks(chosen, reverse, named=True).select(
+        *keys, "rep", F.col("_nodes.node").alias("path"), F.col("_nodes.name_node").alias("name_path"))
+    return groups.join(paths, [*keys, "rep"]).filter(F.get("name_path", F.col("depth") - 1) == F.col("name_node"))
 
 
 def flame(stacks: DataFrame, keys: Sequence[str] = tuple(THREAD), reverse: bool = False) -> DataFrame:
-    """Kept nodes with depth (from 0), width and x in percent.
+    """Kept boxes with depth (from 0), width and x in percent.
 
-    A node narrower than the minimum goes with its subtree and takes no room.
-    At most ``100 / minimum`` nodes are kept per graph and depth, so everything
-    after the first filter is small; the expensive step is the one aggregation.
+    Equal names merge among the roots and under a merged box, but not under a
+    box of one node. A box narrower than the minimum goes with its subtree and
+    takes no room, so at most ``100 / minimum`` boxes remain per graph and
+    depth and every step after the first aggregation works on those.
     """
-    rows = _node_rows(stacks, keys, reverse, with_path=True)
-    groups = _name_groups(rows, keys)
-    wanted = groups.select(*keys, "name_node", "single_depth", "total")
-    # Merged groups are named by their name path, nodes below a single node by their own path.
-    frozen = F.col("depth") > F.col("single_depth")
-    own_path = F.concat(
-        F.slice("_name_path", F.lit(1), F.least(F.col("single_depth"), F.col("depth"))),
-        F.slice("_path", F.least(F.col("single_depth"), F.col("depth")) + 1,
-                F.greatest(F.col("depth") - F.col("single_depth"), F.lit(0))))
-    visual = (
-        rows.join(wanted, [*keys, "name_node"])
-        .withColumn("box", F.when(frozen, F.col("node")).otherwise(F.col("name_node")))
-        .groupBy(*keys, "box", "depth", "name", "total").agg(
-            F.sum("weight").alias("subtree"), F.min("func").alias("func"), F.any_value(own_path).alias("_boxes")))
-    width = F.col("subtree") * 100.0 / F.col("total")
-    kept = visual.withColumn("width", width).filter(F.col("width") >= MIN_FLAME_WIDTH_PCT).withColumn(
-        "parent_box", F.when(F.col("depth") > 1, F.element_at("_boxes", (F.col("depth") - 1).cast("int"))))
+    keys = list(keys)
+    nodes = node_rows(stacks, keys, reverse, named=True).groupBy(*keys, "node", "name_node", "depth", "func", "name").agg(
+        F.sum("weight").alias("subtree"), F.min("_stack").alias("rep"))
+
+    # Groups of one name path that are wide enough to show, each with one stack that runs through it.
+    groups = nodes.groupBy(*keys, "name_node", "depth").agg(
+        F.sum("subtree").alias("subtree"), F.count(F.lit(1)).alias("nodes"), F.min("rep").alias("rep"))
+    total = groups.filter("depth = 1").groupBy(*keys).agg(F.sum("subtree").alias("total"))
+    shown = groups.join(total, keys).filter(F.col("subtree") * 100.0 / F.col("total") >= MIN_FLAME_WIDTH_PCT)
+
+    # Merging stops at the first depth of the path that holds a single node.
+    name_path = _with_paths(shown, stacks, keys, reverse).select(
+        *keys, "name_node", F.explode(F.slice("name_path", F.lit(1), F.col("depth"))).alias("_ancestor"))
+    single = shown.select(*keys, F.col("name_node").alias("_ancestor"),
+                          F.when(F.col("nodes") == 1, F.col("depth")).alias("_single"))
+    stops = name_path.join(single, [*keys, "_ancestor"]).groupBy(*keys, "name_node").agg(F.min("_single").alias("_stop"))
+    merged = shown.select(*keys, "name_node", "total").join(stops, [*keys, "name_node"])
+
+    # Merged boxes are named by their name path, boxes below a single node by their own path.
+    stop = F.coalesce("_stop", "depth")
+    boxes = (
+        nodes.join(merged, [*keys, "name_node"]).withColumn("_stop", stop)
+        .withColumn("box", F.when(F.col("depth") > F.col("_stop"), F.col("node")).otherwise(F.col("name_node")))
+        .groupBy(*keys, "box", "depth", "name", "total", "_stop").agg(
+            F.sum("subtree").alias("subtree"), F.min("func").alias("func"), F.min("rep").alias("rep"), F.min("name_node.a").alias("_a"), F.min("name_node.b").alias("_b"))
+        .withColumn("name_node", F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))))
+    kept = boxes.withColumn("width", F.col("subtree") * 100.0 / F.col("total")).filter(
+        F.col("width") >= MIN_FLAME_WIDTH_PCT)
+    upper = F.least("_stop", "depth")
+    chain = F.concat(F.slice("name_path", F.lit(1), upper), F.slice("path", upper + 1, F.col("depth") - upper))
+    kept = _with_paths(kept, stacks, keys, reverse).withColumn("_boxes", chain).withColumn(
+        "parent_box", F.when(F.col("depth") > 1, F.get("_boxes", F.col("depth") - 2)))
+
     earlier = Window.partitionBy(*keys, "parent_box").orderBy("name", "func").rowsBetween(Window.unboundedPreceding, -1)
     kept = kept.withColumn("offset", F.coalesce(F.sum("width").over(earlier), F.lit(0.0)))
     steps = kept.select(*keys, F.col("box").alias("_step"), "offset")

@@ -217,10 +217,9 @@ def percentages(rows: DataFrame) -> DataFrame:
     files = rows.groupBy("file").agg(F.sum("self_weight").alias("_fs"), F.sum("accumulated_weight").alias("_fa"))
     own, acc = F.col("self_weight"), F.col("accumulated_weight")
     return (
-        rows.join(files, "file").withColumn("_t", total)
-        .withColumn("p_pct", M.percent(own, F.col("_t.s"))).withColumn("acc_p_pct", M.percent(acc, F.col("_t.a")))
-        .withColumn("file_p_pct", M.percent(own, F.col("_fs"))).withColumn("file_acc_p_pct", M.percent(acc, F.col("_fa")))
-        .drop("_t", "_fs", "_fa"))
+        rows.join(files, "file").withColumn("_t", total).select(
+            *rows.columns, M.percent(own, F.col("_t.s")).alias("p_pct"), M.percent(acc, F.col("_t.a")).alias("acc_p_pct"),
+            M.percent(own, F.col("_fs")).alias("file_p_pct"), M.percent(acc, F.col("_fa")).alias("file_acc_p_pct")))
 
 
 METRIC_MAPS = ["pmu_values", "spe_values", "instruction_values", "load_instruction_values"]
@@ -234,22 +233,20 @@ def finish(lines: DataFrame, plan: CounterPlan) -> DataFrame:
     """
     empty = F.create_map().cast(f"map<string,{M.TYPE}>")
     counts = F.coalesce("event_samples", F.create_map().cast("map<string,bigint>"))
-    rows = lines
-    for column in ("function", "module", "cpu", "thread"):
-        rows = rows.withColumn(column, F.coalesce(column, F.lit("")))
-    rows = rows.withColumn("sample_count", F.coalesce("sample_count", F.lit(0)))
-    for column in ("self_weight", "accumulated_weight"):
-        rows = rows.withColumn(column, F.coalesce(column, F.lit(0.0)))
-    rows = rows.withColumn("pmu_values", pmu_values(counts, F.col("sample_count"), plan).cast(f"map<string,{M.TYPE}>"))
-    for column in METRIC_MAPS[1:]:
-        rows = rows.withColumn(column, F.coalesce(column, empty))
+    samples = F.coalesce("sample_count", F.lit(0))
+    spe = F.coalesce("spe_values", empty)
     if not plan.spe_available:
         reason = M.missing(plan.spe_missing_reason or "SPE unavailable")
-        rows = rows.withColumn("spe_values", F.map_from_entries(F.transform(
-            F.array(*[F.lit(k) for k in spe_column_keys()]), lambda k: F.struct(k, reason))))
+        spe = F.map_from_entries(F.transform(
+            F.array(*[F.lit(k) for k in spe_column_keys()]), lambda k: F.struct(k, reason)))
+    rows = lines.select(
+        *LINE, "code", *[F.coalesce(c, F.lit("")).alias(c) for c in ("function", "module", "cpu", "thread")],
+        samples.alias("sample_count"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("self_weight", "accumulated_weight")],
+        pmu_values(counts, samples, plan).cast(f"map<string,{M.TYPE}>").alias("pmu_values"),
+        spe.alias("spe_values"), *[F.coalesce(c, empty).alias(c) for c in METRIC_MAPS[2:]])
     maps = [F.col(m) for m in METRIC_MAPS]
-    rows = rows.withColumn("status", M.row_status(maps)).withColumn("detail", M.row_detail(maps))
-    return percentages(rows.drop("event_samples"))
+    return percentages(rows).withColumns({"status": M.row_status(maps), "detail": M.row_detail(maps)})
 
 
 def summarize_files(rows: DataFrame) -> DataFrame:

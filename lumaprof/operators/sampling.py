@@ -129,7 +129,7 @@ def _long(stats: DataFrame, keys: Sequence[str], metrics: dict[str, Column]) ->
     """One row per (keys, metric)."""
     pairs = F.array(*[F.struct(F.lit(name).alias("metric"), value.alias("value"))
                       for name, value in metrics.items()])
-    return stats.select(*keys, F.inline(pairs))
+    return stats.select(*keys, F.inline_outer(pairs))
 
 
 def line_metrics(freq: DataFrame, baseline: Baseline, keys: Sequence[str] = ("file", "line")) -> DataFrame:

@@ -33,37 +33,35 @@ class Profile:
 
 @dataclass(frozen=True)
 class Placed:
-    """Address aggregates and where their addresses resolved to; everything later reads these."""
+    """Address aggregates and where their addresses resolved to; everything later reads these.
+
+    ``addresses`` has one row per distinct address with its first ``lane``.
+    """
 
     by_address: DataFrame
-    lanes: DataFrame
+    addresses: DataFrame
     spe_by_address: DataFrame | None = None
     spe_base: DataFrame | None = None
 
-    @property
-    def lines(self) -> DataFrame:
-        """One row per distinct address of either lane."""
-        return self.lanes.groupBy("mapping_id", "ip").agg(
-            F.first("file").alias("file"), F.first("line").alias("line"))
-
 
 def place(profile: Profile) -> Placed:
     """Aggregate by address first, then resolve the distinct addresses of both lanes together."""
     by_address = kept(counters.by_address(profile.samples))
-    lanes = by_address.select("mapping_id", "ip", F.lit(0).alias("lane")).distinct()
+    lanes = by_address.select("mapping_id", "ip", F.lit(0).alias("lane"))
     spe_rows = base = None
     if profile.spe is not None:
         spe_rows = kept(sampling.by_address(profile.spe))
         base = kept(sampling.base_frequency(profile.spe))
         lanes = lanes.unionByName(spe_rows.select("mapping_id", "ip", F.lit(1).alias("lane")))
-    resolved = resolve.address_lines(lanes, profile.maps, profile.matches, profile.line_table)
-    placed = kept(lanes.join(resolved, ["mapping_id", "ip"]))
-    return Placed(by_address, placed, spe_rows, base)
+    addresses = lanes.groupBy("mapping_id", "ip").agg(F.min("lane").alias("lane"))
+    resolved = resolve.address_lines(addresses, profile.maps, profile.matches, profile.line_table)
+    placed = addresses.join(resolved, ["mapping_id", "ip"]) if profile.spe is not None else resolved.withColumn("lane", F.lit(0))
+    return Placed(by_address, kept(placed), spe_rows, base)
 
 
 def spe_map(placed: Placed, plan: lines.CounterPlan) -> DataFrame:
     """Sparse sampling metric map of a line: outcome metrics and category metrics."""
-    outcome = lines.spe_line_values(lines.spe_counters_by_line(placed.spe_by_address, placed.lines))
+    outcome = lines.spe_line_values(lines.spe_counters_by_line(placed.spe_by_address, placed.addresses))
     names = [c for c in outcome.columns if c not in lines.LINE]
     fixed = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n) for n in names]))
     category = _dimension_map(placed, "category", plan)
@@ -73,25 +71,26 @@ def spe_map(placed: Placed, plan: lines.CounterPlan) -> DataFrame:
 
 
 def _dimension_map(placed: Placed, dimension: str, plan: lines.CounterPlan) -> DataFrame:
-    freq = lines.frequency_by_line(placed.spe_base, placed.lines, dimension)
+    freq = lines.frequency_by_line(placed.spe_base, placed.addresses, dimension)
     return lines.metric_map(sampling.line_metrics(freq, plan.baseline), dimension, MAPS[dimension])
 
 
 def line_rows(profile: Profile, plan: lines.CounterPlan) -> DataFrame:
     """Finished line rows: every source line, and every sampled line outside the source text."""
     placed = place(profile)
-    sampled = lines.counter_rows(lines.counters_by_line(placed.by_address, placed.lines))
+    sampled = lines.counter_rows(lines.counters_by_line(placed.by_address, placed.addresses))
     ids = counters.ids_by_address(profile.samples)
-    for column in MAPS.values():
-        sampled = sampled.withColumn(column, F.lit(None).cast(f"map<string,{M.TYPE}>")) if profile.spe is None else sampled
-    if profile.spe is not None:
+    absent = F.lit(None).cast(f"map<string,{M.TYPE}>")
+    if profile.spe is None:
+        sampled = sampled.withColumns({column: absent for column in MAPS.values()})
+    else:
         ids = ids.unionByName(sampling.ids_by_address(profile.spe))
         if plan.spe_available:
             sampled = sampled.join(spe_map(placed, plan), lines.LINE, "full_outer")
         else:
-            sampled = sampled.withColumn("spe_values", F.lit(None).cast(f"map<string,{M.TYPE}>"))
+            sampled = sampled.withColumn("spe_values", absent)
         for dimension in ("class", "kind"):
             sampled = sampled.join(_dimension_map(placed, dimension, plan), lines.LINE, "full_outer")
-    named = sampled.join(lines.line_names(placed.lanes), lines.LINE, "left").join(
-        lines.line_ids(ids, placed.lines), lines.LINE, "left")
+    named = sampled.join(lines.line_names(placed.addresses), lines.LINE, "left").join(
+        lines.line_ids(ids, placed.addresses), lines.LINE, "left")
     return lines.finish(kept(lines.with_source(named, profile.source)), plan)

@@ -281,14 +281,14 @@ def event_support_rows(v):
 # --- scalar rules ---------------------------------------------------------------------------
 
 def _metrics(v):
-    number = M.number(F.col("s_acctbal") * (F.col("s_suppkey") % 3 - 1))
+    number = M.number(F.col("s_acctbal") * (F.col("s_suppkey") % 3 - 1) + F.lit(0.0))
     value = (F.when(F.col("s_suppkey") % 5 == 0, M.missing("m")).when(F.col("s_suppkey") % 7 == 0, M.unresolved("u"))
              .when(F.col("s_suppkey") % 11 == 0, M.undefined("z")).otherwise(number))
     return v.table("supplier").withColumn("m", value)
 
 
 _METRIC_STATE = "CASE WHEN s % 5 = 0 THEN 'missing' WHEN s % 7 = 0 THEN 'unresolved' WHEN s % 11 = 0 THEN 'undefined' ELSE 'number' END"
-_METRIC_ROWS = f"""m AS (SELECT s, bal, {_METRIC_STATE} AS state, CASE WHEN {_METRIC_STATE} = 'number' THEN bal * (s % 3 - 1) END AS value
+_METRIC_ROWS = f"""m AS (SELECT s, bal, {_METRIC_STATE} AS state, CASE WHEN {_METRIC_STATE} = 'number' THEN bal * (s % 3 - 1) + 0.0 END AS value
     FROM (SELECT s_suppkey AS s, s_acctbal AS bal FROM supplier))"""
 
 
