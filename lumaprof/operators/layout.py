@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumaprof.functions.names import MIN_FLAME_WIDTH_PCT
 from lumaprof.operators.callstacks import THREAD, node_rows, rolled_stacks
+from lumaprof.operators.reuse import kept as reused
 
 
 def calls_below(stacks: DataFrame, func: Column, reverse: bool = False) -> DataFrame:
@@ -32,7 +33,7 @@ def _with_paths(groups: DataFrame, stacks: DataFrame, keys: Sequence[str], rever
     path is checked to lead through the group's own name node.
     """
     wanted = groups.select(*keys, "rep").distinct()
-    chosen = stacks.withColumn("rep", F.xxhash64("calls")).join(wanted, [*keys, "rep"], "left_semi")
+    chosen = stacks.select(*keys, "calls", F.xxhash64("calls").alias("rep")).join(wanted, [*keys, "rep"], "left_semi").distinct()
     paths = rolled_stacks(chosen, reverse, named=True).select(
         *keys, "rep", F.col("_nodes.node").alias("path"), F.col("_nodes.name_node").alias("name_path"))
     return groups.join(paths, [*keys, "rep"]).filter(F.get("name_path", F.col("depth") - 1) == F.col("name_node"))
@@ -47,14 +48,14 @@ def flame(stacks: DataFrame, keys: Sequence[str] = tuple(THREAD), reverse: bool
     depth and every step after the first aggregation works on those.
     """
     keys = list(keys)
-    nodes = node_rows(stacks, keys, reverse, named=True).groupBy(*keys, "node", "name_node", "depth", "func", "name").agg(
-        F.sum("weight").alias("subtree"), F.min("_stack").alias("rep"))
+    nodes = reused(node_rows(stacks, keys, reverse, named=True).groupBy(*keys, "node", "name_node", "depth", "func", "name").agg(
+        F.sum("weight").alias("subtree"), F.min("_stack").alias("rep")))
 
     # Groups of one name path that are wide enough to show, each with one stack that runs through it.
     groups = nodes.groupBy(*keys, "name_node", "depth").agg(
         F.sum("subtree").alias("subtree"), F.count(F.lit(1)).alias("nodes"), F.min("rep").alias("rep"))
     total = groups.filter("depth = 1").groupBy(*keys).agg(F.sum("subtree").alias("total"))
-    shown = groups.join(total, keys).filter(F.col("subtree") * 100.0 / F.col("total") >= MIN_FLAME_WIDTH_PCT)
+    shown = reused(groups.join(total, keys).filter(F.col("subtree") * 100.0 / F.col("total") >= MIN_FLAME_WIDTH_PCT))
 
     # Merging stops at the first depth of the path that holds a single node.
     name_path = _with_paths(shown, stacks, keys, reverse).select(
@@ -72,15 +73,15 @@ def flame(stacks: DataFrame, keys: Sequence[str] = tuple(THREAD), reverse: bool
         .groupBy(*keys, "box", "depth", "name", "total", "_stop").agg(
             F.sum("subtree").alias("subtree"), F.min("func").alias("func"), F.min("rep").alias("rep"), F.min("name_node.a").alias("_a"), F.min("name_node.b").alias("_b"))
         .withColumn("name_node", F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))))
-    kept = boxes.withColumn("width", F.col("subtree") * 100.0 / F.col("total")).filter(
-        F.col("width") >= MIN_FLAME_WIDTH_PCT)
+    kept = reused(boxes.withColumn("width", F.col("subtree") * 100.0 / F.col("total")).filter(
+        F.col("width") >= MIN_FLAME_WIDTH_PCT))
     upper = F.least("_stop", "depth")
     chain = F.concat(F.slice("name_path", F.lit(1), upper), F.slice("path", upper + 1, F.col("depth") - upper))
     kept = _with_paths(kept, stacks, keys, reverse).withColumn("_boxes", chain).withColumn(
         "parent_box", F.when(F.col("depth") > 1, F.get("_boxes", F.col("depth") - 2)))
 
     earlier = Window.partitionBy(*keys, "parent_box").orderBy("name", "func").rowsBetween(Window.unboundedPreceding, -1)
-    kept = kept.withColumn("offset", F.coalesce(F.sum("width").over(earlier), F.lit(0.0)))
+    kept = reused(kept.withColumn("offset", F.coalesce(F.sum("width").over(earlier), F.lit(0.0))))
     steps = kept.select(*keys, F.col("box").alias("_step"), "offset")
     x = (
         kept.select(*keys, "box", F.explode("_boxes").alias("_step")).join(steps, [*keys, "_step"])

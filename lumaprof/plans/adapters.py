@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from lumaprof.functions.classify import child_class, word_class
 from lumaprof.operators import counters, lines, resolve, sampling
-from lumaprof.plans.line_report import Profile, kept
+from lumaprof.operators.reuse import kept
+from lumaprof.plans.line_report import Profile
 from lumaprof.sources.source_text import numbered_lines
 
 TAG = 1 << 62

@@ -4,21 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaprof.functions import metric_value as M
 from lumaprof.operators import counters, lines, resolve, sampling
+from lumaprof.operators.reuse import kept
 
 MAPS = {"category": "spe_values", "class": "instruction_values", "kind": "load_instruction_values"}
 
 
-def kept(rows: DataFrame) -> DataFrame:
-    """Results that several later steps read: computed once, recomputable if an executor is lost."""
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 @dataclass(frozen=True)
 class Profile:
     """Inputs of a report. ``spe`` carries ``category, class, kind, child`` and may be absent."""

@@ -9,7 +9,7 @@ from lumaprof.operators import callstacks as R
 from lumaprof.operators import frames as G
 from lumaprof.operators import layout
 from lumaprof.operators import views
-from lumaprof.plans.line_report import kept
+from lumaprof.operators.reuse import kept
 from lumaprof.plans.registry import query, rounded
 from lumaprof.sinks import report
 from lumaprof.sources.tables import callstack_samples

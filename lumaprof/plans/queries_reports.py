@@ -12,7 +12,7 @@ from lumaprof.functions.columns import pmu_columns
 from lumaprof.operators import counters, hits, lines, quality, stack_text, views
 from lumaprof.operators.views import LineFilter
 from lumaprof.plans.adapters import EVENT_KEYS, SOURCE_ROOTS
-from lumaprof.plans.line_report import kept
+from lumaprof.operators.reuse import kept
 from lumaprof.plans.queries_lines import DETAIL_SQL, LINES_SQL, TEXTS_SQL, counter_lines
 from lumaprof.plans.registry import query, r6, rounded
 from lumaprof.plans.sql_views import number_text
