@@ -184,8 +184,11 @@ def read_spe(spark: SparkSession, paths: str | list[str], range_bytes: int = RAN
     return _read(spark, paths, SPE_KIND, SPE_SAMPLE, _spe_batch, range_bytes)
 
 
-def record_file_problems(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Record files that cannot be a recording: empty, or a first 64 bytes that are all zero."""
+def record_file_problems(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Record files that cannot be a recording: empty, or a first 64 bytes that are all zero.
+
+    Takes the file names themselves, since a directory scan leaves empty files out.
+    """
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -199,8 +202,8 @@ def record_file_problems(spark: SparkSession, paths: str | list[str]) -> DataFra
                 {"path": [f[0] for f in found], "problem": [f[1] for f in found]},
                 schema=pa.schema([("path", pa.string()), ("problem", pa.string())]))
 
-    files = spark.read.format("binaryFile").load(paths).select("path")
-    return files.mapInArrow(check, "path string, problem string")
+    files = spark.createDataFrame([(path,) for path in paths], "path string")
+    return files.repartition("path").mapInArrow(check, "path string, problem string")
 
 
 def meta_info(sections: DataFrame, keys: list[str], column: str = "data") -> DataFrame:
