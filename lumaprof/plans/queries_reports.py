@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from lumaprof.functions import metric_value as M
 from lumaprof.functions import paths as P
 from lumaprof.functions import text as X
+from lumaprof.functions.address import hex_text
 from lumaprof.functions.columns import pmu_columns
 from lumaprof.operators import counters, hits, lines, quality, stack_text, views
 from lumaprof.operators.views import LineFilter
 from lumaprof.plans.adapters import EVENT_KEYS, SOURCE_ROOTS
+from lumaprof.operators.resolve import match_symbol_files
 from lumaprof.operators.reuse import kept
 from lumaprof.plans.queries_lines import DETAIL_SQL, LINES_SQL, TEXTS_SQL, counter_lines
 from lumaprof.plans.registry import query, r6, rounded
@@ -328,8 +330,6 @@ def summary_texts(v):
 @query("p7_p17_relative_addresses_as_hex", """
     SELECT mapping_id, ip, '0x' || lower(to_hex(ip)) AS ip_text, '0x' || lower(to_hex(rel)) AS rel_text FROM v_modules WHERE rel IS NOT NULL""")
 def hex_addresses(v):
-    from lumaprof.functions.address import hex_text
-
     return v.pmu_placed.filter("rel IS NOT NULL").select("mapping_id", "ip", hex_text(F.col("ip")).alias("ip_text"), hex_text(F.col("rel")).alias("rel_text"))
 
 
@@ -468,11 +468,14 @@ def coverage(v):
     return warnings.select("session_id", F.when(is_cpu, F.lit("cpu")).otherwise(F.lit("event")).alias("kind"), seen.alias("seen"))
 
 
+_NO_FUNCTIONS = quality.NO_FUNCTIONS.replace("'", "''")
+
+
 @query("q4_attribution", LINES_SQL + f"""
-    SELECT warning FROM (SELECT count(*) AS n, count(*) FILTER (self_weight > 0 OR accumulated_weight > 0) AS sampled, count(*) FILTER (function <> '') AS named FROM line_rows),
-        LATERAL (SELECT '{quality.NO_FUNCTIONS.replace("'", "''")}' AS warning) WHERE named = 0
-    UNION ALL SELECT '{quality.NO_FUNCTIONS.replace("'", "''")}' FROM line_rows HAVING count(*) FILTER (status = '0') = 0""")
+    SELECT '{_NO_FUNCTIONS}' AS warning FROM line_rows HAVING count(*) FILTER (function <> '') = 0
+    UNION ALL SELECT '{_NO_FUNCTIONS}' FROM line_rows HAVING count(*) > 0""")
 def attribution(v):
+    """The real rows, which give no warning, and the same rows without function names."""
     rows = counter_lines(v)
     real = quality.attribution_warnings(rows, has_samples=True)
     nameless = quality.attribution_warnings(rows.withColumn("function", F.lit(" ")), has_samples=True)
@@ -483,8 +486,6 @@ def attribution(v):
     SELECT module_id, CASE WHEN quality = 'missing' THEN 'missing' ELSE 'stripped' END AS kind FROM v_symbol_files
     WHERE module_id LIKE '%.so' AND (runtime_path LIKE '/data/app/%' OR runtime_path LIKE '/data/local/tmp/%') AND (quality = 'missing' OR NOT has_debug_info)""")
 def symbol_file_warnings(v):
-    from lumaprof.operators.resolve import match_symbol_files
-
     rows = quality.symbol_file_warnings(match_symbol_files(v.modules, v.candidates))
     return rows.select("module_id", F.when(F.col("warning").contains("Missing"), F.lit("missing")).otherwise(F.lit("stripped")).alias("kind"))
 

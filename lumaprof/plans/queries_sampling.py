@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumaprof.functions import classify as C
@@ -11,7 +12,6 @@ from lumaprof.functions.names import BREAKDOWN_METRICS, CATEGORY_METRICS, DIMENS
 from lumaprof.operators import latency as L
 from lumaprof.operators import lines, resolve, sampling, views
 from lumaprof.plans.adapters import PLAN
-from lumaprof.plans.line_report import place
 from lumaprof.plans.registry import query, r6, rounded
 from lumaprof.plans.sql_views import stats_sql
 from lumaprof.sinks import render
@@ -171,8 +171,7 @@ def statistics(v):
 
 
 @query("l1_l2_l3_latency_by_address", _rounded_stats(_stats_with(
-    "freq AS (SELECT mapping_id, ip, latency, sum(cnt)::BIGINT AS cnt FROM v_spe_freq WHERE ip < 20000 OR ip > 4000000000 GROUP BY mapping_id, ip, latency)",
-    "mapping_id, ip")).replace("WHERE ip < 20000 OR ip > 4000000000 ", ""))
+    "freq AS (SELECT mapping_id, ip, latency, sum(cnt)::BIGINT AS cnt FROM v_spe_freq GROUP BY mapping_id, ip, latency)", "mapping_id, ip")))
 def statistics_by_address(v):
     return rounded(L.statistics(L.merge(v.spe_base, ["mapping_id", "ip"]), ["mapping_id", "ip"]))
 
@@ -353,7 +352,7 @@ def _summary(metric):
 
 
 @query("m19_p5_breakdown_display", _BREAKDOWN + ", rows_ AS (SELECT cpu, category, child, " + ", ".join(
-    f"{state} AS {m}_state, ({value.replace('round(', 'round(').replace(', 6)', ', 9)')})::DOUBLE AS {m}" for m, state, value in _BREAKDOWN_PAIRS) + """ FROM s),
+    f"{state} AS {m}_state, ({value.replace(', 6)', ', 9)')})::DOUBLE AS {m}" for m, state, value in _BREAKDOWN_PAIRS) + """ FROM s),
     texts AS (SELECT cpu, category, coalesce(child, '') AS child, """ + ", ".join(_summary(m) for m in BREAKDOWN_METRICS) + f""" FROM rows_),
     shown AS (SELECT * FROM texts WHERE """ + " OR ".join(f"coalesce(try_cast(rtrim({m}, '%') AS DOUBLE), 0) <> 0" for m in BREAKDOWN_METRICS) + """)
     SELECT * FROM shown WHERE EXISTS (SELECT 1 FROM shown p WHERE p.cpu = shown.cpu AND p.category = shown.category AND p.child = '')""")
@@ -367,8 +366,6 @@ def breakdown_display(v):
         cpu, category, coalesce(child, '') AS child
     FROM rows_ JOIN parents USING (cpu, category) JOIN ordinals USING (category) LEFT JOIN child_ordinals USING (child)""")
 def breakdown_order(v):
-    from pyspark.sql import Window
-
     rows, order = views.breakdown_order(sampling.breakdown_rows(breakdown_of(v)), "sample_pct")
     # A breakdown has at most cpus x 44 x 16 rows, so one task can number them.
     return rows.select(F.row_number().over(Window.orderBy(*order)).alias("position"), "cpu", "category", "child")
@@ -377,7 +374,7 @@ def breakdown_order(v):
 _WIDE = ", ".join(f"max(value) FILTER (metric = '{m}') AS {m}" for m in CATEGORY_METRICS)
 
 
-@query("k10_cpu_sheet_load_kinds", f"SELECT * FROM (SELECT cpu, name, {_WIDE} FROM (" + _cpu_sql("kind", True).replace("WITH freq", "WITH freq") + ") GROUP BY cpu, name) WHERE "
+@query("k10_cpu_sheet_load_kinds", f"SELECT * FROM (SELECT cpu, name, {_WIDE} FROM (" + _cpu_sql("kind", True) + ") GROUP BY cpu, name) WHERE "
        + " OR ".join(f"coalesce({m}, 0) <> 0" for m in CATEGORY_METRICS))
 def cpu_sheet(v):
     long = sampling.cpu_metrics(_cpu_frequency(v, "kind"), True)

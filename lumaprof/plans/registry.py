@@ -28,8 +28,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
     return register
 
 
+def _bind(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        # Event times in the tables have no zone and are read as UTC.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return plan(Views(spark, root))
+
+    return run
+
+
 def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, root, plan=plan: plan(Views(spark, root))) for name, plan in _PLANS.items()}
+    return {name: _bind(plan) for name, plan in _PLANS.items()}
 
 
 def sql() -> dict[str, str]:
