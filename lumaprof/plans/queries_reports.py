@@ -12,9 +12,10 @@ from lumaprof.functions.address import hex_text
 from lumaprof.functions.columns import pmu_columns
 from lumaprof.operators import counters, hits, lines, quality, stack_text, views
 from lumaprof.operators.views import LineFilter
-from lumaprof.plans.adapters import EVENT_KEYS, SOURCE_ROOTS
+from lumaprof.plans.adapters import EVENT_KEYS, PLAN, SOURCE_ROOTS
 from lumaprof.operators.resolve import match_symbol_files
 from lumaprof.operators.reuse import kept
+from lumaprof.plans.line_report import line_rows
 from lumaprof.plans.queries_lines import DETAIL_SQL, LINES_SQL, TEXTS_SQL, counter_lines
 from lumaprof.plans.registry import query, r6, rounded
 from lumaprof.plans.sql_views import number_text
@@ -532,3 +533,27 @@ def session_summary(v):
     rows = report.session_summary(v.manifest, quality.lane_warnings(v.manifest, v.loss))
     return rows.select("session_id", "target_package", "pid", "duration_ms", "device.abi", F.col("pmu_lane.available").alias("pmu_available"),
                        F.size("warnings").cast("bigint").alias("warnings"))
+
+
+# --- both lanes, end to end -------------------------------------------------------------------------------
+
+@query("line_report_both_lanes", """
+    WITH seen AS (SELECT mapping_id, ip, cpu, tid FROM v_hits UNION ALL SELECT mapping_id, ip, cpu, tid FROM v_spe),
+    ids AS (SELECT file, line, array_to_string(list_sort(list(DISTINCT cpu)), ',') AS cpu, array_to_string(list_sort(list(DISTINCT tid)), ',') AS thread
+        FROM seen JOIN v_placed USING (mapping_id, ip) WHERE file IS NOT NULL GROUP BY file, line),
+    spe AS (SELECT file, line, count(*) AS n, count(*) FILTER (category = 'load_l1') AS loads, count(*) FILTER (class = 'branch') AS branches,
+            count(*) FILTER (kind = 'load_literal') AS literals
+        FROM v_spe JOIN v_placed USING (mapping_id, ip) WHERE file IS NOT NULL GROUP BY file, line),
+    sampled AS (SELECT file, line, cpu, thread, coalesce(sample_count, 0) AS sample_count, coalesce(n, 0) AS n, coalesce(loads, 0) AS loads,
+            coalesce(branches, 0) AS branches, coalesce(literals, 0) AS literals
+        FROM ids LEFT JOIN v_counter_rows USING (file, line) LEFT JOIN spe USING (file, line))
+    SELECT coalesce(s.file, x.file) AS file, coalesce(s.line, x.line)::INTEGER AS line, coalesce(x.cpu, '') AS cpu, coalesce(x.thread, '') AS thread,
+        coalesce(sample_count, 0)::BIGINT AS sample_count, coalesce(n, 0)::VARCHAR AS spe_sample_count, coalesce(loads, 0)::VARCHAR AS load_l1,
+        coalesce(branches, 0)::VARCHAR AS branch, coalesce(literals, 0)::VARCHAR AS load_literal
+    FROM v_source s FULL JOIN sampled x ON x.file = s.file AND x.line = s.line""")
+def both_lanes(v):
+    rows = line_rows(v.profile, PLAN)
+    text = lambda column, key, name: M.metric_text(F.try_element_at(column, F.lit(key))).alias(name)
+    return rows.select("file", "line", "cpu", "thread", "sample_count", text("spe_values", "spe_sample_count", "spe_sample_count"),
+                       text("spe_values", "load_l1.sample_count", "load_l1"), text("instruction_values", "instruction_class.branch.sample_count", "branch"),
+                       text("load_instruction_values", "load_instruction.load_literal.sample_count", "load_literal"))
