@@ -66,7 +66,7 @@ def spe_map(placed: Placed, plan: lines.CounterPlan) -> DataFrame:
 
 
 def _dimension_map(placed: Placed, dimension: str, plan: lines.CounterPlan) -> DataFrame:
-    freq = lines.frequency_by_line(placed.spe_base, placed.addresses, dimension)
+    freq = kept(lines.frequency_by_line(placed.spe_base, placed.addresses, dimension))
     return lines.metric_map(sampling.line_metrics(freq, plan.baseline), dimension, MAPS[dimension])
 
 
