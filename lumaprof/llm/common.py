@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def map_batches(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]],
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about ``most`` bytes of one text column (a row is never cut)."""
-    sizes = [0 if v is None else v for v in pa.compute.binary_length(batch.column(column)).to_pylist()]
+    sizes = [0 if v is None else v for v in pc.binary_length(batch.column(column)).to_pylist()]
     start, held = 0, 0
     for at, size in enumerate(sizes):
         if held and held + size > most:
