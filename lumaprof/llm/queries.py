@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumaprof.llm import bpe, packing, simhash
+from lumaprof.llm import bpe, packing, pii, quality, sharding, simhash
 from lumaprof.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,19 @@ def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_simhash")
 def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_sharding")
+def _sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii")
+def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counted(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality")
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
