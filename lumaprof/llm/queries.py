@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumaprof.llm import bpe, packing, pii, quality, sharding, simhash
+from lumaprof.llm import ann, bpe, packing, pii, quality, sharding, simhash, token_shards, topk, warc
 from lumaprof.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,55 @@ def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op7_topk", sql="""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+pairs as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from pairs qualify rank <= 10
+""")
+def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_ann")
+def _ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_token_shards")
+def _token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_shards.ordered(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_warc", sql="""
+with kept as (
+  select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
+twins as (
+  select *, case when ((page_id % 97) + 97) % 97 = 5 then left(html, greatest(length(html), 1) - 1) || '~' else html end as found_html from kept),
+records as (
+  select page_id,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+      || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) as a,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+      || 'Content-Length: ' || strlen(found_html) || chr(13) || chr(10) || chr(13) || chr(10) || found_html || chr(13) || chr(10) || chr(13) || chr(10) as b
+  from twins),
+digests as (select page_id, strlen(a) as length, strlen(b) as found_length, sha256(a) as expected, sha256(b) as found from records),
+placed as (select *, row_number() over (order by page_id nulls first, expected) - 1 as position from digests),
+files as (
+  select *, position // 256 as archive, coalesce(sum(length) over (partition by position // 256 order by position
+    rows between unbounded preceding and 1 preceding), 0) as "offset",
+    coalesce(sum(found_length) over (partition by position // 256 order by position
+    rows between unbounded preceding and 1 preceding), 0) as found_offset from placed)
+select position, archive, cast("offset" as bigint) as "offset", length, expected, found, page_id
+from files where expected <> found or "offset" <> found_offset or length <> found_length
+""")
+def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.audited(table(spark, sf_dir, "pages"))
