@@ -76,15 +76,7 @@ BREAKDOWN_METRICS = ("sample_pct", "est_time_pct", "all_est_time_pct", *LATENCY_
 
 # --- fixed values: limits and defaults ---------------------------------------
 DEFAULT_PAGE_SIZE = 1000
-MAX_PAGE_SIZE = 10_000
-FUNCTION_LIST_LIMIT = 10_000
-STACK_DEPTH_LIMIT = 750
-DISPLAY_ROWS = 200
-SHEET_ROWS = 200_000
 HISTOGRAM_BUCKETS = 20
-DIAGNOSTIC_ROWS = 80
-FLAME_GRAPHS_PER_STEP = 10
-MIN_FLAME_WIDTH_PCT = 0.1
 MARKER_GAP_NS = 1_000_000
 FRAME_MARKERS = (
     ("GameThread", "FVulkanViewport::Present"),

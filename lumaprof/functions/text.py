@@ -58,9 +58,12 @@ def is_zero_text(text: Column) -> Column:
         F.regexp_replace(F.trim(t), "%+$", "").try_cast("double") == 0.0, F.lit(False)))
 
 
-def record_time(epoch_seconds: Column) -> Column:
-    """``2024-01-31 (Wednesday) 10:20:30`` in the session time zone; '' if not a number."""
+def record_time(epoch_seconds: Column, zone: str | None = None) -> Column:
+    """``2024-01-31 (Wednesday) 10:20:30`` in a time zone (the session's by default); '' if not a number."""
     stamp = F.timestamp_seconds(epoch_seconds.try_cast("bigint"))
+    if zone is not None:
+        since = F.make_dt_interval(secs=epoch_seconds.try_cast("bigint").cast("decimal(18,6)"))
+        stamp = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since)
     return F.coalesce(F.date_format(stamp, "yyyy-MM-dd (EEEE) HH:mm:ss"), F.lit(""))
 
 

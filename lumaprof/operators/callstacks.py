@@ -12,20 +12,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaprof.functions.names import STACK_DEPTH_LIMIT
 from lumaprof.operators.lookup import dense_ids
 
 THREAD = ["event", "pid", "tid"]
 FUNCTION = ["lib", "symbol"]
 
 
-def stack_table(samples: DataFrame) -> DataFrame:
-    """Distinct ``frames`` (leaf first, capped at the leaf-most 750) per thread, with weight and samples."""
-    capped = F.slice("frames", 1, STACK_DEPTH_LIMIT)
-    return samples.groupBy(*THREAD, capped.alias("frames")).agg(
+def _cut(depth_limit: int | None) -> Column:
+    return F.col("frames") if depth_limit is None else F.slice("frames", 1, depth_limit)
+
+
+def stack_table(samples: DataFrame, depth_limit: int | None = None) -> DataFrame:
+    """Distinct ``frames`` (leaf first) per thread, with weight and samples.
+
+    With a ``depth_limit`` only so many frames from the leaf on are kept;
+    ``cut_stacks`` counts what that touches.
+    """
+    return samples.groupBy(*THREAD, _cut(depth_limit).alias("frames")).agg(
         F.sum("period").alias("weight"), F.count(F.lit(1)).alias("samples"))
 
 
+def cut_stacks(samples: DataFrame, depth_limit: int) -> DataFrame:
+    """Per thread, samples whose stack a ``depth_limit`` cuts, and the frames they lose."""
+    over = F.size("frames") - depth_limit
+    return samples.groupBy(*THREAD).agg(
+        F.count_if(over > 0).alias("cut_samples"), F.sum(F.greatest(over, F.lit(0))).alias("lost_frames"))
+
+
 def rollup(samples: DataFrame) -> DataFrame:
     """Counts at three levels: event, process (tid null) and thread."""
     e, p, t = F.col("event"), F.col("pid"), F.col("tid")
@@ -62,14 +75,16 @@ def named_rollup(samples: DataFrame) -> DataFrame:
                 .when(F.col("level") == "process", F.col("process_name")).alias("name")))
 
 
-def _frame_rows(samples: DataFrame) -> DataFrame:
-    return samples.select("time", F.posexplode(F.slice("frames", 1, STACK_DEPTH_LIMIT)).alias("_pos", "f")).select(
-        "time", "_pos", "f.*")
+def _frame_rows(samples: DataFrame, depth_limit: int | None) -> DataFrame:
+    return samples.select("time", F.posexplode(_cut(depth_limit)).alias("_pos", "f")).select("time", "_pos", "f.*")
+
 
+def dictionaries(samples: DataFrame, depth_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Libraries and functions with dense ids in first-seen order and their first seen address.
 
-def dictionaries(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Libraries and functions with dense ids in first-seen order and their first seen address."""
-    rows = _frame_rows(samples)
+    The dense ids are for export; ``exported`` puts them on rows that name functions by hash.
+    """
+    rows = _frame_rows(samples, depth_limit)
     seen = F.struct("time", "_pos", *FUNCTION)
     functions = rows.groupBy(*FUNCTION).agg(
         F.min(seen).alias("_s"), F.min_by(F.struct("addr", "len"), seen).alias("_a")).select(
@@ -77,21 +92,34 @@ def dictionaries(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     libs = functions.groupBy("lib").agg(F.min(F.struct("_time", "_pos")).alias("_s")).select(
         "lib", F.col("_s._time").alias("_time"), F.col("_s._pos").alias("_pos"))
     order = ["_time", "_pos", "lib"]
-    lib_ids = dense_ids(libs, order, "_time", "lib_id").select("lib_id", "lib")
-    func_ids = dense_ids(functions, [*order, "symbol"], "_time", "func_id")
+    lib_ids = dense_ids(libs, order, "lib_id").select("lib_id", "lib")
+    func_ids = dense_ids(functions, [*order, "symbol"], "func_id")
     return lib_ids, func_ids.join(lib_ids, "lib").select("func_id", "lib_id", *FUNCTION, "addr", "len")
 
 
-def encode(stacks: DataFrame, functions: DataFrame) -> DataFrame:
-    """Distinct stacks with ``calls``: ``array<struct<func, lib, name>>`` in place of symbols."""
-    distinct = stacks.select("frames").distinct()
-    rows = distinct.select("frames", F.posexplode("frames").alias("_pos", "f")).select(
-        "frames", "_pos", F.col("f.lib").alias("lib"), F.col("f.symbol").alias("symbol"))
-    ids = functions.select(*FUNCTION, "func_id", "lib_id")
-    entry = F.struct("_pos", F.col("func_id").alias("func"), F.col("lib_id").alias("lib"), F.col("symbol").alias("name"))
-    calls = rows.join(ids, FUNCTION).groupBy("frames").agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.dropFields("_pos")).alias("calls"))
-    return stacks.join(calls, "frames").drop("frames")
+def library_hash(lib: Column) -> Column:
+    return F.xxhash64(lib)
+
+
+def function_hash(lib: Column, symbol: Column) -> Column:
+    return F.xxhash64(lib, symbol)
+
+
+def encode(stacks: DataFrame) -> DataFrame:
+    """Stacks with ``calls``: ``array<struct<func, lib, name>>`` in place of symbols.
+
+    ``func`` and ``lib`` are hashes of the names, so a stack is encoded where it
+    lies: no dictionary is joined and no frame is exploded.
+    """
+    calls = F.transform("frames", lambda f: F.struct(
+        function_hash(f["lib"], f["symbol"]).alias("func"), library_hash(f["lib"]).alias("lib"), f["symbol"].alias("name")))
+    return stacks.withColumn("calls", calls).drop("frames")
+
+
+def exported(rows: DataFrame, functions: DataFrame) -> DataFrame:
+    """Rows with a hashed ``func``, under the dense ids of the function dictionary."""
+    ids = functions.select(function_hash(F.col("lib"), F.col("symbol")).alias("func"), "func_id", "lib_id")
+    return rows.join(ids, "func").drop("func")
 
 
 def function_rows(stacks: DataFrame, keys: Sequence[str] = tuple(THREAD)) -> DataFrame:
@@ -114,30 +142,45 @@ def library_rows(functions: DataFrame, keys: Sequence[str] = tuple(THREAD)) -> D
 NODE = "struct<a:bigint,b:bigint>"
 
 
+#: Calls that one inner step of a roll gathers; the outer step then appends whole runs.
+_RUN = 64
+
+
 def _roll(calls: Column, named: bool) -> Column:
     """Nodes of one path from the root on; a node is the pair of rolling hashes of its prefix.
 
     Two independent 64-bit hashes make an accidental merge of two prefixes
     practically impossible, and keep a node at 16 bytes whatever its depth.
-    ``named`` also rolls the function names, for same-name merging.
+    ``named`` also rolls the function names, for same-name merging. The path is
+    rolled in runs, so the nodes found so far are not copied at every call.
     """
     zero = F.lit(0).cast("bigint")
 
     def key(a: Column, b: Column) -> Column:
         return F.struct(a.alias("a"), b.alias("b"))
 
-    fields = f"depth:int,func:bigint,name:string,node:{NODE},parent:{NODE}" + (f",name_node:{NODE}" if named else "")
+    row_type = f"struct<depth:int,func:bigint,name:string,node:{NODE},parent:{NODE}" + (f",name_node:{NODE}>" if named else ">")
     rolled = ["node", "name_node"] if named else ["node"]
-    start = F.struct(*[key(zero, zero).alias(r) for r in rolled], F.array().cast(f"array<struct<{fields}>>").alias("nodes"))
+
+    def state(hashes: list[Column], depth: Column, nodes: Column) -> Column:
+        return F.struct(*[h.alias(r) for h, r in zip(hashes, rolled)], depth.alias("depth"), nodes.alias("nodes"))
 
     def step(acc: Column, call: Column) -> Column:
         grown = [key(F.xxhash64(acc[r]["a"], call[item]), F.xxhash64(acc[r]["b"], call[item], F.lit("b"))).alias(r)
                  for r, item in zip(rolled, ("func", "name"))]
-        row = F.struct((F.size(acc["nodes"]) + 1).alias("depth"), call["func"].alias("func"), call["name"].alias("name"),
+        row = F.struct((acc["depth"] + 1).alias("depth"), call["func"].alias("func"), call["name"].alias("name"),
                        grown[0], acc["node"].alias("parent"), *grown[1:])
-        return F.struct(*grown, F.concat(acc["nodes"], F.array(row)).alias("nodes"))
+        return state(grown, acc["depth"] + 1, F.concat(acc["nodes"], F.array(row)))
+
+    def run(acc: Column, part: Column) -> Column:
+        start = state([acc[r] for r in rolled], acc["depth"], F.array().cast(f"array<{row_type}>"))
+        inner = F.aggregate(part, start, step)
+        return state([inner[r] for r in rolled], inner["depth"], F.concat(acc["nodes"], F.array(inner["nodes"])))
 
-    return F.aggregate(calls, start, step, lambda acc: acc["nodes"])
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(calls) - 1, F.lit(0)), F.lit(_RUN)),
+                       lambda at: F.slice(calls, at + 1, F.lit(_RUN)))
+    begin = state([key(zero, zero) for _ in rolled], F.lit(0), F.array().cast(f"array<array<{row_type}>>"))
+    return F.aggregate(runs, begin, run, lambda acc: F.flatten(acc["nodes"]))
 
 
 def rolled_stacks(stacks: DataFrame, reverse: bool, named: bool) -> DataFrame:

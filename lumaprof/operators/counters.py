@@ -10,9 +10,23 @@ from lumaprof.functions.names import UNKNOWN_EVENT
 ADDRESS = ["mapping_id", "ip"]
 
 
+#: Catalog entries up to which event keys are looked up in a literal map.
+MAP_ENTRIES = 4096
+
+
 def with_event_key(samples: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Event ordinal to event key; ordinals outside the catalog are unknown."""
-    keys = catalog.select(F.col("ordinal").alias("event_key_ref"), "event_key")
+    """Event ordinal to event key; ordinals outside the catalog are unknown.
+
+    A catalog has one entry per configured event, so it is read into a literal map
+    and the samples are neither joined nor shuffled by their few ordinals; a
+    larger one than ``MAP_ENTRIES`` is joined.
+    """
+    keys = catalog.select(F.col("ordinal").cast("bigint").alias("event_key_ref"), "event_key")
+    found = keys.filter("event_key_ref is not null and event_key is not null").limit(MAP_ENTRIES + 1).collect()
+    if len(found) <= MAP_ENTRIES and len({r["event_key_ref"] for r in found}) == len(found):
+        known = F.create_map(*[F.lit(x) for r in found for x in (int(r["event_key_ref"]), r["event_key"])]) if found else None
+        key = F.lit(None).cast("string") if known is None else F.try_element_at(known, F.col("event_key_ref").cast("bigint"))
+        return samples.withColumn("event_key", F.coalesce(key, F.lit(UNKNOWN_EVENT)))
     return samples.join(keys, "event_key_ref", "left").withColumn(
         "event_key", F.coalesce("event_key", F.lit(UNKNOWN_EVENT)))
 

@@ -1,31 +1,25 @@
 """Game frames: boundaries from a marker function, and statistics per frame.
 
 Samples are ``event, pid, tid, comm, time, period, funcs`` (leaf first). All
-ordered work is paged along the time axis, so neither one busy thread nor one
-event is handled by a single task.
+ordered work runs in slices of the time axis that are cut by row count, so neither
+one busy thread nor one event is handled by a single task.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaprof.functions.names import BOUNDARY_THREAD, FRAME_MARKERS, MARKER_GAP_NS
-from lumaprof.operators.lookup import containing, numbered_by_page
+from lumaprof.operators.lookup import SLICE_ROWS, containing, numbered, sliced
 
 THREAD = ["event", "pid", "tid"]
 ON_CPU, OFF_CPU = "cpu-cycles", "sched:sched_switch"
 COMBINED = f"{ON_CPU} + {OFF_CPU} (combined)"
 
 
-def _page_bits(gap: int) -> int:
-    # Frame starts are more than one gap apart, so a page of 16 gaps meets at most 17 frames.
-    return max(int(math.log2(max(gap, 1))) + 4, 1)
-
-
 def marker_function(functions: DataFrame, substring: str) -> DataFrame:
     """Smallest function id whose name holds the marker text (no row value if none)."""
     return functions.filter(F.col("name").contains(substring)).agg(F.min("func_id").alias("func_id"))
@@ -50,29 +44,28 @@ def boundary_threads(names: DataFrame) -> DataFrame:
     return matching.groupBy("event").agg(F.min(F.struct("pid", "tid")).alias("t")).select("event", "t.pid", "t.tid")
 
 
-def boundaries(samples: DataFrame, names: DataFrame, marker: Column, gap: int = MARKER_GAP_NS) -> DataFrame:
+def boundaries(samples: DataFrame, names: DataFrame, marker: Column, gap: int = MARKER_GAP_NS,
+               slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Frames ``(event, frame_idx, start, end)`` of each event.
 
     A marker sample opens a frame when more than ``gap`` passed since the
     *previous marker sample*; fewer than two starts make no frame.
     """
-    bits = _page_bits(gap)
-    page = F.shiftright("time", bits)
-    marked = (
+    marked = sliced(
         samples.filter(F.array_contains("funcs", marker))
-        .join(boundary_threads(names), THREAD, "left_semi").select("event", "time").distinct()
-        .withColumn("_page", page))
-    inside = Window.partitionBy("event", "_page").orderBy("time")
-    over_pages = Window.partitionBy("event").orderBy("_page")
-    pages = marked.groupBy("event", "_page").agg(F.max("time").alias("_max")).select(
-        "event", "_page", F.lag("_max").over(over_pages).alias("_before"))
-    previous = F.coalesce(F.lag("time").over(inside), F.col("_before"))
+        .join(boundary_threads(names), THREAD, "left_semi").select("event", "time").distinct(), ["event", "time"], slice_rows)
+    # One row per slice (and event that begins in it): the last marker before it.
+    over_slices = Window.partitionBy("event").orderBy("_slice")
+    carried = marked.groupBy("event", "_slice").agg(F.max("time").alias("_max")).select(
+        "event", "_slice", F.lag("_max").over(over_slices).alias("_before"))
+    inside = Window.partitionBy("event", "_slice").orderBy("time")
     starts = (
-        marked.join(pages, ["event", "_page"]).withColumn("_previous", previous)
-        .filter(F.col("_previous").isNull() | (F.col("time") - F.col("_previous") > gap)).select("event", "time"))
-    numbered = numbered_by_page(starts, ["event"], "time", page, "frame_idx")
-    ends = numbered.select("event", (F.col("frame_idx") - 1).alias("frame_idx"), F.col("time").alias("end"))
-    return numbered.join(ends, ["event", "frame_idx"]).select("event", "frame_idx", F.col("time").alias("start"), "end")
+        marked.withColumn("_lag", F.lag("time").over(inside)).join(carried, ["event", "_slice"])
+        .withColumn("_previous", F.coalesce("_lag", "_before"))
+        .filter(F.col("_previous").isNull() | (F.col("time") - F.col("_previous") > gap)).select("event", "_slice", "time"))
+    ordered = numbered(starts, ["event"], ["time"], "frame_idx")
+    ends = ordered.select("event", (F.col("frame_idx") - 1).alias("frame_idx"), F.col("time").alias("end"))
+    return ordered.join(ends, ["event", "frame_idx"]).select("event", "frame_idx", F.col("time").alias("start"), "end")
 
 
 def aligned(samples: DataFrame) -> DataFrame:
@@ -110,9 +103,21 @@ def combined(samples: DataFrame) -> DataFrame:
     return off_cpu_durations(aligned(samples)).filter(has_both).withColumn("event", F.lit(COMBINED))
 
 
-def in_frames(samples: DataFrame, frames: DataFrame, gap: int = MARKER_GAP_NS) -> DataFrame:
-    """Samples with the frame ``[start, end)`` that holds their time."""
-    return containing(samples, frames, "time", "start", "end", by=["event"], level=_page_bits(gap))
+def in_frames(samples: DataFrame, frames: DataFrame) -> DataFrame:
+    """Samples with the frame ``[start, end)`` that holds their time; a frame over a long pause is filed like any other."""
+    return containing(samples, frames, "time", "start", "end", by=["event"])
+
+
+#: Consecutive frames of one event that a grid joins with the threads at a time.
+GRID_FRAMES = 4096
+
+
+def _grid(frames: DataFrame, threads: DataFrame) -> DataFrame:
+    """Every (frame, thread) of an event, joined by range of frames; the thread list is repeated once per range."""
+    ranged = frames.withColumn("_range", F.expr(f"frame_idx div {GRID_FRAMES}"))
+    ranges = ranged.select("event", "_range").distinct()
+    listed = ranges.join(threads.select(*THREAD, "thread_name"), "event")
+    return ranged.join(listed, ["event", "_range"]).drop("_range")
 
 
 def frame_totals(placed: DataFrame, frames: DataFrame, threads: DataFrame, wall_clock: bool = False) -> DataFrame:
@@ -120,7 +125,7 @@ def frame_totals(placed: DataFrame, frames: DataFrame, threads: DataFrame, wall_
 
     The total is the sum of periods, or the frame's duration on the wall clock.
     """
-    grid = frames.join(threads.select(*THREAD, "thread_name"), "event")
+    grid = _grid(frames, threads)
     if wall_clock:
         return grid.select(*THREAD, "thread_name", "frame_idx", (F.col("end") - F.col("start")).alias("total"))
     sums = placed.groupBy(*THREAD, "frame_idx").agg(F.sum("period").alias("_sum"))

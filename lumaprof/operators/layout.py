@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaprof.functions.names import MIN_FLAME_WIDTH_PCT
 from lumaprof.operators.callstacks import THREAD, node_rows, rolled_stacks
 from lumaprof.operators.reuse import kept as reused
 
@@ -39,8 +38,8 @@ def _with_paths(groups: DataFrame, stacks: DataFrame, keys: Sequence[str], rever
     return groups.join(paths, [*keys, "rep"]).filter(F.get("name_path", F.col("depth") - 1) == F.col("name_node"))
 
 
-def flame(stacks: DataFrame, keys: Sequence[str] = tuple(THREAD), reverse: bool = False) -> DataFrame:
-    """Kept boxes with depth (from 0), width and x in percent.
+def flame(stacks: DataFrame, min_width_pct: float, keys: Sequence[str] = tuple(THREAD), reverse: bool = False) -> DataFrame:
+    """Kept boxes with depth (from 0), width and x in percent; a ``min_width_pct`` of 0 keeps all.
 
     Equal names merge among the roots and under a merged box, but not under a
     box of one node. A box narrower than the minimum goes with its subtree and
@@ -55,7 +54,7 @@ def flame(stacks: DataFrame, keys: Sequence[str] = tuple(THREAD), reverse: bool
     groups = nodes.groupBy(*keys, "name_node", "depth").agg(
         F.sum("subtree").alias("subtree"), F.count(F.lit(1)).alias("nodes"), F.min("rep").alias("rep"))
     total = groups.filter("depth = 1").groupBy(*keys).agg(F.sum("subtree").alias("total"))
-    shown = reused(groups.join(total, keys).filter(F.col("subtree") * 100.0 / F.col("total") >= MIN_FLAME_WIDTH_PCT))
+    shown = reused(groups.join(total, keys).filter(F.col("subtree") * 100.0 / F.col("total") >= min_width_pct))
 
     # Merging stops at the first depth of the path that holds a single node.
     name_path = _with_paths(shown, stacks, keys, reverse).select(
@@ -74,7 +73,7 @@ def flame(stacks: DataFrame, keys: Sequence[str] = tuple(THREAD), reverse: bool
             F.sum("subtree").alias("subtree"), F.min("func").alias("func"), F.min("rep").alias("rep"), F.min("name_node.a").alias("_a"), F.min("name_node.b").alias("_b"))
         .withColumn("name_node", F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))))
     kept = reused(boxes.withColumn("width", F.col("subtree") * 100.0 / F.col("total")).filter(
-        F.col("width") >= MIN_FLAME_WIDTH_PCT))
+        F.col("width") >= min_width_pct))
     upper = F.least("_stop", "depth")
     chain = F.concat(F.slice("name_path", F.lit(1), upper), F.slice("path", upper + 1, F.col("depth") - upper))
     kept = _with_paths(kept, stacks, keys, reverse).withColumn("_boxes", chain).withColumn(

@@ -1,7 +1,8 @@
 """Interval and as-of lookups written as equi-joins.
 
-Both spread their work by *cell* (a slice of the address or time axis), so a
-module, event or mapping that holds most of the rows is still many tasks.
+Both spread their work by *cell* (a slice of the address or time axis), and wide
+cells by salt, so a module, event or mapping that holds most of the rows is still
+many tasks. Numberings run in slices of the order that are cut by row count.
 """
 
 from __future__ import annotations
@@ -11,6 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumaprof.operators.reuse import kept
+
+
+#: Copies of the intervals of one size that salting may make, and the most salts of a size.
+SALT_COPIES, MOST_SALTS = 65_536, 256
+
 
 def _level(lo: str, hi: str) -> Column:
     """Smallest ``k`` with ``2**k >= hi - lo``; one interval meets at most 2 cells of that size."""
@@ -18,30 +25,35 @@ def _level(lo: str, hi: str) -> Column:
     return F.when(span <= 0, F.lit(0)).otherwise(F.length(F.bin(span))).cast("int")
 
 
-def containing(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: str,
-               by: Sequence[str] = (), level: int | None = None) -> DataFrame:
+def filed_and_probed(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: str) -> tuple[DataFrame, DataFrame]:
+    """Intervals and points under ``_level``, ``_cell`` and ``_salt``; see ``containing``."""
+    real = intervals.filter(F.col(hi) > F.col(lo)).withColumn("_level", _level(lo, hi))
+    counts = real.groupBy("_level").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_level", F.least(F.greatest(F.floor(SALT_COPIES / F.col("_n")), F.lit(1)), F.lit(MOST_SALTS)).cast("int").alias("_salts"))
+    # At most 64 sizes.
+    sizes = counts.agg(F.collect_list(F.struct("_level", "_salts"))).scalar()
+    cells = F.array_distinct(F.array(F.expr(f"shiftright({lo}, _level)"), F.expr(f"shiftright({hi} - 1, _level)")))
+    filed = (real.join(F.broadcast(counts), "_level").withColumn("_cell", F.explode(cells))
+             .withColumn("_salt", F.explode(F.expr("sequence(0, _salts - 1)"))).drop("_salts"))
+    probed = points.withColumn("_size", F.explode(sizes)).select(
+        *points.columns, F.col("_size._level").alias("_level"), F.expr(f"shiftright({point}, _size._level)").alias("_cell"),
+        F.expr(f"cast(pmod(xxhash64({point}), _size._salts) as int)").alias("_salt"))
+    return filed, probed
+
+
+def containing(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: str, by: Sequence[str] = ()) -> DataFrame:
     """Inner join of each point to every interval ``[lo, hi)`` that holds it.
 
-    An interval is filed in cells as large as itself, so it is copied at most
-    twice; a point looks in one cell per interval size in use (at most 64).
-    A fixed ``level`` files all intervals in cells of ``2**level`` instead and
-    a point then looks in one cell only.
+    An interval is filed in cells as large as itself, so it meets two cells at
+    most; a point looks in one cell per interval size in use (at most 64). Wide
+    cells hold many points but there are few intervals as wide: those are copied
+    under salts, and a point looks under one salt of its own. So one interval over
+    the whole range is up to ``MOST_SALTS`` join keys, and sizes with many
+    intervals, which lie in many cells, are not copied.
     """
-    real = intervals.filter(F.col(hi) > F.col(lo))
-    if level is None:
-        filed = real.withColumn("_level", _level(lo, hi))
-        cells = F.array_distinct(F.array(F.expr(f"shiftright({lo}, _level)"),
-                                         F.expr(f"shiftright({hi} - 1, _level)")))
-        sizes = filed.agg(F.collect_set("_level")).scalar()
-        probes = points.withColumn("_level", F.explode(sizes))
-    else:
-        filed = real.withColumn("_level", F.lit(level))
-        cells = F.sequence(F.expr(f"shiftright({lo}, {level})"), F.expr(f"shiftright({hi} - 1, {level})"))
-        probes = points.withColumn("_level", F.lit(level))
-    filed = filed.withColumn("_cell", F.explode(cells))
-    probes = probes.withColumn("_cell", F.expr(f"shiftright({point}, _level)"))
-    hits = probes.join(filed, [*by, "_level", "_cell"])
-    return hits.filter((F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))).drop("_level", "_cell")
+    filed, probes = filed_and_probed(points, intervals, point, lo, hi)
+    hits = probes.join(filed, [*by, "_level", "_cell", "_salt"])
+    return hits.filter((F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))).drop("_level", "_cell", "_salt")
 
 
 def latest_before(points: DataFrame, marks: DataFrame, by: Sequence[str], point: str, mark: str,
@@ -84,38 +96,28 @@ def latest_before(points: DataFrame, marks: DataFrame, by: Sequence[str], point:
     )
 
 
-def numbered_by_page(df: DataFrame, by: Sequence[str], order: str, page: Column, name: str) -> DataFrame:
-    """0-based row number in ``order`` within ``by``: a count per page, then a row number inside it."""
-    paged = df.withColumn("_page", page)
-    counts = paged.groupBy(*by, "_page").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*by, "_page", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*by, "_page").orderBy(order)
-    return (
-        paged.withColumn("_row", F.row_number().over(inside))
-        .join(starts, [*by, "_page"])
-        .withColumn(name, F.col("_start") + F.col("_row") - 1)
-        .drop("_page", "_row", "_start")
-    )
+#: Rows of one slice of a numbering.
+SLICE_ROWS = 100_000
 
 
-def dense_ids(df: DataFrame, order: Sequence[str], split: str, name: str, slices: int = 64) -> DataFrame:
-    """0-based ids in ``order`` over the whole table, without sorting it in one task.
+def sliced(df: DataFrame, order: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Rows with ``_slice``: consecutive ranges of the order, of about ``slice_rows`` each."""
+    slices = max(1, -(-df.count() // slice_rows))
+    return kept(df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
 
-    ``split`` is the first order column and must be numeric; rows are sliced at
-    its approximate quantiles, numbered per slice and shifted by slice counts.
-    """
-    shares = [i / slices for i in range(1, slices)]
-    cuts = df.agg(F.percentile_approx(split, shares)).scalar()
-    slice_no = F.size(F.filter("_cuts", lambda cut: cut < F.col(split)))
-    sliced = df.withColumn("_cuts", cuts).withColumn("_slice", slice_no).drop("_cuts")
-    counts = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    # At most `slices` rows from here: one small window and a bounded broadcast.
-    starts = counts.select("_slice", (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_start"))
-    inside = Window.partitionBy("_slice").orderBy(*order)
+
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """0-based numbers in ``order`` within ``by`` of rows that ``sliced`` has cut along (by, order)."""
+    counts = rows.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per slice (and group that begins in it) from here.
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(*order)
     return (
-        sliced.withColumn("_row", F.row_number().over(inside))
-        .join(F.broadcast(starts), "_slice")
-        .withColumn(name, F.col("_start") + F.col("_row") - 1)
-        .drop("_slice", "_row", "_start")
-    )
+        rows.withColumn("_row", F.row_number().over(inside)).join(starts, [*by, "_slice"])
+        .withColumn(name, F.col("_start") + F.col("_row") - 1).drop("_slice", "_row", "_start"))
+
+
+def dense_ids(df: DataFrame, order: Sequence[str], name: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """0-based ids in ``order`` over the whole table, without sorting it in one task."""
+    return numbered(sliced(df, order, slice_rows), [], order, name)

@@ -6,6 +6,21 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 
+_HELD: list[DataFrame] = []
+
+
 def kept(rows: DataFrame) -> DataFrame:
-    """Computed once and spilled if needed; recomputed from its lineage if an executor is lost."""
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+    """Computed once and spilled if needed; recomputed from its lineage if an executor is lost.
+
+    Held until ``release``; a result that still refers to it afterwards is computed again.
+    """
+    _HELD.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
+    return _HELD[-1]
+
+
+def release() -> int:
+    """Give up everything kept so far; returns how many results that were."""
+    count = len(_HELD)
+    while _HELD:
+        _HELD.pop().unpersist()
+    return count

@@ -10,6 +10,7 @@ from lumaprof.functions.address import frame_label
 from lumaprof.functions.text import id_list_text, weights_text
 from lumaprof.operators.counters import address_hits
 from lumaprof.operators.resolve import to_named_module
+from lumaprof.operators.reuse import kept
 
 
 def _ids(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,11 +25,11 @@ def frames(samples: DataFrame, maps: DataFrame, symbols: DataFrame) -> DataFrame
     own = F.col("role") == "self"
     by_event = hits.groupBy("role", "ip", "event_key").agg(
         F.count(F.lit(1)).alias("sample_count"), F.sum("period").alias("_w"))
-    sums = by_event.groupBy("role", "ip").agg(
+    sums = kept(by_event.groupBy("role", "ip").agg(
         F.sum("sample_count").alias("sample_count"),
         F.sum(F.when(own, F.col("_w")).otherwise(0)).alias("self_weight"),
         F.sum(F.when(own, 0).otherwise(F.col("_w"))).alias("accumulated_weight"),
-        weights_text(F.map_from_entries(F.collect_list(F.struct("event_key", "_w")))).alias("event_weights"))
+        weights_text(F.map_from_entries(F.collect_list(F.struct("event_key", "_w")))).alias("event_weights")))
     total = sums.agg(F.struct(F.sum("self_weight").alias("s"), F.sum("accumulated_weight").alias("a"))).scalar()
     named = to_named_module(sums, maps, symbols)
     return (
@@ -46,31 +47,39 @@ def frame_order() -> list[Column]:
     return [F.desc("self_weight"), F.desc("accumulated_weight"), *[F.asc(k) for k in keys]]
 
 
+def stack_key(ips: Column) -> Column:
+    """16 bytes that stand for a whole stack of addresses in shuffles and joins."""
+    return F.struct(F.xxhash64(ips).alias("a"), F.xxhash64(ips, F.lit("b")).alias("b"))
+
+
 def stack_labels(stacks: DataFrame, maps: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Distinct address stacks (leaf first) with their joined label text, leaf and root."""
-    distinct = stacks.select("ips").distinct()
-    exploded = distinct.select("ips", F.posexplode("ips").alias("_pos", "ip"))
+    """Label text, leaf and root of each distinct stack, given as ``key`` and ``ips`` (leaf first).
+
+    A frame carries its stack's key, never the stack.
+    """
+    exploded = stacks.select("key", "ips").distinct().select("key", F.posexplode("ips").alias("_pos", "ip"))
     named = to_named_module(exploded, maps, symbols).select(
         "ip", frame_label(F.col("module"), F.col("function"), F.col("relative_address")).alias("label"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "label"))), lambda e: e["label"])
     return (
-        exploded.join(named, "ip").groupBy("ips").agg(ordered.alias("labels"))
-        .select("ips", F.array_join("labels", " <- ").alias("stack"),
+        exploded.join(named, "ip").groupBy("key").agg(ordered.alias("labels"))
+        .select("key", F.array_join("labels", " <- ").alias("stack"),
                 F.element_at("labels", 1).alias("leaf"), F.element_at("labels", -1).alias("root")))
 
 
 def callchains(samples: DataFrame, maps: DataFrame, symbols: DataFrame) -> DataFrame:
     """Whole stacks keyed by label text. Equal address stacks are summed before they are labelled."""
-    raw = samples.select(F.concat(F.array("ip"), F.col("callchain")).alias("ips"), "event_key", "cpu", "tid", "period")
-    by_event = raw.groupBy("ips", "event_key").agg(F.count(F.lit(1)).alias("n"), F.sum("period").alias("w"))
-    texts = stack_labels(by_event, maps, symbols)
-    labelled = by_event.join(texts, "ips").groupBy("stack", "event_key").agg(
+    ips = F.concat(F.array("ip"), F.col("callchain"))
+    raw = samples.select(stack_key(ips).alias("key"), ips.alias("ips"), "event_key", "cpu", "tid", "period")
+    texts = kept(stack_labels(raw, maps, symbols))
+    by_event = raw.groupBy("key", "event_key").agg(F.count(F.lit(1)).alias("n"), F.sum("period").alias("w"))
+    labelled = by_event.join(texts, "key").groupBy("stack", "event_key").agg(
         F.sum("n").alias("n"), F.sum("w").alias("w"), F.min("leaf").alias("leaf"), F.min("root").alias("root"))
-    rows = labelled.groupBy("stack").agg(
+    rows = kept(labelled.groupBy("stack").agg(
         F.min("leaf").alias("leaf"), F.min("root").alias("root"), F.sum("n").alias("sample_count"),
         F.sum("w").cast("double").alias("weight"),
-        weights_text(F.map_from_entries(F.collect_list(F.struct("event_key", "w")))).alias("event_weights"))
-    ids = raw.select("ips", "cpu", "tid").distinct().join(texts.select("ips", "stack"), "ips")
+        weights_text(F.map_from_entries(F.collect_list(F.struct("event_key", "w")))).alias("event_weights")))
+    ids = raw.select("key", "cpu", "tid").distinct().join(texts.select("key", "stack"), "key")
     total = rows.agg(F.sum("weight")).scalar()
     return rows.join(_ids(ids, ["stack"]), "stack").withColumn("p_pct", M.percent(F.col("weight"), total))
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaprof.functions.names import (CATEGORY_METRICS, DEFAULT_PAGE_SIZE, DIAGNOSTIC_ROWS, DIMENSION_NAMES,
-                                      FUNCTION_LIST_LIMIT, MAX_PAGE_SIZE, SPE_COLUMNS, UNKNOWN_FUNCTION)
+from lumaprof.functions.names import CATEGORY_METRICS, DEFAULT_PAGE_SIZE, DIMENSION_NAMES, SPE_COLUMNS, UNKNOWN_FUNCTION
 
 
 @dataclass(frozen=True)
@@ -33,7 +32,8 @@ class LineFilter:
 
 
 def page_limit(limit: int | None) -> int:
-    return min(max(DEFAULT_PAGE_SIZE if limit is None else limit, 1), MAX_PAGE_SIZE)
+    """Rows of a page: what the caller asks for, at least one row."""
+    return max(DEFAULT_PAGE_SIZE if limit is None else limit, 1)
 
 
 def _like(column: str, text: str) -> Column:
@@ -141,16 +141,18 @@ def query_files(files: DataFrame, text: str | None = None, sort: str = "self", d
     return rows.agg(F.count(F.lit(1)).alias("total")), page
 
 
-def query_functions(functions: DataFrame) -> DataFrame:
+def query_functions(functions: DataFrame, limit: int | None = None) -> DataFrame:
+    """All functions in order, or the first ``limit``."""
     order = [F.desc("self_weight"), F.desc("accumulated_weight"), F.asc("function"), F.asc("file")]
-    return functions.orderBy(*order).limit(FUNCTION_LIST_LIMIT)
+    ordered = functions.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def top(rows: DataFrame, order: list[Column], count: int) -> DataFrame:
     return rows.orderBy(*order).limit(count)
 
 
-def first_diagnostics(warnings: DataFrame, shown: int = DIAGNOSTIC_ROWS) -> DataFrame:
+def first_diagnostics(warnings: DataFrame, shown: int) -> DataFrame:
     """The first warnings in order, and one row counting the rest."""
     head = warnings.orderBy("ordinal").limit(shown).select("ordinal", "warning")
     more = warnings.agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > shown).select(
@@ -184,5 +186,6 @@ def breakdown_order(rows: DataFrame, key: str, ascending: bool | None = None) ->
 
 
 def first_graphs(ranked: DataFrame, count: int) -> DataFrame:
-    """First thread graphs in (process, thread) order of each event's export; one event at a time."""
-    return ranked.orderBy("process_rank", "thread_rank").limit(count)
+    """The first ``count`` thread graphs of every event, in (process, thread) order of its export."""
+    order = Window.partitionBy("event").orderBy("process_rank", "thread_rank", "pid", "tid")
+    return ranked.withColumn("graph", F.row_number().over(order)).filter(F.col("graph") <= count)

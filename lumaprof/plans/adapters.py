@@ -42,18 +42,13 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
-    def spread(self, rows: DataFrame) -> DataFrame:
-        """Rows over all cores when the input has too few splits for them, as a one-row-group file has."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
-
     # --- counter and instruction samples -------------------------------------
 
     @cached_property
     def _addressed(self) -> DataFrame:
         own = "1 + l_partkey * 64 div 1280"
         columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"]
-        return self.spread(self.table("lineitem").select(*columns)).selectExpr(
+        return self.table("lineitem").select(*columns).selectExpr(
             "*", f"l_partkey * 64 + if(l_returnflag = 'R', {TAG}L, 0L) AS ip",
             f"""CASE WHEN l_returnflag = 'N' THEN 0L WHEN l_returnflag = 'A' THEN {own}
                 WHEN l_linenumber % 2 = 0 THEN 0L WHEN l_linenumber = 7 THEN 1 + l_suppkey ELSE {own} END AS mapping_id""",
@@ -186,11 +181,11 @@ class Views:
         frame = ("transform(n, x -> named_struct('lib', concat('lib', x % 4), 'symbol', concat('f', x div 2), "
                  "'addr', x * 16, 'len', 16L))")
         columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"]
-        return self.spread(self.table("lineitem").select(*columns)).selectExpr("*", f"{numbers} AS n").selectExpr(
+        return self.table("lineitem").select(*columns).selectExpr("*", f"{numbers} AS n").selectExpr(
             "CASE l_returnflag WHEN 'R' THEN 'cpu-cycles' WHEN 'A' THEN 'sched:sched_switch' ELSE 'task-clock' END AS event",
             "l_suppkey % 5 AS pid", "l_suppkey % 20 AS tid",
             "concat('thr', l_suppkey % 20 % 3, '-', year(l_shipdate) % 2) AS comm",
-            "unix_micros(CAST(l_shipdate AS TIMESTAMP)) + l_orderkey AS time", "CAST(l_quantity AS BIGINT) AS period",
+            "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', l_shipdate) + l_orderkey AS time", "CAST(l_quantity AS BIGINT) AS period",
             f"{frame} AS frames", "n")
 
     @cached_property
@@ -205,9 +200,9 @@ class Views:
     def timed(self) -> DataFrame:
         name = ("element_at(array('GameThread', 'RHIThread', 'RenderThread 1', 'Worker', 'AudioThread', 'RHIThread 2'), "
                 "CAST(user_id % 6 AS INT) + 1)")
-        return self.spread(self.table("events")).selectExpr(
+        return self.table("events").selectExpr(
             "if(event_id % 3 = 0, 'sched:sched_switch', 'cpu-cycles') AS event", "7L AS pid", "user_id % 6 AS tid",
-            f"{name} AS comm", "unix_micros(CAST(ts AS TIMESTAMP)) AS time",
+            f"{name} AS comm", "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS time",
             "CAST(floor(value * 100) AS BIGINT) AS period",
             "array(10 + event_id % 7, 20 + user_id div 10, if(event_type = 'purchase', 1L, 2L), 0L) AS funcs")
 

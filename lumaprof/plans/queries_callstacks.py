@@ -16,7 +16,8 @@ from lumaprof.sources.tables import callstack_samples
 
 GAP = 3_600_000_000
 THREAD = ["event", "pid", "tid"]
-FUNC_PCT, CHAIN_PCT = 0.05, 1.0
+FUNC_PCT, CHAIN_PCT, MIN_WIDTH_PCT = 0.05, 1.0, 0.1
+GRAPHS_PER_STEP = 10
 
 
 # --- roll-ups -------------------------------------------------------------------
@@ -70,8 +71,7 @@ def decoded(v):
 
 
 def _encoded(v):
-    stacks = R.stack_table(v.callstacks)
-    return R.encode(stacks, R.dictionaries(v.callstacks)[1])
+    return R.encode(R.stack_table(v.callstacks))
 
 
 @query("r3_encoded_stacks", """
@@ -219,10 +219,11 @@ def export_order(v):
 
 
 @query("t14_first_graphs", f"""
-    WITH {_RANKED.strip()} SELECT event, pid, tid, process_rank, thread_rank FROM ranked WHERE event = 'cpu-cycles' ORDER BY process_rank, thread_rank LIMIT 10""")
+    WITH {_RANKED.strip()} SELECT event, pid, tid, process_rank, thread_rank,
+        row_number() OVER (PARTITION BY event ORDER BY process_rank, thread_rank)::INTEGER AS graph FROM ranked QUALIFY graph <= {GRAPHS_PER_STEP}""")
 def first_graphs(v):
-    ranked = R.export_order(R.named_rollup(v.callstacks)).filter("event = 'cpu-cycles'")
-    return views.first_graphs(ranked, 10).select(*THREAD, "process_rank", "thread_rank")
+    ranked = R.export_order(R.named_rollup(v.callstacks))
+    return views.first_graphs(ranked, GRAPHS_PER_STEP).select(*THREAD, "process_rank", "thread_rank", "graph")
 
 
 @query("p30_weight_texts", """
@@ -288,19 +289,19 @@ def frame_threads(v):
 @query("j12_samples_in_frames", """
     SELECT event, pid, tid, frame_idx, count(*) AS samples, sum(period)::BIGINT AS weight FROM v_in_frames GROUP BY ALL""")
 def in_frames(v):
-    placed = G.in_frames(v.timed, _frames(v), GAP).join(_threads(v), THREAD, "left_semi")
+    placed = G.in_frames(v.timed, _frames(v)).join(_threads(v), THREAD, "left_semi")
     return placed.groupBy(*THREAD, "frame_idx").agg(F.count(F.lit(1)).alias("samples"), F.sum("period").alias("weight"))
 
 
 @query("f4_frame_totals", "SELECT event, pid, tid, thread_name, frame_idx, total FROM v_frame_totals")
 def frame_totals(v):
     frames = _frames(v)
-    return G.frame_totals(G.in_frames(v.timed, frames, GAP), frames, _threads(v))
+    return G.frame_totals(G.in_frames(v.timed, frames), frames, _threads(v))
 
 
 @query("f4_frame_functions", "SELECT event, pid, tid, frame_idx, func, self, subtree FROM v_frame_functions")
 def frame_functions(v):
-    return G.frame_functions(G.in_frames(v.timed, _frames(v), GAP), _threads(v))
+    return G.frame_functions(G.in_frames(v.timed, _frames(v)), _threads(v))
 
 
 _COMBINED = """
@@ -340,7 +341,7 @@ def wall_clock(v):
     FROM (SELECT tid, frame_idx, period, funcs[1] AS leaf, unnest(list_distinct(funcs)) AS func FROM placed) GROUP BY ALL""")
 def wall_clock_functions(v):
     samples, threads, frames = _combined(v)
-    return G.frame_functions(G.in_frames(samples, frames, GAP), threads).drop("event", "pid")
+    return G.frame_functions(G.in_frames(samples, frames), threads).drop("event", "pid")
 
 
 FPS = 1e9 / 20000.0
@@ -348,7 +349,7 @@ FPS = 1e9 / 20000.0
 
 def _totals_and_functions(v):
     frames = _frames(v)
-    placed = kept(G.in_frames(v.timed, frames, GAP))
+    placed = kept(G.in_frames(v.timed, frames))
     return G.frame_totals(placed, frames, _threads(v)), kept(G.frame_functions(placed, _threads(v)))
 
 
@@ -439,12 +440,12 @@ _FORWARD = "SELECT event, pid, tid, weight, list_reverse(n) AS r FROM v_stacks"
     WITH {_flame_sql("event", _FORWARD)}
     SELECT event, depth - 1 AS depth, name, subtree, round(width, 6) AS width, round(x, 6) AS x FROM flame""")
 def flame(v):
-    return rounded(layout.flame(v.stacks, keys=["event"]).select("event", "depth", "name", "subtree", "width", "x"))
+    return rounded(layout.flame(v.stacks, MIN_WIDTH_PCT, keys=["event"]).select("event", "depth", "name", "subtree", "width", "x"))
 
 
 @query("g2_flame_max_depth", f"WITH {_flame_sql('event', _FORWARD)} SELECT event, max(depth)::INTEGER AS max_depth FROM kept GROUP BY event")
 def flame_depth(v):
-    return layout.max_depth(layout.flame(v.stacks, keys=["event"]), ["event"])
+    return layout.max_depth(layout.flame(v.stacks, MIN_WIDTH_PCT, keys=["event"]), ["event"])
 
 
 @query("g5_g6_flame_highlight_and_heat", f"""
@@ -452,7 +453,7 @@ def flame_depth(v):
     SELECT event, depth - 1 AS depth, name || ' | lib' || (func % 4) || ' (' || subtree || ' events: x)' AS title, contains(name || ' | lib' || (func % 4) || ' (' || subtree || ' events: x)', 'f1') AS hit,
         floor(245 + 10 * (1 - width * 0.01))::INTEGER AS r, floor(110 + 105 * (1 - width * 0.01))::INTEGER AS g FROM flame""")
 def highlight(v):
-    rows = layout.flame(v.stacks, keys=["event"])
+    rows = layout.flame(v.stacks, MIN_WIDTH_PCT, keys=["event"])
     library = F.concat(F.lit("lib"), F.col("func") % 4)
     titled = rows.withColumn("title", layout.title(F.col("name"), library, F.col("subtree"), F.lit("x")))
     color = layout.heat_color(F.col("width"))
@@ -467,7 +468,7 @@ _TARGET = 3
     SELECT event, depth - 1 AS depth, name, subtree, round(width, 6) AS width, round(x, 6) AS x FROM flame""")
 def callees(v):
     below = layout.calls_below(v.stacks, F.lit(_TARGET))
-    return rounded(layout.flame(below, keys=["event"]).select("event", "depth", "name", "subtree", "width", "x"))
+    return rounded(layout.flame(below, MIN_WIDTH_PCT, keys=["event"]).select("event", "depth", "name", "subtree", "width", "x"))
 
 
 @query("g4_callers", f"""
@@ -475,4 +476,4 @@ def callees(v):
     SELECT event, depth - 1 AS depth, name, subtree, round(width, 6) AS width, round(x, 6) AS x FROM flame""")
 def callers(v):
     above = layout.calls_below(v.stacks, F.lit(_TARGET), reverse=True)
-    return rounded(layout.flame(above, keys=["event"], reverse=True).select("event", "depth", "name", "subtree", "width", "x"))
+    return rounded(layout.flame(above, MIN_WIDTH_PCT, keys=["event"], reverse=True).select("event", "depth", "name", "subtree", "width", "x"))

@@ -347,7 +347,7 @@ def path_remaps(v):
         CASE WHEN c_custkey % 3 = 0 THEN 'arm64' ELSE c_name || ' (' || c_mktsegment || ':x) by ' || c_nationkey || ', arch arm64' END AS machine FROM customer""")
 def record_time(v):
     props = F.when(F.col("c_custkey") % 3 != 0, F.concat_ws(":", F.col("c_nationkey").cast("string"), "c_name", "c_mktsegment", F.lit("x"))).otherwise(F.lit("odd"))
-    return v.table("customer").select("c_custkey", X.record_time((F.col("c_custkey") * 86461).cast("string")).alias("record_time"),
+    return v.table("customer").select("c_custkey", X.record_time((F.col("c_custkey") * 86461).cast("string"), "UTC").alias("record_time"),
                                       X.machine_type(props, F.lit("arm64")).alias("machine"))
 
 

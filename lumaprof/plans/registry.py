@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumaprof.operators.reuse import release
 from lumaprof.plans.adapters import Views
 from lumaprof.plans.sql_views import with_views
 
@@ -30,8 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 def _bind(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, root: str) -> DataFrame:
-        # Event times in the tables have no zone and are read as UTC.
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        release()  # what the query before this one kept
         return plan(Views(spark, root))
 
     return run

@@ -21,6 +21,8 @@ def local_session(app: str, cpus: int | str = "*", shuffle_partitions: int = 8,
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # One local file is one or two default splits; smaller ones use all threads.
+        .config("spark.sql.files.maxPartitionBytes", "2m")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lumaprof.operators import callstacks, counters, frames, latency, layout, lines, lookup, resolve, sampling, views
+from lumaprof.operators import callstacks, counters, frames, latency, layout, lines, lookup, resolve, reuse, sampling, views
 from lumaprof.operators.sampling import Baseline
 
 
@@ -29,8 +29,7 @@ def test_interval_lookup_against_brute_force(spark):
     expected = sorted((p, i) for p in points for i, lo, hi in intervals if lo <= p < hi)
     p = spark.createDataFrame([(x,) for x in points], "p bigint")
     t = spark.createDataFrame(intervals, "i bigint, lo bigint, hi bigint")
-    for level in (None, 5):
-        assert values(lookup.containing(p, t, "p", "lo", "hi", level=level), "p", "i") == expected
+    assert values(lookup.containing(p, t, "p", "lo", "hi"), "p", "i") == expected
 
 
 def test_latest_before_against_brute_force(spark):
@@ -46,7 +45,7 @@ def test_latest_before_against_brute_force(spark):
 def test_dense_ids_follow_the_order(spark):
     random.seed(7)
     rows = [(random.randrange(50), f"n{i}") for i in range(300)]
-    numbered = lookup.dense_ids(spark.createDataFrame(rows, "t bigint, n string"), ["t", "n"], "t", "id", slices=8)
+    numbered = lookup.dense_ids(spark.createDataFrame(rows, "t bigint, n string"), ["t", "n"], "id", slice_rows=40)
     assert values(numbered, "id", "n") == [(i, n) for i, (_, n) in enumerate(sorted(rows))]
 
 
@@ -164,7 +163,7 @@ def test_flame_layout_against_recursive_layout(spark):
             f = random.randrange(8)
             path.append((10 * depth + f, f"n{f // 2}"))
         stacks.append((list(reversed(path)), random.choice([1, 5, 400]), 1))
-    found = layout.flame(_stacks(spark, stacks))
+    found = layout.flame(_stacks(spark, stacks), 0.1)
     assert sorted((r.depth, r["name"], r.subtree, round(r.x, 6)) for r in found.collect()) == _flame_reference(stacks)
 
 
@@ -176,7 +175,7 @@ def test_frame_gap_is_to_the_previous_marker(spark):
     names = frames.first_names(samples)
     found = frames.boundaries(samples, names, F.lit(1), gap)
     assert values(found, "frame_idx", "start", "end") == [(0, 0, 5000), (1, 5000, 9000)]
-    placed = frames.in_frames(samples, found, gap)
+    placed = frames.in_frames(samples, found)
     totals = frames.frame_totals(placed, found, frames.matching_threads(names))
     assert values(totals, "tid", "frame_idx", "total") == [(2, 0, 30), (2, 1, 10), (3, 0, 7), (3, 1, 14)]
 
@@ -194,7 +193,7 @@ def test_exact_medians(spark):
 
 
 def test_sort_keys_and_page_limits():
-    assert [views.page_limit(x) for x in (None, 0, 5, 99999)] == [1000, 1, 5, 10000]
+    assert [views.page_limit(x) for x in (None, 0, 5, 99999)] == [1000, 1, 5, 99999]
     assert views.metric_column("load_l1.sample_pct") == "spe_json"
     assert views.metric_column("instruction_class.branch.sample_count") == "instruction_json"
     assert views.metric_column("load_instruction.load_acquire.p95_latency_cycles") == "load_instruction_json"
@@ -205,3 +204,57 @@ def test_sort_keys_and_page_limits():
 def test_substring_thread_filter(spark):
     rows = spark.createDataFrame([("1",), ("10,2",), ("2",)], "thread string")
     assert values(views.filter_lines(rows, views.LineFilter(thread="1")), "thread") == [("1",), ("10,2",)]
+
+
+def test_deep_stacks_and_long_function_lists_stay_whole(spark):
+    frames_ = [("lib", f"f{i}", i, 1) for i in range(1000)]
+    samples = spark.createDataFrame([("e", 1, 2, frames_, 3)],
+                                    "event string, pid bigint, tid bigint, frames array<struct<lib:string,symbol:string,addr:bigint,len:bigint>>, period bigint")
+    stacks = callstacks.encode(callstacks.stack_table(samples))
+    tree = callstacks.call_tree(stacks)
+    assert tree.agg(F.count("*"), F.max("depth"), F.sum("self")).first()[:] == (1000, 1000, 3)
+    assert values(callstacks.cut_stacks(samples, 750), "cut_samples", "lost_frames") == [(1, 250)]
+    assert callstacks.encode(callstacks.stack_table(samples, 750)).select(F.size("calls")).first()[0] == 750
+    listed = spark.range(10_005).selectExpr("concat('f', id) as function", "'x' as file", "id as self_weight", "id as accumulated_weight")
+    assert views.query_functions(listed).count() == 10_005
+    assert views.query_functions(listed, 7).count() == 7
+
+
+def test_flame_without_a_minimum_keeps_all_boxes(spark):
+    wide = [([(1, "r")], 100_000, 1), ([(2, "tiny"), (1, "r")], 1, 1)]
+    assert layout.flame(_stacks(spark, wide), 0.0).count() == 2
+    assert layout.flame(_stacks(spark, wide), 0.1).count() == 1
+
+
+def test_an_interval_over_everything_is_many_keys(spark):
+    points = spark.range(0, 1 << 20, 64).withColumnRenamed("id", "p")
+    intervals = spark.createDataFrame([(0, 1 << 20, "all")] + [(i * 4096, i * 4096 + 100, f"n{i}") for i in range(256)], "lo bigint, hi bigint, n string")
+    _, probed = lookup.filed_and_probed(points, intervals, "p", "lo", "hi")
+    cells = probed.groupBy("_level", "_cell", "_salt").count().agg(F.max("count")).first()[0]
+    assert cells <= points.count() / 50
+    found = lookup.containing(points, intervals, "p", "lo", "hi")
+    assert found.filter("n = 'all'").count() == points.count()
+    assert found.filter("n <> 'all'").count() == 256 * 2
+
+
+def test_a_pause_of_an_hour_is_one_frame(spark):
+    gap, hour = 1_000_000, 3_600_000_000_000
+    times = [0, 2 * gap, 4 * gap, 4 * gap + hour, 6 * gap + hour]
+    samples = spark.createDataFrame(
+        [("cpu-cycles", 1, 2, "RHIThread", t, 10, [1]) for t in times] + [("cpu-cycles", 1, 3, "GameThread", 4 * gap + hour // 2, 7, [9])],
+        "event string, pid bigint, tid bigint, comm string, time bigint, period bigint, funcs array<bigint>")
+    names = frames.first_names(samples)
+    found = frames.boundaries(samples, names, F.lit(1), gap, slice_rows=2)
+    assert values(found, "frame_idx", "start", "end") == [(i, a, b) for i, (a, b) in enumerate(zip(times, times[1:]))]
+    filed, _ = lookup.filed_and_probed(samples, found, "time", "start", "end")
+    assert filed.select("frame_idx", "_cell").distinct().groupBy("frame_idx").count().agg(F.max("count")).first()[0] <= 2
+    placed = frames.in_frames(samples, found)
+    assert values(placed.filter("tid = 3"), "frame_idx") == [(2,)]
+    assert frames.frame_totals(placed, found, frames.matching_threads(names)).count() == 8
+
+
+def test_release_gives_up_what_was_kept(spark):
+    reuse.release()
+    rows = reuse.kept(spark.range(5))
+    assert rows.storageLevel.useMemory and reuse.release() == 1
+    assert not rows.storageLevel.useMemory and reuse.release() == 0 and rows.count() == 5
