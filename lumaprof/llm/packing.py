@@ -2,8 +2,8 @@
 
 Each task packs its own rows, in batches of bounded size, so nothing is shuffled
 and no key can be hot. A document's whole windows are cut off first. What is left
-of the documents of a batch is balanced over the windows: partial partitions with
-opposing imbalances are merged, the largest difference first, until one partition
+of the documents of a batch, cut to an eighth of a window at most, is balanced over
+the windows: partial partitions with opposing imbalances are merged, the largest difference first, until one partition
 with near-equal windows remains. If a window is over capacity, the window count
 rises (and pieces are cut finer where raising it alone would leave much padding).
 The last tokens of a task that fill no window go to sequences whose lengths are
@@ -35,6 +35,8 @@ from lumaprof.llm.word_ids import word_ids
 BATCH_WINDOWS = 256
 #: Tokens left free per window on average, so that small imbalances fit.
 MARGIN = 6
+#: Pieces that are balanced hold at most this fraction of a window, so that they fit together.
+FINEST = 8
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
@@ -135,7 +137,7 @@ class Packer:
     def balance(self, pieces: list[list]) -> None:
         total = sum(p[2] for p in pieces)
         windows = -(-total // self.goal)
-        finest = self.capacity
+        finest = max(1, self.capacity // FINEST)
         while True:
             cut = [[d, s + at, min(finest, n - at), ids] for d, s, n, ids in pieces for at in range(0, n, finest)]
             window_of = difference([p[2] for p in cut], windows)
