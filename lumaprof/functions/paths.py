@@ -85,8 +85,23 @@ def parse_remaps(options: list[str]) -> list[tuple[str, str]]:
 
 
 def absolute(root: Column, path: Column) -> Column:
-    return F.when(path.startswith("/"), path).otherwise(
-        F.concat(F.rtrim(root, F.lit("/")), F.lit("/"), path))
+    return canonical(F.when(path.startswith("/"), path).otherwise(
+        F.concat(F.rtrim(root, F.lit("/")), F.lit("/"), path)))
+
+
+def canonical(path: Column) -> Column:
+    """An absolute path without empty, ``.`` and ``..`` parts; links are not followed."""
+    def add(kept: Column, part: Column) -> Column:
+        return (F.when(part.isin("", "."), kept)
+                .when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+                .otherwise(F.concat(kept, F.array(part))))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), add)
+    return F.concat(F.lit("/"), F.array_join(parts, "/"))
+
+
+def is_skipped_name(name: str) -> bool:
+    return name in SKIPPED_DIRECTORIES or name.startswith(SKIPPED_DIRECTORY_PREFIX)
 
 
 def is_source_file(path: Column) -> Column:

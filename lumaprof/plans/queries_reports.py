@@ -386,7 +386,7 @@ def escaped_texts(v):
         CASE WHEN pmu_enabled THEN 'enabled' ELSE 'disabled' END || ' / ' || CASE WHEN pmu_available THEN 'available' ELSE 'missing' END AS lane FROM v_manifest""")
 def paths_and_lanes(v):
     number = F.substr("session_id", F.lit(2))
-    path = F.when(F.col("pmu_enabled"), F.concat(F.lit("/abs/"), number)).otherwise(F.concat(F.lit("src"), number))
+    path = F.when(F.col("pmu_enabled"), F.concat(F.lit("/abs/./x/../"), number)).otherwise(F.concat(F.lit("old//../src"), number))
     return v.manifest.select("session_id", P.absolute(F.concat(F.lit("/root/"), "session_id"), path).alias("path"),
                              X.lane_text(F.col("pmu_enabled"), F.col("pmu_available")).alias("lane"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,30 @@ from lumaprof.sources.schemas import DOCUMENTS
 SESSION = "session_id"
 
 
+def incomplete_bundles(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """``(bundle, document, violation)`` for each of the nine documents that a bundle below the roots lacks.
+
+    A bundle is a directory that a root (a directory or a glob) names and that holds any file.
+    """
+    found = None
+    for root in (r.rstrip("/") for r in roots):
+        depth = len(re.sub("^file:/+", "/", root).split("/")) + 1
+        path = F.regexp_replace("path", "^file:/+", "/")
+        files = spark.read.format("binaryFile").load(f"{root}/*").select(path.alias("path")).filter(F.size(F.split("path", "/")) == depth)
+        found = files if found is None else found.unionByName(files)
+    cut = F.col("path").substr(F.lit(1), F.length("path") - F.length(F.substring_index("path", "/", -1)) - 1)
+    present = found.select(cut.alias("bundle"), F.substring_index("path", "/", -1).alias("file")).groupBy("bundle").agg(
+        F.collect_set(F.when(F.col("file").isin(*[f"{n}.json" for n in DOCUMENTS]), F.col("file"))).alias("_files"))
+    missing = F.filter(F.array(*[F.lit(n) for n in DOCUMENTS]), lambda n: ~F.array_contains(F.col("_files"), F.concat(n, F.lit(".json"))))
+    return present.select("bundle", F.explode(missing).alias("document")).withColumn(
+        "violation", F.concat(F.col("document"), F.lit(".json is missing")))
+
+
 def read_documents(spark: SparkSession, roots: Sequence[str]) -> dict[str, DataFrame]:
-    """One frame per document over all bundle roots (directories or globs); a missing document is an error."""
+    """One frame per document over all bundle roots (directories or globs).
+
+    A root without a document is an error; under a glob, ``incomplete_bundles`` names the bundles that lack one.
+    """
     return {
         name: spark.read.schema(schema).json([f"{root.rstrip('/')}/{name}.json" for root in roots], multiLine=True)
         for name, schema in DOCUMENTS.items()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,19 +17,27 @@ def _plain(path):
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def _file_path():
+    """The file a row was read from; the metadata column percent-encodes it and leaves ``+`` as it is."""
+    return _plain(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+
+
 def discover(spark: SparkSession, roots: list[str], skip: bool = True) -> DataFrame:
     """Distinct source file paths under the roots, which may be directories or files.
 
+    A root that is a file is always taken; directories and directory roots with a
+    skipped name, and roots in the engine's own source, are not searched.
     ``skip=False`` is the workbook's variant: no directory and no root is skipped.
     """
-    wanted = [r for r in roots if not (skip and P.SKIPPED_ROOT_PART in r.replace("\\", "/"))]
     found = []
-    for root in wanted:
+    for root in (posixpath.normpath(r) for r in roots):
+        searched = not skip or not (P.SKIPPED_ROOT_PART in root.replace("\\", "/") or P.is_skipped_name(posixpath.basename(root)))
         listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        path = _plain(F.col("path"))
-        inner = F.ltrim(F.replace(path, F.lit(root.rstrip("/"))), F.lit("/"))
-        kept = listing.select(path.alias("path"), inner.alias("_inner")).filter(P.is_source_file(F.col("path")))
-        found.append(kept.filter(~P.in_skipped_directory(F.col("_inner"))) if skip else kept)
+        path, whole = _plain(F.col("path")), re.sub("^file:/+", "/", root)
+        inner = F.substr(path, F.lit(len(whole.rstrip("/")) + 2))
+        below = F.lit(searched) if not skip else F.lit(searched) & ~P.in_skipped_directory(F.col("_inner"))
+        found.append(listing.select(path.alias("path"), inner.alias("_inner")).filter(P.is_source_file(F.col("path")))
+                     .filter((F.col("path") == whole) | below))
     if not found:
         return spark.createDataFrame([], "path string")
     return reduce(DataFrame.unionByName, found).select("path").distinct()
@@ -43,7 +53,7 @@ def numbered_lines(files: DataFrame, file: str, text: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Numbered lines of source files on storage; a source file fits in a row."""
-    raw = spark.read.text(paths, wholetext=True).select(_plain(F.col("_metadata.file_path")).alias("path"), "value")
+    raw = spark.read.text(paths, wholetext=True).select(_file_path().alias("path"), "value")
     return numbered_lines(raw, "path", "value")
 
 
@@ -70,6 +80,6 @@ def disassembly(lines: DataFrame, keys: list[str], text: str = "text", order: st
 def read_disassembly(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Disassembly listings on storage, split as text: line order is (block start, position in the block)."""
     raw = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"),
+        _file_path().alias("path"), F.col("value").alias("text"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("pos"))
     return disassembly(raw, ["path"])
