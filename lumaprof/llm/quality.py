@@ -3,8 +3,9 @@
 Two zstandard dictionaries are built from texts labelled good and bad. A text is
 compressed whole with both; the difference of the sizes over their sum says which
 side it resembles, and the smaller size over the text's own length how regular it
-is. A logistic calibration, fitted on labelled rows that went into no dictionary,
-turns both into a score between 0 and 1.
+is. A logistic calibration turns both into a score between 0 and 1. The labelled rows fall into two folds with a
+pair of dictionaries each: the calibration measures a labelled text with the pair of
+the other fold, and a score is the mean (of logits) over both pairs.
 
 The labelled sample is bounded (``per_class`` rows of each label, lowest id hashes
 first); it is the only thing that is. Rows whose ``crc32(id) mod 4`` is 2 are never
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lumaprof.llm.common import slices, written
 
-#: Labelled rows of each class that are learned from: even ranks fill the dictionary, odd ones calibrate.
+#: Labelled rows of each class that are learned from, at most.
 PER_CLASS = 3000
 #: Bytes of a text that go into a dictionary's training, and of the dictionary.
 SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 4000, 112_640, 3
@@ -42,20 +43,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    good: bytes
-    bad: bytes
+    """Pairs of a good and a bad dictionary, one pair per fold; without any, all scores are the prior."""
+
+    pairs: tuple[tuple[bytes, bytes], ...]
     weights: tuple[float, ...]
     prior: float
 
-    def compressors(self) -> list[zstandard.ZstdCompressor]:
-        return [_compressor(d) for d in (self.good, self.bad)] if self.weights else []
+    def compressors(self) -> list[list[zstandard.ZstdCompressor]]:
+        return [[_compressor(d) for d in pair] for pair in self.pairs]
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
+def _dictionaries(groups: list[list[bytes]]) -> list[bytes]:
+    """A dictionary for each group of texts, all made the same way so that they compare."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, texts, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:  # too few or too short texts to train on
-        return b"\n".join(texts)[-DICTIONARY_BYTES:] or b"\0" * 8
+        return [zstandard.train_dictionary(DICTIONARY_BYTES, texts, level=LEVEL).as_bytes() for texts in groups]
+    except zstandard.ZstdError:  # some group has too few or too short texts to train on: plain text of equal size
+        joined = [b"\n".join(texts) for texts in groups]
+        size = max(8, min(DICTIONARY_BYTES, *map(len, joined)))
+        return [text[:size].ljust(size, b"\0") for text in joined]
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -77,7 +82,7 @@ def features(measured: np.ndarray) -> np.ndarray:
     return np.stack([np.ones_like(lean), lean, regular, regular ** 2, lean * regular], axis=1)
 
 
-def logistic(inputs: np.ndarray, labels: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+def logistic(inputs: np.ndarray, labels: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     weights = np.zeros(inputs.shape[1])
     for _ in range(60):
         guess = 1 / (1 + np.exp(-np.clip(inputs @ weights, -30, 30)))
@@ -93,8 +98,9 @@ def logistic(inputs: np.ndarray, labels: np.ndarray, ridge: float = 0.01) -> np.
 def scores(model: Model, compressors: list, texts: list[bytes]) -> np.ndarray:
     if not compressors:
         return np.full(len(texts), model.prior)
-    inputs = features(np.array([sizes(compressors, t) for t in texts], np.int64))
-    return 1 / (1 + np.exp(-np.clip(inputs @ np.array(model.weights), -500, 500)))
+    weights = np.array(model.weights)
+    logits = [features(np.array([sizes(pair, t) for t in texts], np.int64)) @ weights for pair in compressors]
+    return 1 / (1 + np.exp(-np.clip(np.mean(logits, axis=0), -500, 500)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -108,30 +114,32 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         picked = some if picked is None else picked.unionByName(some)
     # At most 2 * per_class rows of an id and a label.
     chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
-    sample = written(chosen.select("_label", (F.pmod(F.shiftright(order, 8), F.lit(2)) == 0).alias("_first"), order.alias("_order"),
+    sample = written(chosen.select("_label", F.pmod(F.shiftright(order, 8), F.lit(2)).cast("int").alias("_fold"), order.alias("_order"),
                                    F.coalesce("text", F.lit("")).cast("binary").alias("_text")), "labelled")
     counts = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     if len(counts) < 2:
-        return Model(b"", b"", (), prior)
-    texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for row in sample.filter("_first").orderBy("_order").select("_label", F.substring("_text", 1, SAMPLE_BYTES).alias("t")).collect():
-        texts[row["_label"]].append(bytes(row["t"]))
-    model = Model(_dictionary(texts[1]), _dictionary(texts[0]), (1.0,), prior)
+        return Model((), (), prior)
+    texts: dict[tuple[int, int], list[bytes]] = {(label, fold): [] for label in (0, 1) for fold in (0, 1)}
+    for row in sample.orderBy("_order").select("_label", "_fold", F.substring("_text", 1, SAMPLE_BYTES).alias("t")).collect():
+        texts[row["_label"], row["_fold"]].append(bytes(row["t"]))
+    if not all(texts.values()):
+        return Model((), (), prior)
+    made = _dictionaries([texts[label, fold] for fold in (0, 1) for label in (1, 0)])
+    pairs = ((made[0], made[1]), (made[2], made[3]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = model.compressors()
+        compressors = [[_compressor(d) for d in pair] for pair in pairs]
         for batch in batches:
-            found = [sizes(compressors, t) for t in batch.column("_text").to_pylist()]
+            # What calibrates a text comes from dictionaries that have not seen its fold.
+            found = [sizes(compressors[1 - f], t) for f, t in zip(batch.column("_fold").to_pylist(), batch.column("_text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("_label"), *(pa.array([f[n] for f in found], pa.int64()) for n in range(3))],
                                              ["label", "good", "bad", "length"])
 
-    rows = sample.filter("not _first").select("_label", "_text").mapInArrow(measure, "label int, good bigint, bad bigint, length bigint")
+    rows = sample.select("_label", "_fold", "_text").mapInArrow(measure, "label int, good bigint, bad bigint, length bigint")
     measured = rows.orderBy("label", "good", "bad", "length").toPandas()
-    if measured["label"].nunique() < 2:
-        return Model(b"", b"", (), prior)
     weights = logistic(features(measured[["good", "bad", "length"]].to_numpy()), measured["label"].to_numpy(float))
-    return Model(model.good, model.bad, tuple(weights), prior)
+    return Model(pairs, tuple(weights.tolist()), prior)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
