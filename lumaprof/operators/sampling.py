@@ -13,6 +13,7 @@ from lumaprof.functions import metric_value as M
 from lumaprof.functions.names import BREAKDOWN_METRICS, DIMENSION_NAMES, NO_LATENCY
 from lumaprof.functions.text import is_zero_text, summary_text
 from lumaprof.operators import latency as L
+from lumaprof.operators import resolve
 
 ADDRESS = ["mapping_id", "ip"]
 
@@ -22,13 +23,26 @@ def with_category(samples: DataFrame) -> DataFrame:
         F.col("operation_flags"), F.col("data_source"), F.col("branch_result"), F.col("decode_status")))
 
 
-def classified(samples: DataFrame, classes: DataFrame) -> DataFrame:
-    """Samples with category, class, load kind and hierarchy child.
+def address_classes(samples: DataFrame, maps: DataFrame, matches: DataFrame, instructions: DataFrame) -> DataFrame:
+    """``(mapping_id, ip, class, kind)`` of the distinct sampled addresses that have an instruction.
+
+    The chain is map, module, symbol file, then the instruction at the relative
+    address; ``instructions`` is ``(module_id, address, class, kind)`` from section
+    words or disassembly.
+    """
+    placed = resolve.with_symbol_file(resolve.to_module(samples.select(*ADDRESS).distinct(), maps), matches)
+    usable = placed.filter("candidate_path is not null and rel is not null").withColumnRenamed("rel", "address")
+    found = resolve.exact_instruction(usable.select(*ADDRESS, "module_id", "address"), instructions)
+    return found.filter("class is not null").select(*ADDRESS, "class", "kind")
+
+
+def classified(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows with a category by address, with class, load kind and hierarchy child.
 
     ``classes`` is ``(mapping_id, ip, class, kind)`` per distinct address; an
     address that could not be classified is an unknown instruction without kind.
     """
-    joined = with_category(samples).join(classes, ADDRESS, "left")
+    joined = rows.join(classes, ADDRESS, "left")
     joined = joined.withColumn("class", F.coalesce("class", F.lit("unknown_instruction")))
     return joined.withColumn("child", C.child_class(F.col("category"), F.col("class")))
 
@@ -61,9 +75,12 @@ def data_sources_by_address(samples: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("cnt"))
 
 
-def base_frequency(samples: DataFrame) -> DataFrame:
-    """The fused pass: one frequency table that all category, class and kind outputs merge from."""
-    return L.frequency(samples, [*ADDRESS, "cpu", "category", "class", "kind", "child"])
+def base_frequency(samples: DataFrame, classes: DataFrame) -> DataFrame:
+    """The fused pass: one frequency table that all category, class and kind outputs merge from.
+
+    Samples are reduced first; only the frequencies meet the classes of their addresses.
+    """
+    return classified(L.frequency(with_category(samples), [*ADDRESS, "cpu", "category"]), classes)
 
 
 def address_and_cpu_frequency(base: DataFrame, dimension: str) -> DataFrame:

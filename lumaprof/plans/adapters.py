@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaprof.functions.classify import child_class, word_class
+from lumaprof.functions.classify import word_class
 from lumaprof.operators import counters, lines, resolve, sampling
 from lumaprof.operators.reuse import kept
 from lumaprof.plans.line_report import Profile
@@ -79,27 +79,24 @@ class Views:
             f"element_at(array({sources}), CAST(l_partkey % 10 AS INT) + 1) AS data_source",
             "CAST(l_linenumber % 3 AS INT) AS branch_result", "CAST(l_orderkey % 3 AS INT) AS cache_result",
             "CAST(l_orderkey % 37 = 0 AS INT) AS decode_status",
-            "if(l_orderkey % 11 = 0, NULL, CAST(floor(l_extendedprice) AS BIGINT) % 997) AS latency",
-            "l_partkey * 2654435761 % 4294967296 AS word")
+            "if(l_orderkey % 11 = 0, NULL, CAST(floor(l_extendedprice) AS BIGINT) % 997) AS latency")
 
     @cached_property
-    def spe_classes(self) -> DataFrame:
-        found = word_class(F.col("word"))
-        return self.spe.select("mapping_id", "ip", "word").distinct().select("mapping_id", "ip", found.alias("c")).select(
-            "mapping_id", "ip", "c.*")
+    def instructions(self) -> DataFrame:
+        """Classes of the instruction words of all modules."""
+        return self.words.select("module_id", "address", word_class(F.col("word")).alias("c")).select("module_id", "address", "c.*")
 
     @cached_property
-    def spe_classified(self) -> DataFrame:
-        samples = sampling.with_category(self.spe).withColumn("_c", word_class(F.col("word"))).select("*", "_c.*").drop("_c")
-        return samples.withColumn("child", child_class(F.col("category"), F.col("class")))
+    def spe_classes(self) -> DataFrame:
+        return kept(sampling.address_classes(self.spe, self.maps, self.matches, self.instructions))
 
     @cached_property
     def spe_base(self) -> DataFrame:
-        return kept(sampling.base_frequency(self.spe_classified))
+        return kept(sampling.base_frequency(self.spe, self.spe_classes))
 
     @cached_property
     def profile(self) -> Profile:
-        return Profile(self.samples, self.maps, self.matches, self.line_table, self.source, self.spe_classified)
+        return Profile(self.samples, self.maps, self.matches, self.line_table, self.source, self.spe, self.spe_classes)
 
     # --- maps, symbols, lines ------------------------------------------------
 

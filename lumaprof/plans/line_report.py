@@ -16,7 +16,7 @@ MAPS = {"category": "spe_values", "class": "instruction_values", "kind": "load_i
 
 @dataclass(frozen=True)
 class Profile:
-    """Inputs of a report. ``spe`` carries ``category, class, kind, child`` and may be absent."""
+    """Inputs of a report. ``spe`` may be absent; ``spe_classes`` are the instruction classes of its addresses."""
 
     samples: DataFrame
     maps: DataFrame
@@ -24,6 +24,7 @@ class Profile:
     line_table: DataFrame
     source: DataFrame
     spe: DataFrame | None = None
+    spe_classes: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,7 @@ def place(profile: Profile) -> Placed:
     spe_rows = base = None
     if profile.spe is not None:
         spe_rows = kept(sampling.by_address(profile.spe))
-        base = kept(sampling.base_frequency(profile.spe))
+        base = kept(sampling.base_frequency(profile.spe, profile.spe_classes))
         lanes = lanes.unionByName(spe_rows.select("mapping_id", "ip", F.lit(1).alias("lane")))
     addresses = lanes.groupBy("mapping_id", "ip").agg(F.min("lane").alias("lane"))
     resolved = resolve.address_lines(addresses, profile.maps, profile.matches, profile.line_table)

@@ -30,12 +30,12 @@ def categories(v):
 
 @query("p9_hierarchy_children", "SELECT category, child, count(*) AS n FROM v_spe GROUP BY category, child")
 def children(v):
-    return v.spe_classified.groupBy("category", "child").agg(F.count(F.lit(1)).alias("n"))
+    return v.spe_base.groupBy("category", "child").agg(F.sum("cnt").alias("n"))
 
 
-@query("p10_instruction_words", "SELECT DISTINCT word, class, kind FROM v_spe")
+@query("p10_instruction_words", "SELECT DISTINCT word, class, kind FROM v_instructions")
 def words(v):
-    return v.spe.select("word").distinct().select("word", C.word_class(F.col("word")).alias("c")).select("word", "c.*")
+    return v.words.select("word").distinct().select("word", C.word_class(F.col("word")).alias("c")).select("word", "c.*")
 
 
 _MNEMONICS = ("dmb", "msr", "aesd", "pmull2", "b.eq", "tbnz", "prfm", "casal", "ldxr", "ldapr", "stlrh", "ldr", "ldrsw", "ldur", "ldp",
@@ -76,7 +76,7 @@ def _dimension_sql(dimension, column):
 @query("p36_name_dimensions", " UNION ALL ".join(_dimension_sql(d, d) for d in DIMENSION_NAMES))
 def dimensions(v):
     def one(dimension):
-        counts = v.spe_classified.groupBy(F.col(dimension).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+        counts = v.spe_base.groupBy(F.col(dimension).alias("name")).agg(F.sum("cnt").alias("n"))
         return sampling.dimension(v.spark, dimension).join(counts, "name", "left").select(
             "ordinal", "name", F.lit(dimension).alias("dimension"), F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -150,7 +150,7 @@ _BY_CATEGORY = "freq AS (SELECT category, class, latency, sum(cnt)::BIGINT AS cn
 
 @query("l0_latency_frequency", f"WITH {_BY_CATEGORY} SELECT category, class, latency, cnt FROM freq")
 def frequency(v):
-    return L.frequency(v.spe_classified, ["category", "class"])
+    return v.spe_base.groupBy("category", "class", "latency").agg(F.sum("cnt").alias("cnt"))
 
 
 def _stats_with(freq, keys):
@@ -400,17 +400,13 @@ _RESOLVED = "(SELECT DISTINCT module_id, rel FROM v_modules WHERE rel IS NOT NUL
 
 
 @query("j11_address_instruction_classes", """
-    WITH w AS (SELECT 'mod' || (p_partkey % 3) AS module_id, p_partkey AS p FROM part)
-    SELECT mapping_id, ip, p IS NOT NULL AS found, CASE WHEN p IS NULL THEN 'unknown_instruction' ELSE c.class END AS class, c.kind
-    FROM v_modules m LEFT JOIN w ON w.module_id = m.module_id AND w.p * 64 = m.rel AND m.module_id LIKE 'mod%'
-    LEFT JOIN (SELECT DISTINCT word, class, kind FROM v_spe) c ON c.word = w.p * 2654435761 % 4294967296""")
+    SELECT mapping_id, ip, i.word IS NOT NULL AS found, coalesce(i.class, 'unknown_instruction') AS class, i.kind
+    FROM v_modules m LEFT JOIN v_instructions i ON i.module_id = m.module_id AND i.address = m.rel""")
 def address_classes(v):
-    placed = resolve.with_symbol_file(resolve.to_module(v.by_address, v.maps), v.matches)
-    usable = placed.withColumn("address", F.when(F.col("candidate_path").isNotNull(), F.col("rel")))
-    table = v.words.select("module_id", "address", C.word_class(F.col("word")).alias("c"))
-    found = resolve.exact_instruction(usable, table)
-    return found.select("mapping_id", "ip", F.col("c").isNotNull().alias("found"),
-                        F.coalesce("c.class", F.lit("unknown_instruction")).alias("class"), "c.kind")
+    addresses = v.by_address.select("mapping_id", "ip").distinct()
+    classes = sampling.address_classes(addresses, v.maps, v.matches, v.instructions).withColumn("found", F.lit(True))
+    rows = sampling.classified(addresses.withColumn("category", F.lit("load_l1")), classes)
+    return rows.select("mapping_id", "ip", F.coalesce("found", F.lit(False)).alias("found"), "class", "kind")
 
 
 @query("s9_instruction_words", f"""

@@ -162,9 +162,12 @@ VIEWS = {
                 SELECT {_FILE.format('doc_id')} AS file,
                     regexp_split_to_array(regexp_replace(text, '\\r?\\n\\z', ''), '\\r?\\n') AS lines
                 FROM documents WHERE text <> ''))""",
+    "v_instructions": f"""
+        SELECT *, {_word_class('word')} FROM (
+            SELECT 'mod' || (p_partkey % 3) AS module_id, p_partkey * 64 AS address, p_partkey * 2654435761 % 4294967296 AS word FROM part)""",
     "v_spe": f"""
         SELECT *, CASE WHEN category IN ('decode_unknown', 'other_unknown') THEN 'unknown_instruction' ELSE class END AS child FROM (
-            SELECT *, {_word_class('word')},
+            SELECT s.*, coalesce(i.class, 'unknown_instruction') AS class, i.kind,
                 CASE WHEN decode_status <> 0 THEN 'decode_unknown'
                      WHEN operation_flags & 3 = 3 THEN 'atomic_' || CASE WHEN lvl = 'io' THEN 'unknown' ELSE lvl END
                      WHEN operation_flags & 1 = 1 THEN 'load_' || lvl WHEN operation_flags & 2 = 2 THEN 'store_' || lvl
@@ -176,9 +179,9 @@ VIEWS = {
                     ['l1', 'l2', 'peer_core', 'peer_cluster', 'system_cache', 'peer_cluster', 'remote', 'dram', 'io', 'unknown'][l_partkey % 10 + 1] AS lvl,
                     l_linenumber % 3 AS branch_result, (l_orderkey % 3)::INTEGER AS cache_result,
                     CASE WHEN l_orderkey % 37 = 0 THEN 1 ELSE 0 END AS decode_status,
-                    CASE WHEN l_orderkey % 11 <> 0 THEN floor(l_extendedprice)::BIGINT % 997 END AS latency,
-                    l_partkey * 2654435761 % 4294967296 AS word
-                FROM v_addressed))""",
+                    CASE WHEN l_orderkey % 11 <> 0 THEN floor(l_extendedprice)::BIGINT % 997 END AS latency
+                FROM v_addressed) s
+            LEFT JOIN v_modules m USING (mapping_id, ip) LEFT JOIN v_instructions i ON i.module_id = m.module_id AND i.address = m.rel)""",
     "v_spe_placed": """
         SELECT DISTINCT p.* FROM v_placed p JOIN (SELECT DISTINCT mapping_id, ip FROM v_spe) s USING (mapping_id, ip)""",
     "v_spe_freq": """
