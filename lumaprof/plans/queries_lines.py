@@ -400,7 +400,7 @@ _NAMED = f"""
         SELECT ip, CASE WHEN function = '' THEN module || '+0x' || lower(to_hex(relative_address)) ELSE function || ' (' || module || ')' END AS label FROM named)"""
 
 
-@query("m26_frames", f"""
+FRAMES_SQL = f"""
     WITH {_NAMED.strip()},
     w AS (SELECT CASE WHEN own THEN 'self' ELSE 'callchain' END AS role, ip, event_key, sum(period)::BIGINT AS w, count(*) AS n FROM v_hits GROUP BY ALL),
     g AS (SELECT role, ip, sum(n)::BIGINT AS sample_count, sum(CASE WHEN role = 'self' THEN w ELSE 0 END)::DOUBLE AS self_weight,
@@ -411,7 +411,10 @@ _NAMED = f"""
     SELECT role, module, function, ip, relative_address, mapping_id, cpu, thread, sample_count, self_weight, accumulated_weight,
         round(self_weight / sum(self_weight) OVER () * 100, 6) AS p_pct, round(accumulated_weight / sum(accumulated_weight) OVER () * 100, 6) AS acc_p_pct,
         event_weights, CASE WHEN function = '' THEN 'UnresolvedSymbol' ELSE 'Symbol' END AS status
-    FROM g JOIN ids USING (role, ip) JOIN named USING (ip)""")
+    FROM g JOIN ids USING (role, ip) JOIN named USING (ip)"""
+
+
+@query("m26_frames", FRAMES_SQL)
 def frames(v):
     return rounded(stack_text.frames(v.samples, v.maps, v.symbols))
 

@@ -13,10 +13,11 @@ from lumaprof.functions.columns import pmu_columns
 from lumaprof.operators import counters, hits, lines, quality, stack_text, views
 from lumaprof.operators.views import LineFilter
 from lumaprof.plans.adapters import EVENT_KEYS, PLAN, SOURCE_ROOTS
+from lumaprof.operators.lookup import dense_ids
 from lumaprof.operators.resolve import match_symbol_files
 from lumaprof.operators.reuse import kept
 from lumaprof.plans.line_report import line_rows
-from lumaprof.plans.queries_lines import DETAIL_SQL, LINES_SQL, TEXTS_SQL, counter_lines
+from lumaprof.plans.queries_lines import DETAIL_SQL, FRAMES_SQL, LINES_SQL, TEXTS_SQL, counter_lines
 from lumaprof.plans.registry import query, r6, rounded
 from lumaprof.plans.sql_views import number_text
 from lumaprof.sinks import render, report
@@ -101,20 +102,23 @@ def file_page(v):
     SELECT file, CASE WHEN function = '' THEN '<unknown>' ELSE function END AS function, sum(self_weight)::DOUBLE AS self_weight,
         sum(accumulated_weight)::DOUBLE AS accumulated_weight FROM line_rows GROUP BY ALL)
     SELECT row_number() OVER (ORDER BY self_weight DESC, accumulated_weight DESC, function, file)::INTEGER AS position, file, function, self_weight, accumulated_weight
-    FROM functions ORDER BY 1 LIMIT 10000""")
+    FROM functions""")
 def function_list(v):
     rows = views.query_functions(lines.summarize_functions(counter_lines(v)))
     order = [F.desc("self_weight"), F.desc("accumulated_weight"), F.asc("function"), F.asc("file")]
     return numbered(rows, order).select("position", "file", "function", "self_weight", "accumulated_weight")
 
 
-@query("t11_top_frames", """
-    WITH g AS (SELECT CASE WHEN own THEN 'self' ELSE 'callchain' END AS role, ip, sum(CASE WHEN own THEN period ELSE 0 END)::DOUBLE AS s,
-        sum(CASE WHEN own THEN 0 ELSE period END)::DOUBLE AS a FROM v_hits GROUP BY 1, 2)
-    SELECT s AS self_weight, a AS accumulated_weight FROM g ORDER BY s DESC, a DESC LIMIT 200""")
+#: Rows that a display of frames and of diagnostics shows.
+TOP_FRAMES, DIAGNOSTICS = 200, 80
+
+
+@query("t11_top_frames", f"""
+    {FRAMES_SQL.strip()} ORDER BY self_weight DESC, accumulated_weight DESC, role, module NULLS FIRST, function NULLS FIRST, ip,
+        relative_address NULLS FIRST, mapping_id NULLS FIRST LIMIT {TOP_FRAMES}""")
 def top_frames(v):
     rows = stack_text.frames(v.samples, v.maps, v.symbols)
-    return views.top(rows, stack_text.frame_order(), 200).select("self_weight", "accumulated_weight")
+    return rounded(views.top(rows, stack_text.frame_order(), TOP_FRAMES))
 
 
 _WARNINGS = """
@@ -125,17 +129,12 @@ _WARNINGS = """
 
 
 @query("t12_first_diagnostics", f"""
-    WITH {_WARNINGS.strip()}, n AS (SELECT *, row_number() OVER (ORDER BY session_id, warning) AS ordinal FROM w)
-    SELECT ordinal, warning FROM n WHERE ordinal <= 80
-    UNION ALL SELECT NULL, (count(*) - 80) || ' additional warnings omitted' FROM n HAVING count(*) > 80""")
+    WITH {_WARNINGS.strip()}, n AS (SELECT *, row_number() OVER (ORDER BY session_id, warning) - 1 AS ordinal FROM w)
+    SELECT ordinal, warning FROM n WHERE ordinal < {DIAGNOSTICS}
+    UNION ALL SELECT NULL, (count(*) - {DIAGNOSTICS}) || ' additional warnings omitted' FROM n HAVING count(*) > {DIAGNOSTICS}""")
 def first_diagnostics(v):
-    rows = quality.lane_warnings(v.manifest, v.loss)
-    # The order of the shown rows is all that matters; the rest is only counted.
-    head = rows.orderBy("session_id", "warning").limit(80)
-    position = F.row_number().over(Window.orderBy("session_id", "warning")).cast("bigint")
-    shown = head.select(position.alias("ordinal"), "warning")
-    omitted = views.first_diagnostics(rows.withColumn("ordinal", F.lit(0).cast("bigint")), 80).filter("ordinal IS NULL")
-    return shown.unionByName(omitted)
+    rows = dense_ids(quality.lane_warnings(v.manifest, v.loss), ["session_id", "warning"], "ordinal")
+    return views.first_diagnostics(rows, DIAGNOSTICS)
 
 
 # --- printed reports and sinks -----------------------------------------------------------
