@@ -13,6 +13,26 @@ from lumaprof.functions.paths import warns_without_symbols
 
 SESSION = "session_id"
 
+# --- fixed values: message texts ---------------------------------------------------
+NO_ROWS = ("No source rows were generated. Check source_root_hints/path_remaps and source file availability.")
+NO_SAMPLED = ("No sampled source rows were attributed. PMU/SPE samples exist, but no sample address resolved to "
+              "source; check --elf debug ELF paths/build-id matching first, then source roots/path remaps.")
+NO_FUNCTIONS = ("No source rows contain function names. This usually means no matching unstripped debug ELF/DWARF "
+                "was available; pass debug ELF files or directories with --elf and verify build IDs.")
+NO_SAMPLED_FUNCTIONS = ("Sampled source rows were attributed, but none include function names. Check whether matched "
+                        "ELF files contain function/debug information.")
+CPU_COVERAGE = ("PMU sample CPU coverage is incomplete: selected CPUs [", "], observed sample CPUs [",
+                "]. If observed CPUs are unexpectedly limited, check ", " PERF_SAMPLE_CPU parsing/capture.")
+EVENT_COVERAGE = ("PMU samples only contain event(s) [",
+                  "]. Metrics requiring instructions/cache/branch events, such as CPI, MIPS, cache hit rate, and "
+                  "branch miss rate, will be Missing unless those PMU events are captured.")
+NO_SYMBOL_FILE = "Debug ELF Missing for "
+STRIPPED_FILE = ("Debug ELF for ", " matched ",
+                 ", but it has no DWARF .debug_line/.debug_info sections. Source Lines cannot be generated from this "
+                 "stripped ELF; use an unstripped device library or enable local program analysis with an unstripped ELF.")
+SYMBOLS_PENDING = "Will be populated by symbol matching stage"
+ATTRIBUTION_PENDING = "Will be populated after address-to-line attribution"
+
 
 def _warn(rows: DataFrame, test: Column, text: Column) -> DataFrame:
     return rows.filter(test).select(SESSION, text.alias("warning"))
@@ -44,26 +64,13 @@ def coverage_warnings(totals: DataFrame, selected: DataFrame, recorder: str = "r
     rows = totals.join(selected, SESSION).filter("sample_count > 0")
     wanted = F.size(F.array_distinct("selected_cpus"))
     cpus = _warn(rows, (wanted > 1) & (F.size("cpus") < wanted), F.concat(
-        F.lit("PMU sample CPU coverage is incomplete: selected CPUs ["), _ids(F.col("selected_cpus")),
-        F.lit("], observed sample CPUs ["), _ids(F.col("cpus")),
-        F.lit(f"]. If observed CPUs are unexpectedly limited, check {recorder} PERF_SAMPLE_CPU parsing/capture.")))
+        F.lit(CPU_COVERAGE[0]), _ids(F.col("selected_cpus")), F.lit(CPU_COVERAGE[1]), _ids(F.col("cpus")),
+        F.lit(CPU_COVERAGE[2] + recorder + CPU_COVERAGE[3])))
     events = _warn(rows, F.size("event_keys") <= 1, F.concat(
-        F.lit("PMU samples only contain event(s) ["), F.array_join(F.array_sort("event_keys"), ","),
-        F.lit("]. Metrics requiring instructions/cache/branch events, such as CPI, MIPS, cache hit rate, and "
-              "branch miss rate, will be Missing unless those PMU events are captured.")))
+        F.lit(EVENT_COVERAGE[0]), F.array_join(F.array_sort("event_keys"), ","), F.lit(EVENT_COVERAGE[1])))
     return cpus.unionByName(events)
 
 
-# --- fixed values: attribution messages ---------------------------------------
-NO_ROWS = ("No source rows were generated. Check source_root_hints/path_remaps and source file availability.")
-NO_SAMPLED = ("No sampled source rows were attributed. PMU/SPE samples exist, but no sample address resolved to "
-              "source; check --elf debug ELF paths/build-id matching first, then source roots/path remaps.")
-NO_FUNCTIONS = ("No source rows contain function names. This usually means no matching unstripped debug ELF/DWARF "
-                "was available; pass debug ELF files or directories with --elf and verify build IDs.")
-NO_SAMPLED_FUNCTIONS = ("Sampled source rows were attributed, but none include function names. Check whether matched "
-                        "ELF files contain function/debug information.")
-
-
 def attribution_warnings(rows: DataFrame, has_samples: bool) -> DataFrame:
     """What the finished line rows say about symbol and source matching."""
     name = F.trim("function")
@@ -86,11 +93,9 @@ def symbol_file_warnings(matches: DataFrame) -> DataFrame:
     wanted = matches.filter(warns_without_symbols(F.col("module_id"), F.col("runtime_path")))
     lost = F.col("quality") == "missing"
     stripped = F.concat(
-        F.lit("Debug ELF for "), F.col("module_id"), F.lit(" matched "),
-        F.coalesce("candidate_path", F.lit("<unknown>")),
-        F.lit(", but it has no DWARF .debug_line/.debug_info sections. Source Lines cannot be generated from this "
-              "stripped ELF; use an unstripped device library or enable local program analysis with an unstripped ELF."))
-    text = F.when(lost, F.concat(F.lit("Debug ELF Missing for "), F.col("module_id"))).when(
+        F.lit(STRIPPED_FILE[0]), F.col("module_id"), F.lit(STRIPPED_FILE[1]),
+        F.coalesce("candidate_path", F.lit("<unknown>")), F.lit(STRIPPED_FILE[2]))
+    text = F.when(lost, F.concat(F.lit(NO_SYMBOL_FILE), F.col("module_id"))).when(
         ~F.col("has_debug_info"), stripped)
     return wanted.select("module_id", text.alias("warning")).filter("warning is not null")
 
@@ -111,8 +116,8 @@ def quality_table(manifest: DataFrame, loss: DataFrame) -> DataFrame:
         lane("PMU capability", "pmu"), lane("SPE capability", "spe"),
         lost("PMU lost records", "pmu_lost_records"), lost("Ring buffer overrun", "ring_buffer_overruns"),
         lost("SPE decode errors", "spe_decode_errors"),
-        _check("ELF match quality", F.lit("Pending"), F.lit("Will be populated by symbol matching stage")),
-        _check("Source attribution rate", F.lit("Pending"), F.lit("Will be populated after address-to-line attribution")))
+        _check("ELF match quality", F.lit("Pending"), F.lit(SYMBOLS_PENDING)),
+        _check("Source attribution rate", F.lit("Pending"), F.lit(ATTRIBUTION_PENDING)))
     return rows.select(SESSION, F.posexplode(checks).alias("ordinal", "c")).select(SESSION, "ordinal", "c.*")
 
 

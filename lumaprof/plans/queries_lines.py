@@ -73,7 +73,7 @@ def modules(v):
 
 @query("j3_narrowest_mapping", "SELECT ip, mapping_id, module_id, rel FROM v_rel_narrowest WHERE rel IS NOT NULL")
 def narrowest(v):
-    ips = v.by_address.select("ip").filter(F.col("ip") < (1 << 62)).union(v.by_address.select(A.untagged(F.col("ip"))))
+    ips = v.by_address.select("ip").union(v.by_address.select(A.untagged(F.col("ip"))))
     rel = A.relative(F.col("ip"), F.col("start"), F.col("end"), F.col("load_bias"), F.col("offset"))
     return resolve.narrowest_mapping(ips, v.maps).select("ip", "mapping_id", "module_id", rel.alias("rel")).filter("rel IS NOT NULL")
 

@@ -453,8 +453,13 @@ def lane_warnings(v):
     WITH t AS (SELECT 's' || l_suppkey AS session_id, list_sort(list(DISTINCT l_orderkey % 3)) AS cpus,
             list_sort(list(DISTINCT event_key) FILTER (event_key IS NOT NULL)) AS events FROM (
             SELECT l_suppkey, l_orderkey, c.event_key FROM lineitem LEFT JOIN v_catalog c ON c.ordinal = CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE l_linenumber - 1 END) GROUP BY 1)
-    SELECT session_id, 'cpu' AS kind, array_to_string(cpus, ',') AS seen FROM t JOIN v_manifest USING (session_id) WHERE len(selected_cpus) > 1 AND len(cpus) < len(selected_cpus)
-    UNION ALL SELECT session_id, 'event', array_to_string(events, ',') FROM t JOIN v_manifest USING (session_id) WHERE len(events) <= 1""")
+    SELECT session_id, 'PMU sample CPU coverage is incomplete: selected CPUs [' || array_to_string(list_sort(list_distinct(selected_cpus)), ',')
+            || '], observed sample CPUs [' || array_to_string(cpus, ',')
+            || ']. If observed CPUs are unexpectedly limited, check recorder PERF_SAMPLE_CPU parsing/capture.' AS warning
+        FROM t JOIN v_manifest USING (session_id) WHERE len(list_distinct(selected_cpus)) > 1 AND len(cpus) < len(list_distinct(selected_cpus))
+    UNION ALL SELECT session_id, 'PMU samples only contain event(s) [' || coalesce(array_to_string(events, ','), '')
+            || ']. Metrics requiring instructions/cache/branch events, such as CPI, MIPS, cache hit rate, and branch miss rate, will be Missing unless those PMU events are captured.'
+        FROM t JOIN v_manifest USING (session_id) WHERE coalesce(len(events), 0) <= 1""")
 def coverage(v):
     samples = v.table("lineitem").selectExpr("concat('s', l_suppkey) AS session_id", "l_orderkey % 3 AS cpu",
                                              "if(l_suppkey % 2 = 0, 0L, CAST(l_linenumber AS BIGINT) - 1) AS event_key_ref")
@@ -462,10 +467,7 @@ def coverage(v):
     totals = known.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("sample_count"), F.collect_set("cpu").alias("cpus"),
         F.collect_set(F.when(F.col("event_key") != "unknown_event", F.col("event_key"))).alias("event_keys"))
-    warnings = quality.coverage_warnings(totals, v.manifest.select("session_id", "selected_cpus"))
-    is_cpu = F.col("warning").contains("CPU coverage")
-    seen = F.regexp_extract("warning", r".*?(?:observed sample CPUs|event\(s\)) \[([^\]]*)\]", 1)
-    return warnings.select("session_id", F.when(is_cpu, F.lit("cpu")).otherwise(F.lit("event")).alias("kind"), seen.alias("seen"))
+    return quality.coverage_warnings(totals, v.manifest.select("session_id", "selected_cpus"))
 
 
 _NO_FUNCTIONS = quality.NO_FUNCTIONS.replace("'", "''")
@@ -483,11 +485,12 @@ def attribution(v):
 
 
 @query("q5_symbol_file_warnings", """
-    SELECT module_id, CASE WHEN quality = 'missing' THEN 'missing' ELSE 'stripped' END AS kind FROM v_symbol_files
+    SELECT module_id, CASE WHEN quality = 'missing' THEN 'Debug ELF Missing for ' || module_id ELSE 'Debug ELF for ' || module_id || ' matched '
+        || coalesce(candidate_path, '<unknown>') || ', but it has no DWARF .debug_line/.debug_info sections. Source Lines cannot be generated from this '
+        || 'stripped ELF; use an unstripped device library or enable local program analysis with an unstripped ELF.' END AS warning FROM v_symbol_files
     WHERE module_id LIKE '%.so' AND (runtime_path LIKE '/data/app/%' OR runtime_path LIKE '/data/local/tmp/%') AND (quality = 'missing' OR NOT has_debug_info)""")
 def symbol_file_warnings(v):
-    rows = quality.symbol_file_warnings(match_symbol_files(v.modules, v.candidates))
-    return rows.select("module_id", F.when(F.col("warning").contains("Missing"), F.lit("missing")).otherwise(F.lit("stripped")).alias("kind"))
+    return quality.symbol_file_warnings(match_symbol_files(v.modules, v.candidates))
 
 
 @query("q6_quality_table", """

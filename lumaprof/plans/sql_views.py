@@ -120,7 +120,7 @@ VIEWS = {
             CASE WHEN p_partkey % 7 <> 0 THEN 'fn_' || p_brand END AS function FROM part""",
     "v_narrowest": f"""
         SELECT k.ip, m.* FROM (SELECT DISTINCT ip & {_MASK} AS ip FROM v_addressed
-            UNION SELECT DISTINCT ip FROM v_hits WHERE ip < {_TAG}) k
+            UNION SELECT DISTINCT ip FROM v_hits) k
         JOIN v_maps m ON k.ip >= m.start_ AND k.ip < m.end_
         QUALIFY row_number() OVER (PARTITION BY k.ip ORDER BY m.end_ - m.start_, m.pos) = 1""",
     "v_rel_narrowest": """
