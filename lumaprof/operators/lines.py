@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumaprof.functions import metric_value as M
 from lumaprof.functions.names import DIMENSION_PREFIX, SPE_COLUMNS, UNKNOWN_FUNCTION, spe_column_keys
-from lumaprof.functions.text import id_list_text, summary_text
+from lumaprof.functions.text import id_list_text, is_zero_text, summary_text
 from lumaprof.operators import latency as L
 from lumaprof.operators import sampling as S
 
@@ -319,6 +319,11 @@ def metric_summary(long: DataFrame) -> DataFrame:
     return grouped.select("key", text.alias("summary"))
 
 
+def shown_metrics(summary: DataFrame) -> DataFrame:
+    """The summarised keys that get a column: those whose text is neither blank, a state nor zero."""
+    return summary.filter(~is_zero_text(F.col("summary")))
+
+
 def long_metrics(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(*LINE, F.explode(column).alias("key", "value"))
 

@@ -307,12 +307,15 @@ def file_summary(v):
     return lines.summarize_files(counter_lines(v))
 
 
-@query("m22_function_summary", LINES_SQL + """
+FUNCTIONS_SQL = LINES_SQL + """
     SELECT file, CASE WHEN function = '' THEN '<unknown>' ELSE function END AS function, min(line) AS line_start, max(line) AS line_end,
         first(module ORDER BY line) AS module, sum(self_weight)::DOUBLE AS self_weight, sum(accumulated_weight)::DOUBLE AS accumulated_weight,
         count(*) FILTER (status LIKE '%NonZero%') AS sample_count,
         coalesce(string_agg(line::VARCHAR, ', ' ORDER BY line) FILTER (status LIKE '%NonZero%'), '') AS hot_lines
-    FROM line_rows GROUP BY ALL""")
+    FROM line_rows GROUP BY ALL"""
+
+
+@query("m22_function_summary", FUNCTIONS_SQL)
 def function_summary(v):
     return lines.summarize_functions(counter_lines(v))
 
@@ -425,7 +428,7 @@ def frame_labels(v):
     return named.select("ip", A.frame_label(F.col("module"), F.col("function"), F.col("relative_address")).alias("label"))
 
 
-@query("m27_p24_callchains", f"""
+CHAINS_SQL = f"""
     WITH {_NAMED.strip()},
     ips AS (SELECT list_prepend(ip, callchain) AS ips, event_key, cpu, tid, period FROM v_pmu),
     texts AS (SELECT ips, string_agg(label, ' <- ' ORDER BY i) AS stack, first(label ORDER BY i) AS leaf, last(label ORDER BY i) AS root
@@ -435,7 +438,10 @@ def frame_labels(v):
         FROM ips JOIN texts USING (ips) GROUP BY stack)
     SELECT stack, min(leaf) AS leaf, min(root) AS root, any_value(cpu) AS cpu, any_value(thread) AS thread, sum(n)::BIGINT AS sample_count,
         sum(w)::DOUBLE AS weight, round(sum(w) / (SELECT sum(period) FROM v_pmu) * 100, 6) AS p_pct, string_agg(event_key || '=' || w, ', ' ORDER BY event_key) AS event_weights
-    FROM e JOIN ids USING (stack) GROUP BY stack""")
+    FROM e JOIN ids USING (stack) GROUP BY stack"""
+
+
+@query("m27_p24_callchains", CHAINS_SQL)
 def callchains(v):
     rows = stack_text.callchains(v.samples, v.maps, v.symbols)
     return rounded(rows.select("stack", "leaf", "root", "cpu", "thread", "sample_count", "weight", "p_pct", "event_weights"))

@@ -17,7 +17,7 @@ from lumaprof.operators.lookup import dense_ids
 from lumaprof.operators.resolve import match_symbol_files
 from lumaprof.operators.reuse import kept
 from lumaprof.plans.line_report import line_rows
-from lumaprof.plans.queries_lines import DETAIL_SQL, FRAMES_SQL, LINES_SQL, TEXTS_SQL, counter_lines
+from lumaprof.plans.queries_lines import CHAINS_SQL, DETAIL_SQL, FRAMES_SQL, FUNCTIONS_SQL, LINES_SQL, TEXTS_SQL, counter_lines
 from lumaprof.plans.registry import query, r6, rounded
 from lumaprof.plans.sql_views import number_text
 from lumaprof.sinks import render, report
@@ -162,6 +162,27 @@ def file_texts(v):
     return render.file_rows(lines.summarize_files(counter_lines(v)))
 
 
+@query("k1_function_rows", f"""
+    SELECT function, file, line_start, line_end, module, printf('%.0f', self_weight) AS self_weight, printf('%.0f', accumulated_weight) AS acc_weight,
+        sample_count AS samples FROM ({FUNCTIONS_SQL})""")
+def function_texts(v):
+    return render.function_rows(lines.summarize_functions(counter_lines(v)))
+
+
+@query("k1_frame_rows", f"""
+    SELECT role, module, function, '0x' || lower(to_hex(ip)) AS ip, '0x' || lower(to_hex(relative_address)) AS relative_address, mapping_id, cpu, thread,
+        sample_count, printf('%.0f', self_weight) AS self_weight, printf('%.0f', accumulated_weight) AS acc_weight, printf('%.6f', p_pct) AS p_pct,
+        printf('%.6f', acc_p_pct) AS acc_p_pct, event_weights, status FROM ({FRAMES_SQL})""")
+def frame_texts(v):
+    return render.frame_rows(stack_text.frames(v.samples, v.maps, v.symbols))
+
+
+@query("k1_callchain_rows", f"""
+    SELECT stack, leaf, root, cpu, thread, sample_count, printf('%.0f', weight) AS weight, printf('%.6f', p_pct) AS p_pct, event_weights FROM ({CHAINS_SQL})""")
+def callchain_texts(v):
+    return render.callchain_rows(stack_text.callchains(v.samples, v.maps, v.symbols))
+
+
 @query("k3_rows_as_json_arrays", f"""{_LINES} SELECT to_json([file, line::VARCHAR, function, module, cpu, thread, status, printf('%.6f', p_pct), cpi, mips])::VARCHAR AS value FROM texts""")
 def json_arrays(v):
     printed = render.line_rows(counter_lines(v), PMU_KEYS, [("pmu_values", k) for k in ("cpi", "mips")])

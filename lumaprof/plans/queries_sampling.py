@@ -384,16 +384,19 @@ def cpu_sheet(v):
 
 @query("m25_metric_summary", "WITH long AS (" + _line_sql("category") + """),
     g AS (SELECT name || '.' || metric AS key, sum(value) AS s, count(value) AS n, bool_or(state = 'unresolved') AS u, bool_or(state = 'missing') AS m,
-            bool_or(state = 'undefined') AS d FROM long WHERE NOT (state = 'number' AND value = 0) GROUP BY 1)
-    SELECT key, CASE WHEN n > 0 THEN CASE WHEN key LIKE '%min_latency_cycles' OR key LIKE '%max_latency_cycles' THEN printf('%.0f', s)
+            bool_or(state = 'undefined') AS d FROM long WHERE NOT (state = 'number' AND value = 0) GROUP BY 1),
+    t AS (SELECT key, CASE WHEN n > 0 THEN CASE WHEN key LIKE '%min_latency_cycles' OR key LIKE '%max_latency_cycles' THEN printf('%.0f', s)
             ELSE printf(CASE WHEN abs(s) >= 1000 THEN '%.0f' ELSE '%.3f' END, s) || CASE WHEN key LIKE '%\\_pct' ESCAPE '\\' THEN '%' ELSE '' END END
-        WHEN u THEN 'Unresolved' WHEN m THEN 'Missing' WHEN d THEN 'N/A' ELSE '0' END AS summary FROM g""")
+        WHEN u THEN 'Unresolved' WHEN m THEN 'Missing' WHEN d THEN 'N/A' ELSE '0' END AS summary FROM g)
+    SELECT key, summary, NOT (summary IN ('Unresolved', 'Missing', 'N/A') OR coalesce(TRY_CAST(rtrim(summary, '%') AS DOUBLE) = 0, false)) AS shown FROM t""")
 def metric_summary(v):
     freq = lines.frequency_by_line(v.spe_base, v.spe_placed, "category")
     long = sampling.line_metrics(freq, PLAN.baseline).select(F.concat("name", F.lit("."), "metric").alias("key"), "value")
     rounded_value = F.col("value").withField("value", F.round("value.value", 6))
     kept = long.withColumn("value", rounded_value).filter(~((F.col("value.state") == "number") & (F.col("value.value") == 0)))
-    return lines.metric_summary(kept).select("key", "summary")
+    summary = lines.metric_summary(kept).select("key", "summary")
+    shown = lines.shown_metrics(summary).select("key", F.lit(True).alias("shown"))
+    return summary.join(shown, "key", "left").withColumn("shown", F.coalesce("shown", F.lit(False)))
 
 
 # --- instruction lookup -----------------------------------------------------------------------
