@@ -32,10 +32,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame, label: str) -> DataFrame:
+def written(rows: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there and a lost executor loses nothing."""
     path = shared_path(rows.sparkSession, label)
-    rows.write.parquet(path)
+    rows.write.option("compression", compression).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -93,7 +93,7 @@ def permuted(numbers: np.ndarray, count: int, key: int, rounds: int = ROUNDS) ->
 def materialised(docs: DataFrame, tokenizer_path: str, path: str, key: int = 20_240_601, length: int = SEQUENCE,
                  shard_sequences: int = SHARD_SEQUENCES, end_id: int = 2) -> int:
     """Write all shards below ``path`` as ``shard=N`` folders of one file each; returns the number of sequences."""
-    cut = written(sequences(docs, tokenizer_path, length, end_id), "sequences")
+    cut = written(sequences(docs, tokenizer_path, length, end_id), "sequences", "zstd")
     counts = written(cut.groupBy("task").agg(F.count("*").alias("n")), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     if not total:
