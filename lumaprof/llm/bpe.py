@@ -30,8 +30,8 @@ from tokenizers import Tokenizer
 
 from lumaprof.llm.common import slices
 
-#: Entries a worker keeps of encoded pieces before it starts its dictionary anew.
-CACHE_ENTRIES = 400_000
+#: Entries of each of the two generations that a worker's dictionary of encoded pieces keeps.
+CACHE_ENTRIES = 500_000
 #: Pieces longer than this are encoded but not kept.
 CACHE_PIECE = 48
 #: The first code point for symbols that end a word.
@@ -110,7 +110,7 @@ class PrefixEncoder:
                 key = last[before] << 20 | token
                 fits = pairs.get(key)
                 if fits is None:
-                    if len(pairs) >= 2 * CACHE_ENTRIES:
+                    if len(pairs) >= CACHE_ENTRIES:
                         pairs.clear()
                     fits = pairs[key] = self.stays_apart(last[before], token)
                 if not fits:
@@ -129,16 +129,20 @@ class PrefixEncoder:
 
 
 class Kept(dict):
-    """A dictionary that fills itself and starts anew when it is full."""
+    """A dictionary that fills itself; when it is full it starts anew, and takes over what is asked for again."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.before: dict = {}
 
     def __missing__(self, piece):
-        value = self.make(piece)
+        value = self.before.get(piece)
+        if value is None:
+            value = self.make(piece)
         if len(piece) <= CACHE_PIECE:
             if len(self) >= CACHE_ENTRIES:
+                self.before = dict(self)
                 self.clear()
             self[piece] = value
         return value

@@ -21,6 +21,7 @@ class WordIds:
     """Text bytes to ids, as little-endian unsigned 32-bit integers."""
 
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+\\Z")
+    MARKS = frozenset([b".", b",", b";", b":", b"!", b"?", b")", b'"'])
     CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
     def __init__(self, path: str):
@@ -29,16 +30,25 @@ class WordIds:
         self.model = self.tokenizer.model
         self.table = dict(enumerate(byte_symbols()))
         self.words = Kept(self._word)
+        self.ascii_words = Kept(lambda word: self._ids(word.decode()))
         self.pieces = Kept(self._piece)
 
-    def _word(self, word: str) -> bytes:
-        symbols = word.encode().decode("latin-1").translate(self.table)
+    def _ids(self, symbols: str) -> bytes:
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(symbols)])
 
+    def _word(self, word: str) -> bytes:
+        return self._ids(word.encode().decode("latin-1").translate(self.table))
+
     def _piece(self, piece: bytes) -> bytes:
+        # ASCII letters stand for themselves in the vocabulary, and so does one mark after them.
+        if piece.isalpha():
+            return self.ascii_words[piece.lower()]
+        if piece[:-1].isalpha() and piece[-1:] in self.MARKS:
+            return self.ascii_words[piece[:-1].lower()] + self.ascii_words[piece[-1:]]
         text = piece.decode()
         if self.PLAIN.match(text) and "<|" not in text:
-            return b"".join(map(self.words.__getitem__, self.CUT.findall(text.lower())))
+            words = [text.lower()] if text.isalpha() else self.CUT.findall(text.lower())
+            return b"".join(map(self.words.__getitem__, words))
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
