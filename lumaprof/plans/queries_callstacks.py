@@ -249,6 +249,29 @@ def record_names(v):
         tables["threads"].select(F.lit("thread").alias("kind"), F.col("tid").alias("id"), "name"))
 
 
+@query("k5_name_tables", f"""
+    WITH {_SEEN.strip()} SELECT 'library' AS kind, lib_id AS id, NULL::BIGINT AS lib_id, '&lt;' || lib || '&gt;' AS name FROM lib_ids
+    UNION ALL SELECT 'function', row_number() OVER (ORDER BY seen, lib, symbol) - 1, lib_id, '&lt;' || symbol || '&gt;' FROM f JOIN lib_ids USING (lib)""")
+def name_tables(v):
+    """Names in angle brackets, which the record export escapes."""
+    bracket = lambda c: F.concat(F.lit("<"), F.col(c), F.lit(">"))
+    libs, functions = R.dictionaries(v.callstacks)
+    tables = report.record_tables(functions.withColumn("symbol", bracket("symbol")), libs.withColumn("lib", bracket("lib")), R.named_rollup(v.callstacks))
+    no_lib = F.lit(None).cast("bigint").alias("lib_id")
+    return tables["libraries"].select(F.lit("library").alias("kind"), F.col("lib_id").alias("id"), no_lib, "name").unionByName(
+        tables["functions"].select(F.lit("function").alias("kind"), F.col("func_id").alias("id"), "lib_id", "name"))
+
+
+@query("k5_tree_entries", """
+    SELECT t.event, t.pid, t.tid, t.depth, '{"e":' || t.self || ',"s":' || t.subtree || ',"f":' || t.func || '}' AS value,
+        CASE WHEN p.func IS NOT NULL THEN '{"e":' || p.self || ',"s":' || p.subtree || ',"f":' || p.func || '}' END AS parent
+    FROM v_tree t LEFT JOIN v_tree p ON p.event = t.event AND p.pid = t.pid AND p.tid = t.tid AND p.path = t.path[1:t.depth - 1]""")
+def tree_entries(v):
+    entries = report.tree_entries(R.call_tree(v.stacks), THREAD)
+    parents = entries.select(*THREAD, F.col("node").alias("parent"), F.col("value").alias("_parent"))
+    return entries.join(parents, [*THREAD, "parent"], "left").select(*THREAD, "depth", "value", F.col("_parent").alias("parent"))
+
+
 @query("k5_function_lists", """
     SELECT event, pid, tid, lib, sum(self) OVER (PARTITION BY event, pid, tid, lib)::BIGINT AS lib_self,
         '{"f":' || func || ',"c":[' || sample_count || ',' || self || ',' || subtree || ']}' AS value FROM v_function_rows""")

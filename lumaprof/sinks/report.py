@@ -163,6 +163,16 @@ def function_lists(functions: DataFrame, libraries: DataFrame, keys: Sequence[st
         *keys, "lib", "lib_self", entry.alias("value"))
 
 
+def tree_entries(tree: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Call tree nodes as ``{"e":self,"s":subtree,"f":func}`` JSON lines under their node and parent ids.
+
+    One line per node, not one nested document per thread, so a tree of any size is many rows.
+    """
+    value = F.to_json(F.struct(F.col("self").alias("e"), F.col("subtree").alias("s"), F.col("func").alias("f")))
+    name = lambda c: F.concat(F.hex(f"{c}.a"), F.lit("-"), F.hex(f"{c}.b")).alias(c)
+    return tree.select(*keys, "depth", name("node"), name("parent"), value.alias("value"))
+
+
 def frame_entries(totals: DataFrame, functions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Frames as ``[total,[func,self,subtree,...]]``; a frame's list is bounded by its distinct functions."""
     triple = F.array("func", "self", "subtree")
