@@ -210,6 +210,30 @@ def numeric_lines(v):
     return rounded(rows.select("file", "line", "status", "self_weight", "acc_weight", "cpi", "mpki", "branch_miss_rate"))
 
 
+@query("k11_numeric_file_rows", LINES_SQL + _FILES + """
+    SELECT file, self_weight, accumulated_weight AS acc_weight, hot_lines AS sample_count, hot_lines, 0::BIGINT AS unresolved, missing FROM files""")
+def numeric_files(v):
+    return render.numeric_file_rows(lines.summarize_files(counter_lines(v)))
+
+
+@query("k11_numeric_function_rows", f"""
+    SELECT function, file, line_start, line_end, module, self_weight, accumulated_weight AS acc_weight, sample_count AS samples FROM ({FUNCTIONS_SQL})""")
+def numeric_functions(v):
+    return render.numeric_function_rows(lines.summarize_functions(counter_lines(v)))
+
+
+@query("k11_numeric_frame_rows", f"""
+    SELECT role, module, function, '0x' || lower(to_hex(ip)) AS ip, '0x' || lower(to_hex(relative_address)) AS relative_address, mapping_id, cpu, thread,
+        sample_count, self_weight, accumulated_weight AS acc_weight, p_pct, acc_p_pct, event_weights, status FROM ({FRAMES_SQL})""")
+def numeric_frames(v):
+    return rounded(render.numeric_frame_rows(stack_text.frames(v.samples, v.maps, v.symbols)))
+
+
+@query("k11_numeric_callchain_rows", CHAINS_SQL)
+def numeric_callchains(v):
+    return rounded(render.numeric_callchain_rows(stack_text.callchains(v.samples, v.maps, v.symbols)))
+
+
 _ANNOTATION = ("'// [profile] ' || {count}'p=' || printf('%.6f', p_pct) || '%, acc_p=' || printf('%.6f', acc_p_pct) || '%, file_p=' || printf('%.6f', file_p_pct) "
                "|| '%, file_acc_p=' || printf('%.6f', file_acc_p_pct) || '%, self_weight=' || printf('%.0f', self_weight) || ', acc_weight=' || printf('%.0f', accumulated_weight) "
                "|| ', cpu=' || CASE WHEN cpu = '' THEN 'Missing' ELSE cpu END || ', thread=' || CASE WHEN thread = '' THEN 'Missing' ELSE thread END || ', ' || {metrics} || ', status=' || status")

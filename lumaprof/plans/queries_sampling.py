@@ -374,12 +374,20 @@ def breakdown_order(v):
 _WIDE = ", ".join(f"max(value) FILTER (metric = '{m}') AS {m}" for m in CATEGORY_METRICS)
 
 
-@query("k10_cpu_sheet_load_kinds", f"SELECT * FROM (SELECT cpu, name, {_WIDE} FROM (" + _cpu_sql("kind", True) + ") GROUP BY cpu, name) WHERE "
-       + " OR ".join(f"coalesce({m}, 0) <> 0" for m in CATEGORY_METRICS))
-def cpu_sheet(v):
-    long = sampling.cpu_metrics(_cpu_frequency(v, "kind"), True)
-    wide = render.per_cpu_sheet(long, CATEGORY_METRICS)
-    return wide.select("cpu", "name", *[r6(F.col(m)["value"]).alias(m) for m in CATEGORY_METRICS])
+def _sheet_query(name, dimension):
+    sql = f"SELECT * FROM (SELECT cpu, name, {_WIDE} FROM (" + _cpu_sql(dimension, True) + ") GROUP BY cpu, name) WHERE "
+
+    @query(name, sql + " OR ".join(f"coalesce({m}, 0) <> 0" for m in CATEGORY_METRICS))
+    def plan(v):
+        long = sampling.cpu_metrics(_cpu_frequency(v, dimension), True)
+        wide = render.per_cpu_sheet(long, CATEGORY_METRICS)
+        return wide.select("cpu", "name", *[r6(F.col(m)["value"]).alias(m) for m in CATEGORY_METRICS])
+
+    return plan
+
+
+_sheet_query("k10_cpu_sheet_load_kinds", "kind")
+_sheet_query("k10_cpu_sheet_classes", "class")
 
 
 @query("m25_metric_summary", "WITH long AS (" + _line_sql("category") + """),

@@ -108,3 +108,24 @@ def numeric_line_rows(rows: DataFrame, columns: Sequence[tuple[str, str]]) -> Da
     fixed = ["file", "line", "function", "module", "cpu", "thread", "code", "status", "p_pct", "acc_p_pct",
              "file_p_pct", "file_acc_p_pct", "self_weight", F.col("accumulated_weight").alias("acc_weight")]
     return rows.select(*fixed, *[M.metric_number(F.try_element_at(source, F.lit(key))).alias(key) for source, key in columns])
+
+
+def numeric_file_rows(files: DataFrame) -> DataFrame:
+    """File rows with numbers in place of text; the further tables likewise."""
+    return files.select("file", "self_weight", F.col("accumulated_weight").alias("acc_weight"), "sample_count", "hot_lines", "unresolved", "missing")
+
+
+def numeric_function_rows(functions: DataFrame) -> DataFrame:
+    return functions.select("function", "file", "line_start", "line_end", "module", "self_weight",
+                            F.col("accumulated_weight").alias("acc_weight"), F.col("sample_count").alias("samples"))
+
+
+def numeric_frame_rows(frames: DataFrame) -> DataFrame:
+    return frames.select(
+        "role", "module", "function", hex_text(F.col("ip")).alias("ip"), hex_text(F.col("relative_address")).alias("relative_address"),
+        "mapping_id", "cpu", "thread", "sample_count", "self_weight", F.col("accumulated_weight").alias("acc_weight"), "p_pct", "acc_p_pct",
+        "event_weights", "status")
+
+
+def numeric_callchain_rows(callchains: DataFrame) -> DataFrame:
+    return callchains.select("stack", "leaf", "root", "cpu", "thread", "sample_count", "weight", "p_pct", "event_weights")
