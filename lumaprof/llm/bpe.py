@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 from lumaprof.llm.common import slices
 
 #: Entries of each of the two generations that a worker's dictionary of encoded pieces keeps.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 #: Pieces longer than this are encoded but not kept.
 CACHE_PIECE = 48
 #: The first code point for symbols that end a word.
@@ -110,7 +110,7 @@ class PrefixEncoder:
                 key = last[before] << 20 | token
                 fits = pairs.get(key)
                 if fits is None:
-                    if len(pairs) >= CACHE_ENTRIES:
+                    if len(pairs) >= 2 * CACHE_ENTRIES:
                         pairs.clear()
                     fits = pairs[key] = self.stays_apart(last[before], token)
                 if not fits:
@@ -131,9 +131,9 @@ class PrefixEncoder:
 class Kept(dict):
     """A dictionary that fills itself; when it is full it starts anew, and takes over what is asked for again."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.make = make
+        self.make, self.entries = make, entries
         self.before: dict = {}
 
     def __missing__(self, piece):
@@ -141,7 +141,7 @@ class Kept(dict):
         if value is None:
             value = self.make(piece)
         if len(piece) <= CACHE_PIECE:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.before = dict(self)
                 self.clear()
             self[piece] = value

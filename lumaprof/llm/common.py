@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,10 +32,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def written(rows: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there and a lost executor loses nothing."""
     path = shared_path(rows.sparkSession, label)
-    rows.write.option("compression", compression).parquet(path)
+    rows.write.options(**options or {}).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -44,11 +44,6 @@ def text_bytes(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
 
 
-def map_batches(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-                schema: str) -> DataFrame:
-    return rows.mapInArrow(function, schema)
-
-
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about ``most`` bytes of one text column (a row is never cut)."""
     sizes = [0 if v is None else v for v in pc.binary_length(batch.column(column)).to_pylist()]

@@ -33,6 +33,8 @@ from lumaprof.llm.word_ids import word_ids
 
 #: Ids of a sequence, sequences of a shard (8 MB), and Feistel rounds.
 SEQUENCE, SHARD_SEQUENCES, ROUNDS = 1024, 4096, 6
+#: How the sequences are kept until they have their slots: they are written and read once.
+STAGED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, end_id: int = 2) -> DataFrame:
@@ -93,7 +95,7 @@ def permuted(numbers: np.ndarray, count: int, key: int, rounds: int = ROUNDS) ->
 def materialised(docs: DataFrame, tokenizer_path: str, path: str, key: int = 20_240_601, length: int = SEQUENCE,
                  shard_sequences: int = SHARD_SEQUENCES, end_id: int = 2) -> int:
     """Write all shards below ``path`` as ``shard=N`` folders of one file each; returns the number of sequences."""
-    cut = written(sequences(docs, tokenizer_path, length, end_id), "sequences", "zstd")
+    cut = written(sequences(docs, tokenizer_path, length, end_id), "sequences", STAGED)
     counts = written(cut.groupBy("task").agg(F.count("*").alias("n")), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     if not total:

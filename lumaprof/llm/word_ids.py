@@ -14,7 +14,7 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-from lumaprof.llm.bpe import Kept, byte_symbols
+from lumaprof.llm.bpe import CACHE_ENTRIES, Kept, byte_symbols
 
 
 class WordIds:
@@ -29,8 +29,9 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.table = dict(enumerate(byte_symbols()))
-        self.words = Kept(self._word)
-        self.ascii_words = Kept(lambda word: self._ids(word.decode()))
+        # Words are asked for only when their piece is new.
+        self.words = Kept(self._word, CACHE_ENTRIES // 2)
+        self.ascii_words = Kept(lambda word: self._ids(word.decode()), CACHE_ENTRIES // 2)
         self.pieces = Kept(self._piece)
 
     def _ids(self, symbols: str) -> bytes:
