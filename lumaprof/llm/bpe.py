@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 from lumaprof.llm.common import slices
 
 #: Entries of each of the two generations that a worker's dictionary of encoded pieces keeps.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 #: Pieces longer than this are encoded but not kept.
 CACHE_PIECE = 48
 #: The first code point for symbols that end a word.
