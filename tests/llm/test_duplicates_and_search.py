@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lumaprof.llm import ann, components, simhash, topk
+from lumaprof.llm import ann, components, near_copies, simhash, topk
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -86,6 +86,57 @@ def test_no_duplicates_of_nothing(spark, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.deduplicated(no_docs).count() == 0
 
 
+def groups_of_similar(texts):
+    sets = []
+    for text in texts:
+        words = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    return root
+
+
+def edited_texts():
+    random.seed(41)
+    text = lambda n: [f"w{random.randrange(10**6)}" for _ in range(n)]
+
+    def edited(words, edits):
+        words = list(words)
+        for at in random.sample(range(len(words)), edits):
+            words[at] = f"e{random.randrange(10**6)}"
+        return words
+
+    hub, chain = text(200), [text(200)]
+    for _ in range(6):
+        chain.append(edited(chain[-1], 3))
+    texts = [hub] + [edited(hub, n % 9) for n in range(50)] + chain  # 4 edits of 200 words are near 0.8
+    for _ in range(20):
+        base = text(random.randrange(30, 300))
+        texts += [base, edited(base, max(1, len(base) // 60))]
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("limits", [{}, {"few": 2, "block": 7}, {"few": 0, "block": 1000}])
+def test_near_copies_against_brute_force(spark, odd_texts, limits):
+    texts = odd_texts + edited_texts()
+    root = groups_of_similar(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    wanted = sorted({min(i for i in range(len(texts)) if root[i] == r) for r in root})
+    assert sorted(r.doc_id for r in near_copies.one_of_each(docs, **limits).collect()) == wanted
+
+
+def test_pipeline_stage_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:100] + ["x"] + words[101:]), " ".join(words[:300] + ["y", "z"] + words[302:]), "another text of a few words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 3]
+
+
 SCHEMA = "vec_id bigint, embedding array<float>, label int, score string, rank string"
 
 
