@@ -37,7 +37,13 @@ ACCOUNT = re.compile(r"(?<![0-9])[0-9]{8,11}(?![0-9])")
 NOT_DIGIT = re.compile("[^0-9]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: Words that announce a kind, and the characters before a span in which they count.
+#: Characters of an IBAN in countries that have fixed its length.
+IBAN_LENGTH = {country: int(n) for n, countries in (entry.split(":") for entry in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC 33:RU").split()) for country in countries.split(",")}
+
+#: Words that announce a kind, and the characters before and after a span in which they count.
 CONTEXT = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact|write)\b", re.I),
     "ip": re.compile(r"\b(?:ip|host|server|address)\b", re.I),
@@ -98,26 +104,46 @@ def base_spans(text: str) -> list[tuple[int, int, int, float]]:
     return spans
 
 
-def _score(text: str, kind: str, start: int) -> float:
-    return min(1.0, START[kind] + (LIFT if CONTEXT[kind].search(text, max(0, start - NEAR), start) else 0.0))
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """IBANs with a valid checksum. A match that has taken in the words behind its number ends earlier.
+
+    Ends are tried from the longest on; where the country has fixed the length, only that one and the whole match.
+    """
+    match = IBAN.search(text)
+    while match:
+        start, end = match.span()
+        fixed = IBAN_LENGTH.get(text[start:start + 2])
+        ends = [end] + [at for at in range(end - 1, start + 11, -1) if text[at] == " " and IBAN.fullmatch(text, start, at)]
+        if fixed:
+            ends = [at for at in ends if at - start - text.count(" ", start, at) == fixed] + [end]
+        end = next((at for at in ends if mod97(text[start:at])), None)
+        if end is not None:
+            yield start, end
+        match = IBAN.search(text, start + 1 if end is None else end)
+
+
+def _score(text: str, kind: str, start: int, end: int) -> float:
+    after = min(len(text), end + NEAR)
+    while end < after < len(text) and text[after - 1].isalnum() and text[after].isalnum():  # no word is cut
+        after -= 1
+    words = CONTEXT[kind]
+    near = words.search(text, max(0, start - NEAR), start) or words.search(text, end, after)
+    return min(1.0, START[kind] + (LIFT if near else 0.0))
 
 
 def spans_of(text: str, least_score: float = 0.6) -> list[tuple[int, int, int, float]]:
     """All spans of a text as (start, kind number, end, score), in order of start and kind."""
     base = base_spans(text)
-    found = [(a, k, b, _score(text, KINDS[k], a)) for a, k, b in base]
+    found = [(a, k, b, _score(text, KINDS[k], a, b)) for a, k, b in base]
     busy: list[tuple[int, int]] = []
     for a, _, b, _ in sorted(found):
         if busy and a < busy[-1][1]:
             busy[-1] = (busy[-1][0], max(b, busy[-1][1]))
         else:
             busy.append((a, b))
-    for kind, pattern in ((4, IBAN), (5, NATIONAL), (6, ACCOUNT)):
-        for match in pattern.finditer(text):
-            a, b = match.span()
-            if kind == 4 and not mod97(match[0]):
-                continue
-            score = _score(text, KINDS[kind], a)
+    for kind, proposed in ((4, _ibans(text)), (5, map(re.Match.span, NATIONAL.finditer(text))), (6, map(re.Match.span, ACCOUNT.finditer(text)))):
+        for a, b in proposed:
+            score = _score(text, KINDS[kind], a, b)
             at = bisect_left(busy, (b,))
             if score >= least_score and (at == 0 or busy[at - 1][1] <= a):
                 insort(busy, (a, b))

@@ -140,6 +140,23 @@ def test_further_kinds_need_checks_or_context():
     assert near[0][3] > far[0][3]
 
 
+def test_ibans_end_before_the_next_word():
+    ibans = lambda text: [text[a:b] for a, k, b, _ in pii.spans_of(text) if pii.KINDS[k] == "iban"]
+    for text in ("BE68 5390 0754 7034", "BE68539007547034", "DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201"):
+        for after in ("", ".", " is it", " OK", " BIC GEBABEBB", " 2024", " 2024 OK", " A1 B2", " EUR 100"):
+            assert ibans(f"pay {text}{after}") == [text], text + after
+    assert ibans("XX12 ABCD EFGH BE68 5390 0754 7034 OK") == ["BE68 5390 0754 7034"]
+    assert ibans("BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00") == ["BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"]
+    assert ibans("BE68 5390 0754 7035 OK") == []
+
+
+def test_words_on_both_sides_announce():
+    kinds = lambda text: [(pii.KINDS[k], text[a:b]) for a, k, b, _ in pii.spans_of(text)]
+    assert kinds("123-45-6789 (SSN)") == [("national_id", "123-45-6789")]
+    assert kinds("12345678 is the account") == [("account", "12345678")]
+    assert kinds("12345678" + " " * 40 + "account") == [] and kinds("12345678" + " " * 33 + "accountant") == []
+
+
 def test_redaction(spark, odd_docs, no_docs):
     docs = spark.createDataFrame([(1, "mail bob@x.org now", "en", 18), (2, "clean", "en", 5), (3, None, None, None)], "doc_id bigint, text string, lang string, n_chars int")
     assert [tuple(r) for r in pii.redacted(docs).orderBy("doc_id").collect()] == [(1, "mail <email> now", "en", 16), (2, "clean", "en", 5), (3, None, None, None)]
