@@ -1,7 +1,8 @@
 """Quality scores from compression with a good and a bad dictionary.
 
 Two zstandard dictionaries are built from texts labelled good and bad. A text is
-compressed whole with both; the difference of the sizes over their sum says which
+compressed whole with both, in pieces of ``PIECE_BYTES`` that each have the full
+dictionary in reach, so that a long text counts to its end; the difference of the sizes over their sum says which
 side it resembles, and the smaller size over the text's own length how regular it
 is. A logistic calibration turns both into a score between 0 and 1. The labelled rows fall into two folds with a
 pair of dictionaries each: the calibration measures a labelled text with the pair of
@@ -35,6 +36,8 @@ from lumaprof.llm.common import slices, written
 PER_CLASS = 3000
 #: Bytes of a text that go into a dictionary's training, and of the dictionary.
 SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 4000, 112_640, 3
+#: Bytes of a text that are compressed at once; a text's sizes are the sums over its pieces.
+PIECE_BYTES = 16_384
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -71,7 +74,8 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 def sizes(compressors: list[zstandard.ZstdCompressor], text: bytes) -> tuple[int, int, int]:
     good, bad = compressors
-    return len(good.compress(text)), len(bad.compress(text)), len(text)
+    pieces = [text[at:at + PIECE_BYTES] for at in range(0, max(1, len(text)), PIECE_BYTES)]
+    return sum(len(good.compress(p)) for p in pieces), sum(len(bad.compress(p)) for p in pieces), len(text)
 
 
 def features(measured: np.ndarray) -> np.ndarray:

@@ -82,6 +82,21 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     assert quality.scored(odd_docs, few).count() == odd_docs.count()
 
 
+def test_quality_does_not_thin_out_with_length(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").filter("quality = 1").filter(quality.held_out()).orderBy("doc_id").select("text").collect()
+    whole = "\n".join(r.text or "" for r in rows).encode()
+    long = whole * (1 + 1_500_000 // len(whole))
+    compressors = model.compressors()
+    short_score, long_score = quality.scores(model, compressors, [whole[:50_000], long])
+    assert long_score >= 0.7 and abs(short_score - long_score) < 0.1
+    # Every part counts in full, wherever it stands.
+    for pair in compressors:
+        one, many = quality.sizes(pair, whole[:quality.PIECE_BYTES]), quality.sizes(pair, whole[:quality.PIECE_BYTES] * 20)
+        assert many == tuple(20 * n for n in one)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
