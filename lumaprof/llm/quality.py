@@ -9,7 +9,8 @@ pair of dictionaries each: the calibration measures a labelled text with the pai
 the other fold, and a score is the mean (of logits) over both pairs.
 
 The labelled sample is bounded (``per_class`` rows of each label, lowest id hashes
-first); it is the only thing that is. Rows whose ``crc32(id) mod 4`` is 2 are never
+first); it is the only thing that is. The calibration weighs the sampled rows so that
+the classes have their shares of all rows that may be learned from. Rows whose ``crc32(id) mod 4`` is 2 are never
 learned from. Scores use the text alone.
 
 Null and empty texts get the score of an empty text. Without rows of both labels
@@ -86,12 +87,13 @@ def features(measured: np.ndarray) -> np.ndarray:
     return np.stack([np.ones_like(lean), lean, regular, regular ** 2, lean * regular], axis=1)
 
 
-def logistic(inputs: np.ndarray, labels: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+def logistic(inputs: np.ndarray, labels: np.ndarray, mass: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights of the inputs; ``mass`` is how many rows each row counts for."""
     weights = np.zeros(inputs.shape[1])
     for _ in range(60):
         guess = 1 / (1 + np.exp(-np.clip(inputs @ weights, -30, 30)))
-        slope = inputs.T @ (labels - guess) - ridge * weights
-        curve = inputs.T @ (inputs * (guess * (1 - guess))[:, None]) + ridge * np.eye(weights.size)
+        slope = inputs.T @ (mass * (labels - guess)) - ridge * weights
+        curve = inputs.T @ (inputs * (mass * guess * (1 - guess))[:, None]) + ridge * np.eye(weights.size)
         step = np.linalg.solve(curve, slope)
         weights += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
@@ -111,6 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     """Learn from at most ``per_class`` labelled rows of each class, none of them held out."""
     marked = (labels.filter("doc_id is not null and quality is not null").filter(~held_out())
               .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_label")))
+    marked = written(marked.join(docs.select("doc_id"), "doc_id", "left_semi"), "marked")
+    total = {r["_label"]: r["n"] for r in marked.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id")
     picked = None
     for label in (1, 0):
@@ -121,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     sample = written(chosen.select("_label", F.pmod(F.shiftright(order, 8), F.lit(2)).cast("int").alias("_fold"), order.alias("_order"),
                                    F.coalesce("text", F.lit("")).cast("binary").alias("_text")), "labelled")
     counts = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    prior = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
+    prior = total.get(1, 0) / sum(total.values()) if total else 0.5
     if len(counts) < 2:
         return Model((), (), prior)
     texts: dict[tuple[int, int], list[bytes]] = {(label, fold): [] for label in (0, 1) for fold in (0, 1)}
@@ -142,7 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
     rows = sample.select("_label", "_fold", "_text").mapInArrow(measure, "label int, good bigint, bad bigint, length bigint")
     measured = rows.orderBy("label", "good", "bad", "length").toPandas()
-    weights = logistic(features(measured[["good", "bad", "length"]].to_numpy()), measured["label"].to_numpy(float))
+    # Sampled rows stand for all of their class; as many in all as were sampled.
+    mass = {label: n / counts[label] * sum(counts.values()) / sum(total.values()) for label, n in total.items()}
+    weights = logistic(features(measured[["good", "bad", "length"]].to_numpy()), measured["label"].to_numpy(float), measured["label"].map(mass).to_numpy(float))
     return Model(pairs, tuple(weights.tolist()), prior)
 
 

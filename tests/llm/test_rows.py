@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,20 @@ def test_quality_does_not_thin_out_with_length(spark):
         assert many == tuple(20 * n for n in one)
 
 
+def test_quality_keeps_the_shares_of_capped_classes(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    learned = labels.filter(~quality.held_out()).join(docs, "doc_id", "left_semi").groupBy("quality").count().toPandas().set_index("quality")["count"]
+    share, least = learned[1] / learned.sum(), int(learned.min())
+    capped = quality.fit(docs, labels, per_class=least)
+    assert capped.prior == pytest.approx(share) and share > 0.7
+    # A calibration on weighed rows has the weighed mean of the labels; of unweighed ones it would be a half.
+    rows = quality.scored(docs, capped).join(labels.filter(~quality.held_out()), "doc_id").toPandas()
+    assert rows["score"].mean() == pytest.approx(share, abs=0.05)
+    inputs, given = np.ones((4, 1)), np.array([1.0, 1.0, 0.0, 0.0])
+    weight = quality.logistic(inputs, given, np.array([1.8, 1.8, 0.2, 0.2]), ridge=1e-9)
+    assert 1 / (1 + np.exp(-weight[0])) == pytest.approx(0.9)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
