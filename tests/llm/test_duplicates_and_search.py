@@ -137,6 +137,15 @@ def test_pipeline_stage_drops_edited_copies(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 3]
 
 
+def test_rows_with_repeated_and_null_ids_are_told_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, c), (None, c), (7, b), (9, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    rows_of = lambda found: sorted(map(str, (tuple(r) for r in found.collect())))
+    assert rows_of(near_copies.one_of_each(docs)) == sorted(map(str, [(1, a), (5, b), (None, c), (9, None)]))
+    assert rows_of(simhash.deduplicated(docs).filter("doc_id is not null")) == sorted(map(str, [(1, a), (5, b), (9, None)]))
+
+
 SCHEMA = "vec_id bigint, embedding array<float>, label int, score string, rank string"
 
 
