@@ -32,13 +32,19 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
+def written(rows: DataFrame, label: str, options: dict[str, str] | None = None, path: str | None = None) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there and a lost executor loses nothing."""
-    path = shared_path(rows.sparkSession, label)
+    path = path or shared_path(rows.sparkSession, label)
     rows.write.options(**options or {}).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that no later step reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_bytes(column: str | Column) -> Column:
     """UTF-8 bytes of a text, a null one being empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
