@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaprof.functions.names import BOUNDARY_THREAD, FRAME_MARKERS, MARKER_GAP_NS
-from lumaprof.operators.lookup import SLICE_ROWS, containing, numbered, sliced
+from lumaprof.operators.lookup import merged_before, numbered, sliced
+from lumaprof.operators.reuse import cut
 
 THREAD = ["event", "pid", "tid"]
 ON_CPU, OFF_CPU = "cpu-cycles", "sched:sched_switch"
@@ -45,7 +46,7 @@ def boundary_threads(names: DataFrame) -> DataFrame:
 
 
 def boundaries(samples: DataFrame, names: DataFrame, marker: Column, gap: int = MARKER_GAP_NS,
-               slice_rows: int = SLICE_ROWS) -> DataFrame:
+               slice_rows: int | None = None) -> DataFrame:
     """Frames ``(event, frame_idx, start, end)`` of each event.
 
     A marker sample opens a frame when more than ``gap`` passed since the
@@ -104,8 +105,14 @@ def combined(samples: DataFrame) -> DataFrame:
 
 
 def in_frames(samples: DataFrame, frames: DataFrame) -> DataFrame:
-    """Samples with the frame ``[start, end)`` that holds their time; a frame over a long pause is filed like any other."""
-    return containing(samples, frames, "time", "start", "end", by=["event"])
+    """Samples with the frame ``[start, end)`` that holds their time.
+
+    Frames of an event are disjoint, so the last start is the only candidate: the
+    distinct times are merged with the starts, and each sample moves once, to its time.
+    """
+    columns = [c for c in frames.columns if c != "event"]
+    hits = merged_before(samples, frames, ["event"], "time", "start", columns).filter(F.col("time") < F.col("end"))
+    return samples.join(hits, ["event", "time"])
 
 
 #: Consecutive frames of one event that a grid joins with the threads at a time.
@@ -149,47 +156,57 @@ def good_and_bad(totals: DataFrame, fps: float, second: float = 1e9) -> DataFram
     return totals.groupBy(*THREAD).agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"))
 
 
-def _medians(rows: DataFrame, by: Sequence[str], value: str, page_bits: int = 16) -> DataFrame:
-    """Exact median per group: page counts find the page of each middle rank, ranks inside it find the value.
+#: Rank error of the first look for a median, as a share of the group.
+MEDIAN_ERROR = 1e-4
+
+
+def _bracket(value: str, error: float) -> Column:
+    """Two values between which the median lies, from a mergeable sketch whose ranks are off by ``error`` at most."""
+    return F.percentile_approx(value, F.array(F.lit(0.5 - 2 * error), F.lit(0.5 + 2 * error)), F.lit(int(1 / error)))
 
-    Works on distinct values with counts, at most ``2**page_bits`` of them per page.
+
+def _settled(rows: DataFrame, brackets: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Exact median per group: counts below and at the bracket's ends, and the few values between them.
+
+    Between the ends lie a few ``MEDIAN_ERROR`` of a group's rows; ties that are many are an end themselves.
     """
-    counts = rows.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn(
-        "_page", F.shiftright("_v", page_bits))
-    group = Window.partitionBy(*by)
-    pages = counts.groupBy(*by, "_page").agg(F.sum("_c").alias("_n"))
-    pages = pages.withColumn("_total", F.sum("_n").over(group)).withColumn(
-        "_upto", F.sum("_n").over(group.orderBy("_page").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
-    before = F.col("_upto") - F.col("_n")
-    middle = pages.filter(((before < low) & (low <= F.col("_upto"))) | ((before < high) & (high <= F.col("_upto"))))
-    inside = Window.partitionBy(*by, "_page").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.join(middle.withColumn("_before", before), [*by, "_page"]).withColumn(
-        "_last", F.col("_before") + F.sum("_c").over(inside)).withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    v, lo, hi = F.col(value), F.col("_bracket")[0], F.col("_bracket")[1]
+    found = rows.join(brackets.select(*by, "_bracket"), [*by]).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(v < lo).alias("_below"), F.count_if(v == lo).alias("_at"),
+        F.sort_array(F.collect_list(F.when((v > lo) & (v < hi), v))).alias("_between"),
+        F.any_value(lo).alias("_lo"), F.any_value(hi).alias("_hi"))
+    upto = F.col("_below") + F.col("_at")
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_first") <= rank) & (rank <= F.col("_last")), F.col("_v")))
+        return F.when(rank <= upto, F.col("_lo")).when(
+            rank <= upto + F.size("_between"), F.get("_between", (rank - upto - 1).cast("int"))).otherwise(F.col("_hi"))
+
+    return found.select(*by, ((at(F.floor((F.col("_n") + 1) / 2)) + at(F.floor(F.col("_n") / 2) + 1)) / 2).alias("median"))
+
 
-    return ranked.groupBy(*by).agg(((at(low) + at(high)) / 2).alias("median"))
+def _medians(rows: DataFrame, by: Sequence[str], value: str, error: float = MEDIAN_ERROR) -> DataFrame:
+    """Exact median per group of a whole-numbered column."""
+    return _settled(rows, rows.groupBy(*by).agg(_bracket(value, error).alias("_bracket")), by, value)
 
 
 def function_stats(functions: DataFrame, totals: DataFrame, fps: float, second: float = 1e9) -> DataFrame:
     """Per thread and function over the frames it appears in: sums, spread, bad-minus-good mean, share stability."""
-    rows = functions.join(totals.select(*THREAD, "frame_idx", "total"), [*THREAD, "frame_idx"]).withColumn(
-        "ratio", F.when(F.col("total") > 0, F.col("subtree") / F.col("total")).otherwise(0.0)).withColumn(
-        "bad", F.col("total") > F.lit(second / fps))
+    rows = cut(functions.join(totals.select(*THREAD, "frame_idx", "total"), [*THREAD, "frame_idx"]).select(
+        *THREAD, "func", "subtree", F.when(F.col("total") > 0, F.col("subtree") / F.col("total")).otherwise(0.0).alias("ratio"),
+        (F.col("total") > F.lit(second / fps)).alias("bad")))
     by = [*THREAD, "func"]
     good_mean = F.avg(F.when(~F.col("bad"), F.col("subtree")))
     bad_mean = F.avg(F.when(F.col("bad"), F.col("subtree")))
     ratio_mean = F.avg("ratio")
-    stats = rows.groupBy(*by).agg(
+    stats = cut(rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("frames"), F.sum("subtree").alias("total_subtree"),
         F.min("subtree").alias("min_frame"), F.max("subtree").alias("max_frame"),
         F.avg("subtree").alias("avg"), F.stddev_pop("subtree").alias("stddev"),
         (F.coalesce(bad_mean, F.lit(0.0)) - F.coalesce(good_mean, F.lit(0.0))).alias("delta"),
-        F.when(ratio_mean > 0, F.stddev_pop("ratio") / ratio_mean).otherwise(0.0).alias("cv"))
+        F.when(ratio_mean > 0, F.stddev_pop("ratio") / ratio_mean).otherwise(0.0).alias("cv"),
+        _bracket("subtree", MEDIAN_ERROR).alias("_bracket")))
     threads = stats.groupBy(*THREAD).agg(F.greatest(F.max("cv"), F.lit(0.0)).alias("max_cv"))
-    return stats.join(_medians(rows, by, "subtree"), by).join(threads, THREAD)
+    return stats.drop("_bracket").join(_settled(rows, stats, by, "subtree"), by).join(threads, THREAD)
 
 
 def function_series(functions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaprof.operators.callstacks import THREAD, node_rows, rolled_stacks
-from lumaprof.operators.reuse import kept as reused
+from lumaprof.operators.reuse import cut as reused
 
 
 def calls_below(stacks: DataFrame, func: Column, reverse: bool = False) -> DataFrame:

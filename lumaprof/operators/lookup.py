@@ -2,17 +2,20 @@
 
 Both spread their work by *cell* (a slice of the address or time axis), and wide
 cells by salt, so a module, event or mapping that holds most of the rows is still
-many tasks. Numberings run in slices of the order that are cut by row count.
+many tasks. Numberings, merges and sweeps run in slices of the order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from heapq import heapify, heappop, heappush
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaprof.operators.reuse import kept
+from lumaprof.operators.reuse import cut
 
 
 #: Copies of the intervals of one size that salting may make, and the most salts of a size.
@@ -96,14 +99,127 @@ def latest_before(points: DataFrame, marks: DataFrame, by: Sequence[str], point:
     )
 
 
-#: Rows of one slice of a numbering.
-SLICE_ROWS = 100_000
+def sliced(df: DataFrame, order: Sequence[str], slice_rows: int | None = None) -> DataFrame:
+    """Rows with ``_slice``: consecutive ranges of the order, one per shuffle partition, or of about ``slice_rows`` each."""
+    # Without a size the session's partitions decide, and nothing has to be counted first.
+    ranges = df.repartitionByRange(max(1, -(-df.count() // slice_rows)), *order) if slice_rows else df.repartitionByRange(*order)
+    return cut(ranges.withColumn("_slice", F.spark_partition_id()))
 
 
-def sliced(df: DataFrame, order: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Rows with ``_slice``: consecutive ranges of the order, of about ``slice_rows`` each."""
-    slices = max(1, -(-df.count() // slice_rows))
-    return kept(df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
+def merged_before(points: DataFrame, marks: DataFrame, by: Sequence[str], point: str, mark: str,
+                  payload: Sequence[str], slice_rows: int | None = None) -> DataFrame:
+    """As-of join by a merge: each distinct ``(by, point)`` with the payload of the greatest mark <= point.
+
+    Points and marks (one per ``(by, mark)``) are one ordered set that is cut at
+    shared bounds; a window runs inside each range, and the last mark of the ranges
+    before it is carried in from a table with one row per range.
+    """
+    keys = [F.col(k) for k in by]
+    mark_rows = marks.select(*keys, F.col(mark).alias("_at"), F.lit(0).alias("_kind"), F.struct(*dict.fromkeys([mark, *payload])).alias("_mark"))
+    point_rows = points.select(*keys, F.col(point).alias("_at")).distinct().withColumn("_kind", F.lit(1))
+    rows = sliced(point_rows.unionByName(mark_rows, allowMissingColumns=True), [*by, "_at", "_kind"], slice_rows)
+    ends = rows.groupBy(*by, "_slice").agg(F.max_by("_mark", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_last"))
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_slice", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    inside = Window.partitionBy(*by, "_slice").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("_local", F.last("_mark", ignorenulls=True).over(inside)).filter("_kind = 1").join(carried, [*by, "_slice"])
+    hit = F.coalesce("_local", "_carried")
+    return found.withColumn("_hit", hit).select(
+        *by, F.col("_at").alias(point), *[F.col(f"_hit.{c}").alias(c) for c in dict.fromkeys([mark, *payload])])
+
+
+#: Levels of the tree over slices; enough for 2**24 of them.
+LEVELS = 24
+
+
+def _covering(ends: DataFrame, order: Sequence[str]) -> DataFrame:
+    """For every slice, the first interval by ``order`` that is open all through it: one row per such slice.
+
+    An interval over many slices is filed under the nodes of a binary tree over
+    slices that make up its inner ones, two per level at most; a slice takes the
+    first one of the nodes above it.
+    """
+    row = F.struct(*[c for c in ends.columns if c not in ("_slice", "_kind", "_at")])
+    spans = ends.groupBy("_id").agg(F.min("_slice").alias("_from"), F.max("_slice").alias("_to"), F.any_value(row).alias("_row")).filter("_to - _from > 1")
+    nodes = F.expr(f"""flatten(transform(sequence(0, {LEVELS}), k -> filter(array_distinct(array(
+        named_struct('level', k, 'node', shiftright(_from + shiftleft(1, k), k), 'use', shiftright(_from + shiftleft(1, k), k) % 2 = 1),
+        named_struct('level', k, 'node', shiftright(_to, k) - 1, 'use', shiftright(_to, k) % 2 = 1))),
+        n -> n.use and shiftright(_from + shiftleft(1, k), k) < shiftright(_to, k))))""")
+    first = F.min_by("_row", F.struct(*[F.col(f"_row.{c}") for c in order]))
+    filed = spans.select(F.explode(nodes).alias("_n"), "_row").groupBy("_n.level", "_n.node").agg(first.alias("_row"))
+    above = ends.select("_slice").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    over = above.withColumn("node", F.expr("shiftright(_slice, level)")).join(filed, ["level", "node"])
+    return over.groupBy("_slice").agg(first.alias("_row")).select("_slice", "_row.*", F.lit(2).alias("_kind"), F.lit(None).cast("bigint").alias("_at"))
+
+
+def _sweep(by: Sequence[str], order: Sequence[str], out: Sequence[str]):
+    """Goes over the interval ends of a slice with a heap of the open intervals; a row wherever the first one of them changes."""
+    def run(rows: pa.Table) -> pa.Table:
+        ranked = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
+        ids, kinds, ats = (ranked.column(c).to_pylist() for c in ("_id", "_kind", "_at"))
+        groups = list(zip(*(ranked.column(c).to_pylist() for c in by))) if by else [()] * len(ids)
+        first: dict[int, int] = {}  # rank of an interval: where it stands first
+        for n, one in enumerate(ids):
+            first.setdefault(one, n)
+        started = {one for one, kind in zip(ids, kinds) if kind == 0}
+        changes: dict[tuple, dict[int, list[tuple[int, int]]]] = {}
+        opened: dict[tuple, list[int]] = {}
+        for group, one, kind, at in zip(groups, ids, kinds, ats):
+            if kind != 2:
+                changes.setdefault(group, {}).setdefault(at, []).append((kind, first[one]))
+            if kind != 0 and one not in started:
+                opened.setdefault(group, []).append(first[one])
+        where, picked, owner = [], [], []
+        for group, points in changes.items():
+            heap, closed, last = opened.get(group, []), set(), -1
+            heapify(heap)
+            for at in sorted(points):
+                for kind, rank in points[at]:
+                    if kind == 0:
+                        heappush(heap, rank)
+                    else:
+                        closed.add(rank)
+                while heap and heap[0] in closed:
+                    heappop(heap)
+                now = heap[0] if heap else None
+                if now != last:
+                    where.append(at)
+                    picked.append(now)
+                    owner.append(points[at][0][1])
+                    last = now
+        narrowest = ranked.take(pa.array(picked, pa.int64()))
+        owners = ranked.take(pa.array(owner, pa.int64()))
+        return pa.table([*(owners.column(c) for c in by), pa.array(where, pa.int64()), *(narrowest.column(c) for c in out)],
+                        names=[*by, "_at", *out])
+
+    return run
+
+
+def segments(intervals: DataFrame, lo: str, hi: str, order: Sequence[str], payload: Sequence[str], by: Sequence[str] = (),
+             slice_rows: int | None = None) -> DataFrame:
+    """Elementary segments ``(by, _at, payload)``: from ``_at`` on, the first by ``order`` of the intervals ``[lo, hi)`` there; null in gaps.
+
+    The interval ends are cut into slices; a slice knows the intervals that start or
+    end in it, and the first one of those that only pass through.
+    """
+    columns = list(dict.fromkeys([*by, *order, *payload]))
+    real = intervals.filter(F.col(hi) > F.col(lo)).select(*columns, F.array(lo, hi).alias("_ends"), F.monotonically_increasing_id().alias("_id"))
+    ends = sliced(real.select(*columns, "_id", F.posexplode("_ends").alias("_kind", "_at")), [*by, "_at"], slice_rows)
+    types = dict(intervals.dtypes)
+    out = list(dict.fromkeys(payload))
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), "_at bigint", *(f"`{c}` {types[c]}" for c in out)])
+    return ends.unionByName(_covering(ends, order)).groupBy("_slice").applyInArrow(_sweep(by, order, out), schema)
+
+
+def first_containing(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: str, order: Sequence[str],
+                     payload: Sequence[str], by: Sequence[str] = (), slice_rows: int | None = None) -> DataFrame:
+    """Each distinct ``(by, point)`` that lies in an interval, with the payload of the first one by ``order``: one as-of step a point.
+
+    ``payload`` must hold a column that is never null.
+    """
+    pieces = segments(intervals, lo, hi, order, payload, by, slice_rows)
+    found = merged_before(points, pieces, by, point, "_at", payload, slice_rows).drop("_at")
+    return found.filter(F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in payload]))
 
 
 def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
@@ -118,6 +234,6 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str
         .withColumn(name, F.col("_start") + F.col("_row") - 1).drop("_slice", "_row", "_start"))
 
 
-def dense_ids(df: DataFrame, order: Sequence[str], name: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def dense_ids(df: DataFrame, order: Sequence[str], name: str, slice_rows: int | None = None) -> DataFrame:
     """0-based ids in ``order`` over the whole table, without sorting it in one task."""
     return numbered(sliced(df, order, slice_rows), [], order, name)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumaprof.functions import address as A
 from lumaprof.functions import paths as P
-from lumaprof.operators.lookup import containing, latest_before
+from lumaprof.operators.lookup import first_containing, latest_before
 
 _MAP_COLUMNS = ["start", "end", "offset", "load_bias", "module_id"]
 
@@ -24,12 +24,8 @@ def _first_mapping(maps: DataFrame) -> DataFrame:
 
 def narrowest_mapping(ips: DataFrame, maps: DataFrame) -> DataFrame:
     """Per distinct ``ip``, the narrowest mapping holding it; earliest listed on a tie."""
-    payload = F.struct("mapping_id", *_MAP_COLUMNS)
-    hits = containing(ips.select("ip").distinct(),
-                      maps.select("mapping_id", *_MAP_COLUMNS, "pos"), "ip", "start", "end")
-    best = hits.groupBy("ip").agg(
-        F.min_by(payload, F.struct(F.col("end") - F.col("start"), "pos")).alias("m"))
-    return best.select("ip", "m.*")
+    sized = maps.select("mapping_id", *_MAP_COLUMNS, "pos", (F.col("end") - F.col("start")).alias("_width"))
+    return first_containing(ips, sized, "ip", "start", "end", ["_width", "pos"], ["mapping_id", *_MAP_COLUMNS])
 
 
 def _relative() -> Column:
@@ -160,13 +156,11 @@ def with_symbol_file(addresses: DataFrame, matches: DataFrame) -> DataFrame:
 
 def to_line(addresses: DataFrame, line_table: DataFrame) -> DataFrame:
     """Distinct ``(module_id, rel)`` to ``file, line, function``; the innermost entry, never line 0."""
-    hits = containing(
-        addresses.select("module_id", "rel").distinct(),
-        line_table.filter("line <> 0").select("module_id", "lo", "hi", "file", "line", "function"),
-        "rel", "lo", "hi", by=["module_id"])
-    best = hits.groupBy("module_id", "rel").agg(
-        F.min(F.struct((F.col("hi") - F.col("lo")).alias("width"), "lo", "file", "line", "function")).alias("l"))
-    return best.select("module_id", "rel", "l.file", "l.line", F.coalesce("l.function", F.lit("")).alias("function"))
+    entries = line_table.filter("line <> 0").select(
+        "module_id", "lo", "hi", "file", "line", "function", (F.col("hi") - F.col("lo")).alias("_width"))
+    best = first_containing(addresses, entries, "rel", "lo", "hi", ["_width", "lo", "file", "line", "function"],
+                            ["file", "line", "function"], by=["module_id"])
+    return best.withColumn("function", F.coalesce("function", F.lit("")))
 
 
 def address_lines(addresses: DataFrame, maps: DataFrame, matches: DataFrame, line_table: DataFrame) -> DataFrame:
@@ -189,15 +183,14 @@ def unresolved(addresses: DataFrame, lane: str, address_label: str = "ip") -> Da
 def instruction_words(addresses: DataFrame, sections: DataFrame) -> DataFrame:
     """Little-endian word at each ``(module_id, rel)``; none where 4 bytes do not fit the section."""
     usable = sections.withColumn("size", F.least(F.col("size"), F.length("bytes"))).filter("size >= 4")
-    spans = usable.select(
-        "module_id", F.col("address").alias("lo"), (F.col("address") + F.col("size") - 3).alias("hi"),
-        "bytes", "pos")
-    hits = containing(addresses.select("module_id", "rel").distinct(), spans, "rel", "lo", "hi", by=["module_id"])
+    spans = usable.select("module_id", F.col("address").alias("lo"), (F.col("address") + F.col("size") - 3).alias("hi"), "pos")
+    hits = first_containing(addresses, spans, "rel", "lo", "hi", ["pos"], ["lo", "pos"], by=["module_id"])
     start = (F.col("rel") - F.col("lo")) * 2 + 1
     digits = F.hex("bytes")
     word = F.concat(*[F.substr(digits, (start + 2 * i).cast("int"), F.lit(2)) for i in (3, 2, 1, 0)])
-    return hits.groupBy("module_id", "rel").agg(
-        F.min_by(F.conv(word, 16, 10).cast("bigint"), F.col("pos")).alias("word"))
+    # Segments name a section by its position; its bytes are met only here.
+    return hits.join(usable.select("module_id", F.col("address").alias("lo"), "pos", "bytes"), ["module_id", "lo", "pos"]).select(
+        "module_id", "rel", F.conv(word, 16, 10).cast("bigint").alias("word"))
 
 
 def exact_instruction(addresses: DataFrame, table: DataFrame) -> DataFrame:

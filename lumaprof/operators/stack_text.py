@@ -10,7 +10,7 @@ from lumaprof.functions.address import frame_label
 from lumaprof.functions.text import id_list_text, weights_text
 from lumaprof.operators.counters import address_hits
 from lumaprof.operators.resolve import to_named_module
-from lumaprof.operators.reuse import kept
+from lumaprof.operators.reuse import cut
 
 
 def _ids(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,7 +25,7 @@ def frames(samples: DataFrame, maps: DataFrame, symbols: DataFrame) -> DataFrame
     own = F.col("role") == "self"
     by_event = hits.groupBy("role", "ip", "event_key").agg(
         F.count(F.lit(1)).alias("sample_count"), F.sum("period").alias("_w"))
-    sums = kept(by_event.groupBy("role", "ip").agg(
+    sums = cut(by_event.groupBy("role", "ip").agg(
         F.sum("sample_count").alias("sample_count"),
         F.sum(F.when(own, F.col("_w")).otherwise(0)).alias("self_weight"),
         F.sum(F.when(own, 0).otherwise(F.col("_w"))).alias("accumulated_weight"),
@@ -71,11 +71,11 @@ def callchains(samples: DataFrame, maps: DataFrame, symbols: DataFrame) -> DataF
     """Whole stacks keyed by label text. Equal address stacks are summed before they are labelled."""
     ips = F.concat(F.array("ip"), F.col("callchain"))
     raw = samples.select(stack_key(ips).alias("key"), ips.alias("ips"), "event_key", "cpu", "tid", "period")
-    texts = kept(stack_labels(raw, maps, symbols))
+    texts = cut(stack_labels(raw, maps, symbols))
     by_event = raw.groupBy("key", "event_key").agg(F.count(F.lit(1)).alias("n"), F.sum("period").alias("w"))
     labelled = by_event.join(texts, "key").groupBy("stack", "event_key").agg(
         F.sum("n").alias("n"), F.sum("w").alias("w"), F.min("leaf").alias("leaf"), F.min("root").alias("root"))
-    rows = kept(labelled.groupBy("stack").agg(
+    rows = cut(labelled.groupBy("stack").agg(
         F.min("leaf").alias("leaf"), F.min("root").alias("root"), F.sum("n").alias("sample_count"),
         F.sum("w").cast("double").alias("weight"),
         weights_text(F.map_from_entries(F.collect_list(F.struct("event_key", "w")))).alias("event_weights")))

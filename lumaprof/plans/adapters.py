@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lumaprof.functions.classify import word_class
 from lumaprof.operators import counters, lines, resolve, sampling
-from lumaprof.operators.reuse import kept
+from lumaprof.operators.reuse import cut
 from lumaprof.plans.line_report import Profile
 from lumaprof.sources.source_text import numbered_lines
 
@@ -88,11 +88,11 @@ class Views:
 
     @cached_property
     def spe_classes(self) -> DataFrame:
-        return kept(sampling.address_classes(self.spe, self.maps, self.matches, self.instructions))
+        return cut(sampling.address_classes(self.spe, self.maps, self.matches, self.instructions))
 
     @cached_property
     def spe_base(self) -> DataFrame:
-        return kept(sampling.base_frequency(self.spe, self.spe_classes))
+        return cut(sampling.base_frequency(self.spe, self.spe_classes))
 
     @cached_property
     def profile(self) -> Profile:
@@ -159,15 +159,15 @@ class Views:
 
     @cached_property
     def by_address(self) -> DataFrame:
-        return kept(counters.by_address(self.samples))
+        return cut(counters.by_address(self.samples))
 
     @cached_property
     def pmu_placed(self) -> DataFrame:
-        return kept(resolve.address_lines(self.by_address, self.maps, self.matches, self.line_table))
+        return cut(resolve.address_lines(self.by_address, self.maps, self.matches, self.line_table))
 
     @cached_property
     def spe_placed(self) -> DataFrame:
-        return kept(resolve.address_lines(self.spe, self.maps, self.matches, self.line_table))
+        return cut(resolve.address_lines(self.spe, self.maps, self.matches, self.line_table))
 
     # --- callstacks ------------------------------------------------------------
 
@@ -190,7 +190,7 @@ class Views:
         """Distinct stacks with the function number as id, so both engines name functions alike."""
         entry = F.transform("n", lambda x: F.struct(
             x.alias("func"), (x % 4).alias("lib"), F.concat(F.lit("f"), F.floor(x / 2)).alias("name")))
-        return kept(self.callstacks.groupBy("event", "pid", "tid", "n").agg(
+        return cut(self.callstacks.groupBy("event", "pid", "tid", "n").agg(
             F.sum("period").alias("weight"), F.count(F.lit(1)).alias("samples")).withColumn("calls", entry).drop("n"))
 
     @cached_property

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumaprof.functions import metric_value as M
 from lumaprof.operators import counters, lines, resolve, sampling
-from lumaprof.operators.reuse import kept
+from lumaprof.operators.reuse import cut
 
 MAPS = {"category": "spe_values", "class": "instruction_values", "kind": "load_instruction_values"}
 
@@ -42,17 +42,17 @@ class Placed:
 
 def place(profile: Profile) -> Placed:
     """Aggregate by address first, then resolve the distinct addresses of both lanes together."""
-    by_address = kept(counters.by_address(profile.samples))
+    by_address = cut(counters.by_address(profile.samples))
     lanes = by_address.select("mapping_id", "ip", F.lit(0).alias("lane"))
     spe_rows = base = None
     if profile.spe is not None:
-        spe_rows = kept(sampling.by_address(profile.spe))
-        base = kept(sampling.base_frequency(profile.spe, profile.spe_classes))
+        spe_rows = cut(sampling.by_address(profile.spe))
+        base = cut(sampling.base_frequency(profile.spe, profile.spe_classes))
         lanes = lanes.unionByName(spe_rows.select("mapping_id", "ip", F.lit(1).alias("lane")))
     addresses = lanes.groupBy("mapping_id", "ip").agg(F.min("lane").alias("lane"))
     resolved = resolve.address_lines(addresses, profile.maps, profile.matches, profile.line_table)
     placed = addresses.join(resolved, ["mapping_id", "ip"]) if profile.spe is not None else resolved.withColumn("lane", F.lit(0))
-    return Placed(by_address, kept(placed), spe_rows, base)
+    return Placed(by_address, cut(placed), spe_rows, base)
 
 
 def spe_map(placed: Placed, plan: lines.CounterPlan) -> DataFrame:
@@ -67,7 +67,7 @@ def spe_map(placed: Placed, plan: lines.CounterPlan) -> DataFrame:
 
 
 def _dimension_map(placed: Placed, dimension: str, plan: lines.CounterPlan) -> DataFrame:
-    freq = kept(lines.frequency_by_line(placed.spe_base, placed.addresses, dimension))
+    freq = cut(lines.frequency_by_line(placed.spe_base, placed.addresses, dimension))
     return lines.metric_map(sampling.line_metrics(freq, plan.baseline), dimension, MAPS[dimension])
 
 
@@ -89,4 +89,4 @@ def line_rows(profile: Profile, plan: lines.CounterPlan) -> DataFrame:
             sampled = sampled.join(_dimension_map(placed, dimension, plan), lines.LINE, "full_outer")
     named = sampled.join(lines.line_names(placed.addresses), lines.LINE, "left").join(
         lines.line_ids(ids, placed.addresses), lines.LINE, "left")
-    return lines.finish(kept(lines.with_source(named, profile.source)), plan)
+    return lines.finish(cut(lines.with_source(named, profile.source)), plan)

@@ -9,7 +9,7 @@ from lumaprof.operators import callstacks as R
 from lumaprof.operators import frames as G
 from lumaprof.operators import layout
 from lumaprof.operators import views
-from lumaprof.operators.reuse import kept
+from lumaprof.operators.reuse import cut
 from lumaprof.plans.registry import query, rounded
 from lumaprof.sinks import report
 from lumaprof.sources.tables import callstack_samples
@@ -287,7 +287,7 @@ def _marker(v):
 
 
 def _frames(v):
-    return kept(G.boundaries(v.timed, G.first_names(v.timed), _marker(v).scalar(), GAP))
+    return cut(G.boundaries(v.timed, G.first_names(v.timed), _marker(v).scalar(), GAP))
 
 
 def _threads(v):
@@ -340,9 +340,9 @@ _COMBINED = """
 
 
 def _combined(v):
-    samples = kept(G.combined(v.timed))
+    samples = cut(G.combined(v.timed))
     names = G.first_names(samples)
-    frames = kept(G.boundaries(samples, names, _marker(v).scalar(), GAP))
+    frames = cut(G.boundaries(samples, names, _marker(v).scalar(), GAP))
     return samples, G.matching_threads(names), frames
 
 
@@ -372,8 +372,8 @@ FPS = 1e9 / 20000.0
 
 def _totals_and_functions(v):
     frames = _frames(v)
-    placed = kept(G.in_frames(v.timed, frames))
-    return G.frame_totals(placed, frames, _threads(v)), kept(G.frame_functions(placed, _threads(v)))
+    placed = cut(G.in_frames(v.timed, frames))
+    return G.frame_totals(placed, frames, _threads(v)), cut(G.frame_functions(placed, _threads(v)))
 
 
 @query("f7_good_and_bad_frames", """

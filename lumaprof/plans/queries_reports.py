@@ -15,7 +15,7 @@ from lumaprof.operators.views import LineFilter
 from lumaprof.plans.adapters import EVENT_KEYS, PLAN, SOURCE_ROOTS
 from lumaprof.operators.lookup import dense_ids
 from lumaprof.operators.resolve import match_symbol_files
-from lumaprof.operators.reuse import kept
+from lumaprof.operators.reuse import cut
 from lumaprof.plans.line_report import line_rows
 from lumaprof.plans.queries_lines import CHAINS_SQL, DETAIL_SQL, FRAMES_SQL, FUNCTIONS_SQL, LINES_SQL, TEXTS_SQL, counter_lines
 from lumaprof.plans.registry import query, r6, rounded
@@ -56,7 +56,7 @@ _FILTERS = {
 @query("t5_line_filters", LINES_SQL + " UNION ALL ".join(
     f" SELECT '{name}' AS option, count(*) AS total FROM line_rows WHERE {test}" for name, (_, test) in _FILTERS.items()))
 def line_filters(v):
-    rows = kept(counter_lines(v))
+    rows = cut(counter_lines(v))
     parts = [views.query_lines(rows, option)[0].select(F.lit(name).alias("option"), "total") for name, (option, _) in _FILTERS.items()]
     whole = parts[0]
     for part in parts[1:]:
@@ -252,7 +252,7 @@ def query_annotations(v):
 
 
 def _annotations(v, roots=SOURCE_ROOTS):
-    return kept(report.annotated_rows(counter_lines(v), roots, PMU_KEYS, [], TAG))
+    return cut(report.annotated_rows(counter_lines(v), roots, PMU_KEYS, [], TAG))
 
 
 _NOTES = (f"notes AS (SELECT file, line, {_ANNOTATION.format(count=chr(39) + 'sample_count=' + chr(39) + ' || sample_count || ' + chr(39) + ', ' + chr(39) + ' || ', metrics=_FILE_METRICS)} AS annotation "
