@@ -16,6 +16,7 @@ from lumaprof.operators import sampling as S
 
 LINE = ["file", "line"]
 ADDRESS = ["mapping_id", "ip"]
+METRIC_MAPS = ["pmu_values", "spe_values", "instruction_values", "load_instruction_values"]
 
 
 @dataclass(frozen=True)
@@ -48,16 +49,21 @@ def _weight(samples: str, weight: str) -> Column:
     return F.coalesce(F.sum(F.when(is_cycles, F.col(weight))), F.sum(weight), F.lit(0)).cast("double")
 
 
-def counter_rows(by_line: DataFrame) -> DataFrame:
-    """One row per line: sample count, self/accumulated weight and samples per event."""
+def _counter_columns() -> list[Column]:
+    """Sample count, weights and samples per event of a line; rows without an event add nothing."""
     samples = F.col("self_samples") + F.col("acc_samples")
-    return by_line.groupBy(*LINE).agg(
+    return [
         F.sum(samples).alias("sample_count"),
         _weight("self_samples", "self_weight").alias("self_weight"),
         _weight("acc_samples", "acc_weight").alias("accumulated_weight"),
         # One entry per event of the catalog.
-        F.map_from_entries(F.collect_list(F.struct("event_key", samples))).alias("event_samples"),
-    )
+        F.map_from_entries(F.collect_list(F.when(F.col("event_key").isNotNull(), F.struct("event_key", samples)))).alias("event_samples"),
+    ]
+
+
+def counter_rows(by_line: DataFrame) -> DataFrame:
+    """One row per line: sample count, self/accumulated weight and samples per event."""
+    return by_line.groupBy(*LINE).agg(*_counter_columns())
 
 
 def event_support(support: DataFrame, keys: DataFrame) -> DataFrame:
@@ -182,11 +188,54 @@ def frequency_by_line(base: DataFrame, placed: DataFrame, dimension: str) -> Dat
     return L.merge(at_lines(merged, placed), [*LINE, "name"])
 
 
-def metric_map(long: DataFrame, dimension: str, name: str) -> DataFrame:
-    """Sparse metric map per line; its size is the fixed vocabulary of the dimension."""
-    key = F.concat(F.lit(DIMENSION_PREFIX[dimension]), "name", F.lit("."), "metric")
-    kept = long.filter(~((F.col("value.state") == "number") & (F.col("value.value") == 0.0)))
-    return kept.groupBy(*LINE).agg(F.map_from_entries(F.collect_list(F.struct(key, "value"))).alias(name))
+def frequency_by_dimension(base: DataFrame, placed: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    """Latency frequency of several dimensions at once: one join with the lines, one row per (line, dimension, name, latency)."""
+    rows = base.groupBy(*ADDRESS, *dimensions, "latency").agg(F.sum("cnt").alias("cnt"))
+    named = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("name")) for d in dimensions])
+    split = at_lines(rows, placed).select(*LINE, "latency", "cnt", F.inline(named)).filter("name is not null")
+    return L.merge(split, [*LINE, "dimension", "name"])
+
+
+def _sparse(values: DataFrame) -> DataFrame:
+    return values.filter(~((F.col("value.state") == "number") & (F.col("value.value") == 0.0)))
+
+
+def metric_facts(long: DataFrame, maps: Mapping[str, str]) -> DataFrame:
+    """(file, line, map, key, value) of the nonzero metrics of lines, per dimension; see ``sampling.line_metrics``."""
+    of = lambda names: F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("dimension")]
+    key = F.concat(of({d: DIMENSION_PREFIX[d] for d in maps}), "name", F.lit("."), "metric")
+    return _sparse(long).select(*LINE, of(maps).alias("map"), key.alias("key"), "value")
+
+
+def outcome_facts(spe_values: DataFrame, name: str) -> DataFrame:
+    """(file, line, map, key, value) of the nonzero outcome metrics of lines."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in SPE_COLUMNS])
+    return _sparse(spe_values.select(*LINE, F.lit(name).alias("map"), F.inline(pairs)))
+
+
+def name_facts(placed: DataFrame) -> DataFrame:
+    """Functions and modules of the addresses of lines, with the order in which names count."""
+    return placed.filter("file is not null").select(
+        *LINE, F.struct("lane", "mapping_id", (F.col("ip") < 0).alias("negative"), "ip").alias("name_order"), "function", "module_id")
+
+
+def collected(facts: DataFrame) -> DataFrame:
+    """One row per sampled line from the long table of all its facts: counters, metrics, names and ids in one aggregation.
+
+    Facts are ``file, line`` and, null where they do not apply, the columns of
+    ``counters_by_line``, ``metric_facts``, ``name_facts`` and (cpu, tid). Lines that
+    have neither a counter nor a metric are left out.
+    """
+    def first(column: str) -> Column:
+        order = F.when(F.col(column) != "", F.col("name_order"))
+        return F.coalesce(F.min_by(column, order), F.lit(""))
+
+    # At most the fixed vocabulary of a dimension.
+    maps = [F.map_from_entries(F.collect_list(F.when(F.col("map") == m, F.struct("key", "value")))).alias(m) for m in METRIC_MAPS[1:]]
+    return facts.groupBy(*LINE).agg(
+        *_counter_columns(), *maps, first("function").alias("function"), first("module_id").alias("module"),
+        id_list_text(F.collect_set("cpu")).alias("cpu"), id_list_text(F.collect_set("tid")).alias("thread"),
+        F.bool_or(F.col("event_key").isNotNull() | F.col("map").isNotNull()).alias("_sampled")).filter("_sampled").drop("_sampled")
 
 
 def line_names(placed: DataFrame) -> DataFrame:
@@ -222,9 +271,6 @@ def percentages(rows: DataFrame) -> DataFrame:
             M.percent(own, F.col("_fs")).alias("file_p_pct"), M.percent(acc, F.col("_fa")).alias("file_acc_p_pct")))
 
 
-METRIC_MAPS = ["pmu_values", "spe_values", "instruction_values", "load_instruction_values"]
-
-
 def finish(lines: DataFrame, plan: CounterPlan) -> DataFrame:
     """Fill absent values, build the counter map, status, detail and percentages.
 

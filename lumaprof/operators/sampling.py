@@ -149,14 +149,18 @@ def _long(stats: DataFrame, keys: Sequence[str], metrics: dict[str, Column]) ->
     return stats.select(*keys, F.inline_outer(pairs))
 
 
-def line_metrics(freq: DataFrame, baseline: Baseline, keys: Sequence[str] = ("file", "line")) -> DataFrame:
+def line_metrics(freq: DataFrame, baseline: Baseline, keys: Sequence[str] = ("file", "line"), within: str | None = None) -> DataFrame:
     """Category, class or kind metrics of each line: 14 rows per (line, name).
 
     ``freq`` is ``(keys, name, latency, cnt)`` over attributed lines only, so its
-    sums are the report totals.
+    sums are the report totals; with ``within``, one of the keys with few values, those of each value.
     """
-    sums = freq.agg(F.struct(F.sum("cnt").alias("n"),
-                             F.coalesce(F.sum(F.col("latency") * F.col("cnt")), F.lit(0)).alias("cycles"))).scalar()
+    whole = F.struct(F.sum("cnt").alias("n"), F.coalesce(F.sum(F.col("latency") * F.col("cnt")), F.lit(0)).alias("cycles"))
+    if within:
+        per = freq.groupBy(within).agg(whole.alias("_t")).agg(F.map_from_entries(F.collect_list(F.struct(within, "_t"))))
+        sums = per.scalar()[F.col(within)]
+    else:
+        sums = freq.agg(whole).scalar()
     stats = L.statistics(freq, [*keys, "name"]).withColumn("_total", sums)
     denominator = F.lit(baseline.cpu_cycles).cast("double")
     metrics = {

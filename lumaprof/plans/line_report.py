@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,38 +56,27 @@ def place(profile: Profile) -> Placed:
     return Placed(by_address, cut(placed), spe_rows, base)
 
 
-def spe_map(placed: Placed, plan: lines.CounterPlan) -> DataFrame:
-    """Sparse sampling metric map of a line: outcome metrics and category metrics."""
-    outcome = lines.spe_line_values(lines.spe_counters_by_line(placed.spe_by_address, placed.addresses))
-    names = [c for c in outcome.columns if c not in lines.LINE]
-    fixed = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n) for n in names]))
-    category = _dimension_map(placed, "category", plan)
-    both = outcome.select(*lines.LINE, M.drop_zeros(fixed).alias("_fixed")).join(category, lines.LINE, "left")
-    empty = F.create_map().cast(f"map<string,{M.TYPE}>")
-    return both.select(*lines.LINE, F.map_concat("_fixed", F.coalesce("spe_values", empty)).alias("spe_values"))
-
-
-def _dimension_map(placed: Placed, dimension: str, plan: lines.CounterPlan) -> DataFrame:
-    freq = cut(lines.frequency_by_line(placed.spe_base, placed.addresses, dimension))
-    return lines.metric_map(sampling.line_metrics(freq, plan.baseline), dimension, MAPS[dimension])
+def line_facts(profile: Profile, placed: Placed, plan: lines.CounterPlan) -> DataFrame:
+    """Everything that is known of sampled lines, of both lanes, as one long table."""
+    facts = [lines.counters_by_line(placed.by_address, placed.addresses), lines.name_facts(placed.addresses)]
+    ids = counters.ids_by_address(profile.samples)
+    none = F.lit(None)
+    metrics = placed.addresses.limit(0).select(
+        *lines.LINE, none.cast("string").alias("map"), none.cast("string").alias("key"), none.cast(M.TYPE).alias("value"))
+    if profile.spe is not None:
+        ids = ids.unionByName(sampling.ids_by_address(profile.spe))
+        shown = {d: m for d, m in MAPS.items() if d != "category" or plan.spe_available}
+        freq = cut(lines.frequency_by_dimension(placed.spe_base, placed.addresses, list(shown)))
+        long = sampling.line_metrics(freq, plan.baseline, [*lines.LINE, "dimension"], within="dimension")
+        metrics = lines.metric_facts(long, shown)
+        if plan.spe_available:
+            outcome = lines.spe_line_values(lines.spe_counters_by_line(placed.spe_by_address, placed.addresses))
+            metrics = metrics.unionByName(lines.outcome_facts(outcome, MAPS["category"]))
+    seen = lines.at_lines(ids, placed.addresses).select(*lines.LINE, "cpu", "tid").distinct()
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*facts, metrics, seen])
 
 
 def line_rows(profile: Profile, plan: lines.CounterPlan) -> DataFrame:
     """Finished line rows: every source line, and every sampled line outside the source text."""
-    placed = place(profile)
-    sampled = lines.counter_rows(lines.counters_by_line(placed.by_address, placed.addresses))
-    ids = counters.ids_by_address(profile.samples)
-    absent = F.lit(None).cast(f"map<string,{M.TYPE}>")
-    if profile.spe is None:
-        sampled = sampled.withColumns({column: absent for column in MAPS.values()})
-    else:
-        ids = ids.unionByName(sampling.ids_by_address(profile.spe))
-        if plan.spe_available:
-            sampled = sampled.join(spe_map(placed, plan), lines.LINE, "full_outer")
-        else:
-            sampled = sampled.withColumn("spe_values", absent)
-        for dimension in ("class", "kind"):
-            sampled = sampled.join(_dimension_map(placed, dimension, plan), lines.LINE, "full_outer")
-    named = sampled.join(lines.line_names(placed.addresses), lines.LINE, "left").join(
-        lines.line_ids(ids, placed.addresses), lines.LINE, "left")
-    return lines.finish(cut(lines.with_source(named, profile.source)), plan)
+    sampled = lines.collected(line_facts(profile, place(profile), plan))
+    return lines.finish(cut(lines.with_source(sampled, profile.source)), plan)

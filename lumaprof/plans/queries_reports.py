@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumaprof.functions import metric_value as M
 from lumaprof.functions import paths as P
 from lumaprof.functions import text as X
+from lumaprof.functions.names import DIMENSION_PREFIX
 from lumaprof.functions.address import hex_text
 from lumaprof.functions.columns import pmu_columns
 from lumaprof.operators import counters, hits, lines, quality, stack_text, views
@@ -18,6 +19,7 @@ from lumaprof.operators.resolve import match_symbol_files
 from lumaprof.operators.reuse import cut
 from lumaprof.plans.line_report import line_rows
 from lumaprof.plans.queries_lines import CHAINS_SQL, DETAIL_SQL, FRAMES_SQL, FUNCTIONS_SQL, LINES_SQL, TEXTS_SQL, counter_lines
+from lumaprof.plans.queries_sampling import line_metric_sql
 from lumaprof.plans.registry import query, r6, rounded
 from lumaprof.plans.sql_views import number_text
 from lumaprof.sinks import render, report
@@ -588,19 +590,61 @@ def session_summary(v):
     WITH seen AS (SELECT mapping_id, ip, cpu, tid FROM v_hits UNION ALL SELECT mapping_id, ip, cpu, tid FROM v_spe),
     ids AS (SELECT file, line, array_to_string(list_sort(list(DISTINCT cpu)), ',') AS cpu, array_to_string(list_sort(list(DISTINCT tid)), ',') AS thread
         FROM seen JOIN v_placed USING (mapping_id, ip) WHERE file IS NOT NULL GROUP BY file, line),
+    lanes AS (SELECT mapping_id, ip, min(lane) AS lane FROM (SELECT mapping_id, ip, 0 AS lane FROM v_hits UNION ALL SELECT mapping_id, ip, 1 FROM v_spe) GROUP BY mapping_id, ip),
+    named AS (SELECT file, line, coalesce(first(function ORDER BY lane, mapping_id, ip) FILTER (function <> ''), '') AS function,
+            coalesce(first(module_id ORDER BY lane, mapping_id, ip) FILTER (module_id <> ''), '') AS module
+        FROM lanes JOIN v_placed USING (mapping_id, ip) WHERE file IS NOT NULL GROUP BY file, line),
     spe AS (SELECT file, line, count(*) AS n, count(*) FILTER (category = 'load_l1') AS loads, count(*) FILTER (class = 'branch') AS branches,
             count(*) FILTER (kind = 'load_literal') AS literals
         FROM v_spe JOIN v_placed USING (mapping_id, ip) WHERE file IS NOT NULL GROUP BY file, line),
-    sampled AS (SELECT file, line, cpu, thread, coalesce(sample_count, 0) AS sample_count, coalesce(n, 0) AS n, coalesce(loads, 0) AS loads,
-            coalesce(branches, 0) AS branches, coalesce(literals, 0) AS literals
-        FROM ids LEFT JOIN v_counter_rows USING (file, line) LEFT JOIN spe USING (file, line))
-    SELECT coalesce(s.file, x.file) AS file, coalesce(s.line, x.line)::INTEGER AS line, coalesce(x.cpu, '') AS cpu, coalesce(x.thread, '') AS thread,
-        coalesce(sample_count, 0)::BIGINT AS sample_count, coalesce(n, 0)::VARCHAR AS spe_sample_count, coalesce(loads, 0)::VARCHAR AS load_l1,
-        coalesce(branches, 0)::VARCHAR AS branch, coalesce(literals, 0)::VARCHAR AS load_literal
-    FROM v_source s FULL JOIN sampled x ON x.file = s.file AND x.line = s.line""")
+    sampled AS (SELECT file, line, ids.cpu, ids.thread, named.function, named.module, coalesce(c.sample_count, 0) AS sample_count,
+            coalesce(c.self_weight, 0) AS self_weight, coalesce(c.accumulated_weight, 0) AS accumulated_weight, coalesce(n, 0) AS n,
+            coalesce(loads, 0) AS loads, coalesce(branches, 0) AS branches, coalesce(literals, 0) AS literals
+        FROM ids LEFT JOIN named USING (file, line) LEFT JOIN v_counter_rows c USING (file, line) LEFT JOIN spe USING (file, line)),
+    whole AS (SELECT coalesce(s.file, x.file) AS file, coalesce(s.line, x.line)::INTEGER AS line, coalesce(s.code, '') AS code, coalesce(x.function, '') AS function,
+            coalesce(x.module, '') AS module, coalesce(x.cpu, '') AS cpu, coalesce(x.thread, '') AS thread, coalesce(x.sample_count, 0)::BIGINT AS sample_count,
+            coalesce(x.self_weight, 0)::DOUBLE AS self_weight, coalesce(x.accumulated_weight, 0)::DOUBLE AS accumulated_weight,
+            coalesce(n, 0)::VARCHAR AS spe_sample_count, coalesce(loads, 0)::VARCHAR AS load_l1, coalesce(branches, 0)::VARCHAR AS branch,
+            coalesce(literals, 0)::VARCHAR AS load_literal
+        FROM v_source s FULL JOIN sampled x ON x.file = s.file AND x.line = s.line)
+    SELECT file, line, md5(code) AS code, function, module, cpu, thread, sample_count, self_weight, accumulated_weight, spe_sample_count, load_l1, branch, load_literal,
+        round(coalesce(self_weight / nullif(sum(self_weight) OVER (), 0) * 100, 0), 6) AS p_pct,
+        round(coalesce(accumulated_weight / nullif(sum(accumulated_weight) OVER (), 0) * 100, 0), 6) AS acc_p_pct,
+        round(coalesce(self_weight / nullif(sum(self_weight) OVER (PARTITION BY file), 0) * 100, 0), 6) AS file_p_pct,
+        round(coalesce(accumulated_weight / nullif(sum(accumulated_weight) OVER (PARTITION BY file), 0) * 100, 0), 6) AS file_acc_p_pct
+    FROM whole""")
 def both_lanes(v):
     rows = line_rows(v.profile, PLAN)
     text = lambda column, key, name: M.metric_text(F.try_element_at(column, F.lit(key))).alias(name)
-    return rows.select("file", "line", "cpu", "thread", "sample_count", text("spe_values", "spe_sample_count", "spe_sample_count"),
-                       text("spe_values", "load_l1.sample_count", "load_l1"), text("instruction_values", "instruction_class.branch.sample_count", "branch"),
-                       text("load_instruction_values", "load_instruction.load_literal.sample_count", "load_literal"))
+    return rounded(rows.select(
+        "file", "line", F.md5("code").alias("code"), "function", "module", "cpu", "thread", "sample_count", "self_weight", "accumulated_weight",
+        text("spe_values", "spe_sample_count", "spe_sample_count"), text("spe_values", "load_l1.sample_count", "load_l1"),
+        text("instruction_values", "instruction_class.branch.sample_count", "branch"),
+        text("load_instruction_values", "load_instruction.load_literal.sample_count", "load_literal"),
+        "p_pct", "acc_p_pct", "file_p_pct", "file_acc_p_pct"))
+
+
+def _map_sql(dimension, name):
+    """Nonzero metrics of one dimension under the keys of the report's map."""
+    return f"""SELECT file, line, '{name}' AS map, '{DIMENSION_PREFIX[dimension]}' || name || '.' || metric AS key, state, value
+        FROM ({line_metric_sql(dimension)}) WHERE NOT (state = 'number' AND value = 0)"""
+
+
+@query("line_report_metric_maps", f"""
+    WITH spe AS (SELECT file, line, count(*) AS n, avg(latency) AS latency, count(latency) AS timed, count(*) FILTER (cache_result = 1) AS hits,
+            count(*) FILTER (cache_result IN (1, 2)) AS cached, count(*) FILTER (branch_result = 2) AS missed,
+            count(*) FILTER (branch_result IN (1, 2)) AS branched, count(*) FILTER (decode_status <> 0) AS errors
+        FROM v_spe JOIN v_placed USING (mapping_id, ip) WHERE file IS NOT NULL GROUP BY file, line),
+    outcome AS (SELECT file, line, 'spe_values' AS map, unnest([
+            {{'key': 'spe_sample_count', 'value': n::DOUBLE}}, {{'key': 'spe_latency_cycles_avg', 'value': latency}},
+            {{'key': 'spe_cache_hit_rate', 'value': hits / nullif(cached, 0)}}, {{'key': 'spe_branch_miss_rate', 'value': missed / nullif(branched, 0)}},
+            {{'key': 'spe_decode_errors', 'value': errors::DOUBLE}}], recursive := true) FROM spe)
+    SELECT file, line, map, key, CASE WHEN value IS NULL THEN 'missing' ELSE 'number' END AS state, round(value, 6) AS value FROM outcome WHERE value IS NULL OR value <> 0
+    UNION ALL {_map_sql("category", "spe_values")} UNION ALL {_map_sql("class", "instruction_values")}
+    UNION ALL {_map_sql("kind", "load_instruction_values")}""")
+def metric_maps(v):
+    """Every entry of the sampling lane's maps, as the finished lines hold them."""
+    rows = line_rows(v.profile, PLAN)
+    maps = F.array(*[F.struct(F.lit(m).alias("map"), F.col(m).alias("entries")) for m in ("spe_values", "instruction_values", "load_instruction_values")])
+    return rows.select("file", "line", F.inline(maps)).select("file", "line", "map", F.explode("entries").alias("key", "_m")).select(
+        "file", "line", "map", "key", F.col("_m.state").alias("state"), r6("_m.value").alias("value"))

@@ -218,7 +218,7 @@ def _long_sql(keys, pairs, source):
     return f"SELECT {keys}, unnest([{rows}], recursive := true) FROM {source}"
 
 
-def _line_sql(dimension):
+def line_metric_sql(dimension):
     freq = f"""freq AS (SELECT file, line, {dimension} AS name, latency, sum(cnt)::BIGINT AS cnt FROM v_spe_freq JOIN v_placed USING (mapping_id, ip)
         WHERE file IS NOT NULL AND {dimension} IS NOT NULL GROUP BY ALL)"""
     pairs = [("sample_count", "'number'", "sample_count"),
@@ -234,7 +234,7 @@ def _flat(long, keys):
 
 
 def _line_query(name, dimension):
-    @query(name, _line_sql(dimension))
+    @query(name, line_metric_sql(dimension))
     def plan(v):
         freq = lines.frequency_by_line(v.spe_base, v.spe_placed, dimension)
         return _flat(sampling.line_metrics(freq, PLAN.baseline), ["file", "line", "name"])
@@ -390,7 +390,7 @@ _sheet_query("k10_cpu_sheet_load_kinds", "kind")
 _sheet_query("k10_cpu_sheet_classes", "class")
 
 
-@query("m25_metric_summary", "WITH long AS (" + _line_sql("category") + """),
+@query("m25_metric_summary", "WITH long AS (" + line_metric_sql("category") + """),
     g AS (SELECT name || '.' || metric AS key, sum(value) AS s, count(value) AS n, bool_or(state = 'unresolved') AS u, bool_or(state = 'missing') AS m,
             bool_or(state = 'undefined') AS d FROM long WHERE NOT (state = 'number' AND value = 0) GROUP BY 1),
     t AS (SELECT key, CASE WHEN n > 0 THEN CASE WHEN key LIKE '%min_latency_cycles' OR key LIKE '%max_latency_cycles' THEN printf('%.0f', s)
