@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaprof.llm.common import written
+from lumaprof.llm.common import join_by_share, written
 from lumaprof.llm.topk import matrix
 
 #: Most rows and most anchors of a task's block, anchors and dimensions taken at a time.
@@ -113,8 +113,10 @@ def _blocks(rows: DataFrame, anchors: DataFrame, keys: list[str], row_block: int
 
     row_parts, anchor_parts = parts(rows, row_block, "rb"), parts(anchors, anchor_block, "ab")
     if keys:
-        sizes = row_parts.join(anchor_parts, keys)
-        with_rows, with_anchors = rows.join(sizes, keys), anchors.join(sizes, keys)
+        # A key that many rows share meets its block counts in a broadcast, not in a shuffle.
+        (key,) = keys
+        sizes = written(row_parts.join(anchor_parts, key).join(rows.groupBy(key).agg(F.count("*").alias("n")), key), "sizes")
+        with_rows, with_anchors = (join_by_share(side, sizes, key, "n") for side in (rows, anchors))
     else:  # two numbers
         rb, ab = ((p.first() or [0])[0] for p in (row_parts, anchor_parts))
         with_rows, with_anchors = (s.withColumn("rb", F.lit(rb)).withColumn("ab", F.lit(ab)).filter(F.lit(rb * ab > 0)) for s in (rows, anchors))
