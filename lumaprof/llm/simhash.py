@@ -239,14 +239,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, **limits: in
     by_print = join_by_share(labelled.select("fp", "copies", "root"), found, "root", "_n").select("fp", "copies", "component_id")
     rows = join_by_share(prints, written(by_print, "by_print"), "fp", "copies")
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, words: int = 3, bits: int = 2, **limits: int) -> DataFrame:
-    """One row of each component of ``docs``, the one with the least id; rows with null ids all stay."""
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    # Rows are told apart by their keys, which repeated ids have one each of.
-    groups = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), words, bits, **limits)
-    named = groups.select(F.col("doc_id").alias("_row"), "component_id").join(keyed.select("_row", "doc_id"), "_row").filter("doc_id is not null")
-    kept = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("x")).select(F.col("x._row").alias("_row"))
-    first = keyed.join(written(kept, "kept"), "_row", "left_semi").select(*docs.columns)
-    return first.unionByName(docs.filter("doc_id is null"))

@@ -74,16 +74,8 @@ def test_components_of_chains_and_hubs(spark):
     assert found == {**{i: 0 for i in range(1, 201)}, **{1000 + i: 1000 for i in range(1, 300)}, 7001: 7000}
 
 
-def test_deduplication_keeps_one_of_each_group(spark, odd_docs):
-    kept = simhash.deduplicated(odd_docs)
-    assert kept.columns == odd_docs.columns
-    groups = simhash.near_duplicates(odd_docs).filter("doc_id is not null").select("component_id").distinct().count()
-    assert kept.filter("doc_id is not null").count() == groups == kept.filter("doc_id is not null").select("doc_id").distinct().count()
-    assert kept.filter("doc_id is null").count() == 2
-
-
 def test_no_duplicates_of_nothing(spark, no_docs):
-    assert simhash.near_duplicates(no_docs).count() == 0 and simhash.deduplicated(no_docs).count() == 0
+    assert simhash.near_duplicates(no_docs).count() == 0
 
 
 def groups_of_similar(texts):
@@ -143,7 +135,6 @@ def test_rows_with_repeated_and_null_ids_are_told_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     rows_of = lambda found: sorted(map(str, (tuple(r) for r in found.collect())))
     assert rows_of(near_copies.one_of_each(docs)) == sorted(map(str, [(1, a), (5, b), (None, c), (9, None)]))
-    assert rows_of(simhash.deduplicated(docs).filter("doc_id is not null")) == sorted(map(str, [(1, a), (5, b), (9, None)]))
 
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, score string, rank string"
