@@ -130,9 +130,11 @@ def match_symbol_files(modules: DataFrame, candidates: DataFrame) -> DataFrame:
         return joined.select("module_id", F.lit(number).alias("tier"), F.lit(quality).alias("quality"),
                              "best.candidate_path", "best.has_debug_info")
 
-    # A path ends with the hint iff one of its tails equals it: join on the tail, not on endsWith.
-    tails = files.withColumn("_tail", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("c_text")), lambda i: F.substr(F.col("c_text"), i))))
+    # A path ends with the hint iff its tail of the hint's length equals it: tails of the few lengths that hints have.
+    lengths = modules.filter("debug_elf_candidate_path <> ''").agg(
+        F.collect_set(F.length("debug_elf_candidate_path"))).scalar()
+    tails = files.withColumn("_n", F.explode(lengths)).filter(F.col("_n") <= F.length("c_text")).withColumn(
+        "_tail", F.substr(F.col("c_text"), F.length("c_text") - F.col("_n") + 1))
     hinted = tier(2, "user_path", modules.join(
         first_by(tails, "_tail"), F.col("debug_elf_candidate_path") == F.col("_tail")))
     by_soname = tier(3, "soname_and_size", modules.join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 _HELD: list[DataFrame] = []
@@ -20,20 +20,25 @@ def kept(rows: DataFrame) -> DataFrame:
     return _HELD[-1]
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one of our own only where it names none, on a local master."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumaprof-"))
+    return context.getCheckpointDir()
+
+
 def cut(rows: DataFrame) -> DataFrame:
     """Computed at once and checkpointed in the shared folder: plans on top of it neither hold nor print its own.
 
     For results that results are built of in turn: nested persisted plans are walked
     once per reference at every adaptive step, which costs the driver more than the
-    work. The folder is the session's; one of our own only where it names none, on a
-    local master. Spark's cleaner removes the files if it is told to.
+    work. Spark's cleaner removes the files if it is told to.
     """
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumaprof-"))
+    shared_dir(rows.sparkSession)
     return rows.checkpoint()
 
 

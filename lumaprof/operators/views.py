@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumaprof.functions.names import CATEGORY_METRICS, DEFAULT_PAGE_SIZE, DIMENSION_NAMES, SPE_COLUMNS, UNKNOWN_FUNCTION
+from lumaprof.operators.lookup import sliced
 
 
 @dataclass(frozen=True)
@@ -131,6 +132,27 @@ def query_lines(lines: DataFrame, query: LineFilter) -> tuple[DataFrame, DataFra
     return rows.agg(F.count(F.lit(1)).alias("total")), page
 
 
+def save_ranked(rows: DataFrame, order: list[Column], path: str, slice_rows: int | None = None) -> None:
+    """Save a table in consecutive ranges of its order, with the first position and row count of each range."""
+    ranges = sliced(rows, order, slice_rows)
+    ranges.write.partitionBy("_slice").parquet(f"{path}/rows")
+    # One row per range.
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ranges.groupBy("_slice").agg(F.count(F.lit(1)).alias("count")).withColumn(
+        "start", F.coalesce(F.sum("count").over(before), F.lit(0))).coalesce(1).write.parquet(f"{path}/ranges")
+
+
+def ranked_page(spark: SparkSession, path: str, order: list[Column], offset: int, limit: int | None = None) -> DataFrame:
+    """A page of a saved ranking with 1-based positions: opens only the ranges that it overlaps, however deep it lies."""
+    size = page_limit(limit)
+    hit = spark.read.parquet(f"{path}/ranges").filter((F.col("start") < offset + size) & (F.col("start") + F.col("count") > offset))
+    found = hit.orderBy("start").collect()
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("_slice").isin([r["_slice"] for r in found])).drop("_slice")
+    inside = offset - found[0]["start"] if found else 0
+    # At most a page.
+    return rows.orderBy(*order).offset(inside).limit(size).withColumn("position", F.row_number().over(Window.orderBy(*order)) + offset)
+
+
 def query_files(files: DataFrame, text: str | None = None, sort: str = "self", desc: bool = True,
                 limit: int | None = None, offset: int = 0) -> tuple[DataFrame, DataFrame]:
     wanted = (text or "").strip()

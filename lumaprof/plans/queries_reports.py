@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from lumaprof.operators.views import LineFilter
 from lumaprof.plans.adapters import EVENT_KEYS, PLAN, SOURCE_ROOTS
 from lumaprof.operators.lookup import dense_ids
 from lumaprof.operators.resolve import match_symbol_files
-from lumaprof.operators.reuse import cut
+from lumaprof.operators.reuse import cut, shared_dir
 from lumaprof.plans.line_report import line_rows
 from lumaprof.plans.queries_lines import CHAINS_SQL, DETAIL_SQL, FRAMES_SQL, FUNCTIONS_SQL, LINES_SQL, TEXTS_SQL, counter_lines
 from lumaprof.plans.queries_sampling import line_metric_sql
@@ -87,6 +89,17 @@ _page_query("t6_t7_page_by_counter_metric", LineFilter(sort="inst_retired", desc
             "self_weight > 0 OR accumulated_weight > 0")
 _page_query("t6_page_unknown_key", LineFilter(sort="No Such Key", limit=50, offset=5), "file")
 
+
+@query("t8_ranked_page", f"""{_LINES} SELECT row_number() OVER (ORDER BY accumulated_weight DESC, file, line)::INTEGER AS position, file, line, accumulated_weight
+    FROM texts ORDER BY 1 LIMIT 250 OFFSET 4321""")
+def ranked_page(v):
+    """A page deep inside of the saved ranking of all lines."""
+    order = [F.desc("accumulated_weight"), F.asc("file"), F.asc("line")]
+    path = f"{shared_dir(v.spark)}/ranked-{uuid.uuid4().hex}"
+    views.save_ranked(counter_lines(v).select("file", "line", "accumulated_weight"), order, path, slice_rows=1000)
+    return views.ranked_page(v.spark, path, order, 4321, 250)
+
+
 _FILES = """, files AS (SELECT file, sum(self_weight)::DOUBLE AS self_weight, sum(accumulated_weight)::DOUBLE AS accumulated_weight,
     count(*) FILTER (status LIKE '%NonZero%') AS hot_lines, count(*) FILTER (status LIKE '%Missing%') AS missing FROM line_rows GROUP BY file)"""
 
@@ -108,7 +121,9 @@ def file_page(v):
 def function_list(v):
     rows = views.query_functions(lines.summarize_functions(counter_lines(v)))
     order = [F.desc("self_weight"), F.desc("accumulated_weight"), F.asc("function"), F.asc("file")]
-    return numbered(rows, order).select("position", "file", "function", "self_weight", "accumulated_weight")
+    # The list has no limit, so its positions are given in ranges of the order.
+    return dense_ids(rows, order, "_position").select(
+        (F.col("_position") + 1).cast("int").alias("position"), "file", "function", "self_weight", "accumulated_weight")
 
 
 #: Rows that a display of frames and of diagnostics shows.

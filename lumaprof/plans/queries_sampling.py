@@ -345,6 +345,21 @@ def breakdown_rows(v):
     return sampling.breakdown_rows(breakdown_of(v)).select("cpu", "category", "child", "level", "category_ordinal", "child_ordinal")
 
 
+_SHEET_HEADERS = render.BREAKDOWN_HEADERS
+
+
+@query("k10_breakdown_sheet", _BREAKDOWN + ", rows_ AS (SELECT cpu, category, child, " + ", ".join(
+    f"{state} AS {m}_state, ({value})::DOUBLE AS {m}" for m, state, value in _BREAKDOWN_PAIRS) + f""" FROM s), {_ORDINALS}
+    SELECT cpu AS "CPU", category AS "Parent", coalesce(child, '') AS "Child", CASE WHEN child IS NULL THEN 'parent' ELSE 'child' END AS "Level", """ + ", ".join(
+    f"CASE {m}_state WHEN 'number' THEN round({m}, 3) END AS \"{h}\"" for m, h in _SHEET_HEADERS.items()) + f"""
+    FROM rows_ JOIN ordinals USING (category) LEFT JOIN child_ordinals USING (child) WHERE {_SHOWN}""")
+def breakdown_sheet(v):
+    """The sheet's rows; printed numbers are read back and compared to three decimals."""
+    sheet = render.breakdown_sheet(sampling.breakdown_rows(breakdown_of(v)))
+    return sheet.select("CPU", "Parent", "Child", "Level", *[
+        F.round(F.col(f"`{h}`").try_cast("double"), 3).alias(h) for h in _SHEET_HEADERS.values()])
+
+
 def _summary(metric):
     digits = "'%.0f'" if metric.startswith(("min_", "max_")) else f"CASE WHEN abs({metric}) >= 1000 THEN '%.0f' ELSE '%.3f' END"
     text = f"printf({digits}, {metric})" + (" || '%'" if metric.endswith("_pct") else "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -72,14 +74,21 @@ def line_table(rows: DataFrame) -> DataFrame:
 
 
 def write_report_tables(summary: DataFrame, rows: DataFrame, files: DataFrame, functions: DataFrame, root: str) -> None:
-    """Overwrite the four report tables; lines are clustered by file so file filters prune."""
-    base = root.rstrip("/")
+    """Write the four report tables as one generation; lines are clustered by file so file filters prune.
+
+    Every generation has its own folder. Its name is added to ``commits`` when all
+    four tables are whole; readers take the last name there, so that a writer that
+    fails halfway leaves the report as it was.
+    """
+    generation = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    base = f"{root.rstrip('/')}/{generation}"
     metadata = summary.select(F.lit("summary").alias("key"), F.to_json(F.struct("*")).alias("value"))
     metadata.write.mode("overwrite").parquet(f"{base}/metadata")
     line_table(rows).repartitionByRange("file", "line").sortWithinPartitions("file", "line").write.mode("overwrite").parquet(
         f"{base}/source_lines")
     files.write.mode("overwrite").parquet(f"{base}/files")
     functions.write.mode("overwrite").parquet(f"{base}/functions")
+    rows.sparkSession.range(1).select(F.lit(generation)).coalesce(1).write.mode("append").text(f"{root.rstrip('/')}/commits")
 
 
 def session_summary(manifest: DataFrame, warnings: DataFrame) -> DataFrame:

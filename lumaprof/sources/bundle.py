@@ -32,15 +32,43 @@ def incomplete_bundles(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
         "violation", F.concat(F.col("document"), F.lit(".json is missing")))
 
 
+#: Fields without which a document says nothing, besides its session.
+REQUIRED = {
+    "manifest": ("schema.name", "schema.version.major", "lanes.pmu.enabled", "lanes.pmu.available", "lanes.spe.enabled", "lanes.spe.available",
+                 "artifacts.files"),
+    "capability": ("cpus", "clusters"), "maps": ("maps",), "threads": ("threads",), "build_ids": ("modules",),
+    "loss": ("totals", "by_event_cpu"), "event_catalog": ("events",), "metric_catalog": ("metrics",), "event_runs": ("runs",),
+}
+_CORRUPT = "_corrupt"
+
+
+def _parsed(spark: SparkSession, roots: Sequence[str], name: str) -> DataFrame:
+    reader = spark.read.schema(f"{DOCUMENTS[name]}, {_CORRUPT} string").option("columnNameOfCorruptRecord", _CORRUPT)
+    return reader.json([f"{root.rstrip('/')}/{name}.json" for root in roots], multiLine=True)
+
+
 def read_documents(spark: SparkSession, roots: Sequence[str]) -> dict[str, DataFrame]:
     """One frame per document over all bundle roots (directories or globs).
 
     A root without a document is an error; under a glob, ``incomplete_bundles`` names the bundles that lack one.
+    Documents that ``broken_documents`` names for not parsing are left out.
     """
-    return {
-        name: spark.read.schema(schema).json([f"{root.rstrip('/')}/{name}.json" for root in roots], multiLine=True)
-        for name, schema in DOCUMENTS.items()
-    }
+    return {name: _parsed(spark, roots, name).filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT) for name in DOCUMENTS}
+
+
+def broken_documents(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """``(bundle, session_id, document, violation)`` of documents that do not parse, have a value of a wrong type, or lack a required field."""
+    found = None
+    for name in DOCUMENTS:
+        rows = _parsed(spark, roots, name)
+        path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+        lost = [F.when(F.col(field).isNull(), F.lit(f"{name}.json lacks {field}")) for field in (SESSION, *REQUIRED[name])]
+        broken = F.array(F.lit(f"{name}.json does not parse or has a value of a wrong type"))
+        violations = F.when(F.col(_CORRUPT).isNotNull(), broken).otherwise(F.array_compact(F.array(*lost)))
+        one = rows.select(path.substr(F.lit(1), F.length(path) - len(name) - 6).alias("bundle"), SESSION, F.lit(name).alias("document"),
+                          F.explode(violations).alias("violation"))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def _explode(doc: DataFrame, column: str, *extra: str) -> DataFrame:

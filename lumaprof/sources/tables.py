@@ -21,5 +21,15 @@ def read_callstacks(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return callstack_samples([spark.read.parquet(path) for path in paths])
 
 
+def report_generation(spark: SparkSession, root: str) -> str:
+    """Folder of the last report that was written whole."""
+    last = spark.read.text(f"{root.rstrip('/')}/commits").agg(F.max("value")).first()[0]  # one name per report
+    if last is None:
+        raise ValueError(f"{root}: no report has been written whole")
+    return f"{root.rstrip('/')}/{last}"
+
+
 def read_report(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{root.rstrip('/')}/{name}") for name in REPORT_TABLES}
+    """The tables of one generation: a report written later does not mix with them."""
+    base = report_generation(spark, root)
+    return {name: spark.read.parquet(f"{base}/{name}") for name in REPORT_TABLES}
