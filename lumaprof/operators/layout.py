@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumaprof.operators.callstacks import THREAD, node_rows, rolled_stacks
 from lumaprof.operators.reuse import cut as reused
+from lumaprof.operators.tree_order import path_sums
 
 
 def calls_below(stacks: DataFrame, func: Column, reverse: bool = False) -> DataFrame:
@@ -76,16 +77,13 @@ def flame(stacks: DataFrame, min_width_pct: float, keys: Sequence[str] = tuple(T
         F.col("width") >= min_width_pct))
     upper = F.least("_stop", "depth")
     chain = F.concat(F.slice("name_path", F.lit(1), upper), F.slice("path", upper + 1, F.col("depth") - upper))
-    kept = _with_paths(kept, stacks, keys, reverse).withColumn("_boxes", chain).withColumn(
-        "parent_box", F.when(F.col("depth") > 1, F.get("_boxes", F.col("depth") - 2)))
+    kept = _with_paths(kept, stacks, keys, reverse).withColumn(
+        "parent_box", F.when(F.col("depth") > 1, F.get(chain, F.col("depth") - 2)))
 
     earlier = Window.partitionBy(*keys, "parent_box").orderBy("name", "func").rowsBetween(Window.unboundedPreceding, -1)
     kept = reused(kept.withColumn("offset", F.coalesce(F.sum("width").over(earlier), F.lit(0.0))))
-    steps = kept.select(*keys, F.col("box").alias("_step"), "offset")
-    x = (
-        kept.select(*keys, "box", F.explode("_boxes").alias("_step")).join(steps, [*keys, "_step"])
-        .groupBy(*keys, "box").agg(F.sum("offset").alias("x")))
-    return kept.join(x, [*keys, "box"]).select(
+    x = path_sums(kept.select(*keys, F.col("box").alias("node"), F.col("parent_box").alias("parent"), "depth", "offset"), keys, "offset", "x")
+    return kept.join(x.withColumnRenamed("node", "box"), [*keys, "box"]).select(
         *keys, "box", "parent_box", (F.col("depth") - 1).alias("depth"), "func", "name", "subtree", "width", "x")
 
 

@@ -52,36 +52,48 @@ def stack_key(ips: Column) -> Column:
     return F.struct(F.xxhash64(ips).alias("a"), F.xxhash64(ips, F.lit("b")).alias("b"))
 
 
-def stack_labels(stacks: DataFrame, maps: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Label text, leaf and root of each distinct stack, given as ``key`` and ``ips`` (leaf first).
-
-    A frame carries its stack's key, never the stack.
-    """
-    exploded = stacks.select("key", "ips").distinct().select("key", F.posexplode("ips").alias("_pos", "ip"))
-    named = to_named_module(exploded, maps, symbols).select(
+def label_dictionary(ips: DataFrame, maps: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``(ip, label, label_id)`` of each distinct address; the id is 16 bytes and equal for equal labels."""
+    named = to_named_module(ips, maps, symbols).select(
         "ip", frame_label(F.col("module"), F.col("function"), F.col("relative_address")).alias("label"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "label"))), lambda e: e["label"])
-    return (
-        exploded.join(named, "ip").groupBy("key").agg(ordered.alias("labels"))
-        .select("key", F.array_join("labels", " <- ").alias("stack"),
-                F.element_at("labels", 1).alias("leaf"), F.element_at("labels", -1).alias("root")))
+    return named.withColumn("label_id", stack_key(F.col("label")))
+
+
+def _in_order(item: str) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("_pos", item))), lambda e: e[item])
+
+
+def chain_keys(stacks: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(key, chain)``: stacks of addresses under 16 bytes over their sequence of label ids."""
+    exploded = stacks.select("key", F.posexplode("ips").alias("_pos", "ip"))
+    return exploded.join(labels.select("ip", "label_id"), "ip").groupBy("key").agg(stack_key(_in_order("label_id")).alias("chain"))
+
+
+def chain_texts(stacks: DataFrame, chains: DataFrame, labels: DataFrame) -> DataFrame:
+    """Text, leaf and root of each chain, written out once from one of its stacks (leaf first)."""
+    one = chains.groupBy("chain").agg(F.min("key").alias("key"))
+    exploded = stacks.join(one, "key").select("chain", F.posexplode("ips").alias("_pos", "ip"))
+    return exploded.join(labels.select("ip", "label"), "ip").groupBy("chain").agg(_in_order("label").alias("labels")).select(
+        "chain", F.array_join("labels", " <- ").alias("stack"),
+        F.element_at("labels", 1).alias("leaf"), F.element_at("labels", -1).alias("root"))
 
 
 def callchains(samples: DataFrame, maps: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Whole stacks keyed by label text. Equal address stacks are summed before they are labelled."""
+    """Whole stacks by their labels. Sums and ids are taken under keys; texts meet the finished rows."""
     ips = F.concat(F.array("ip"), F.col("callchain"))
     raw = samples.select(stack_key(ips).alias("key"), ips.alias("ips"), "event_key", "cpu", "tid", "period")
-    texts = cut(stack_labels(raw, maps, symbols))
+    stacks = cut(raw.groupBy("key").agg(F.first("ips").alias("ips")))
+    labels = cut(label_dictionary(stacks.select(F.explode("ips").alias("ip")).distinct(), maps, symbols))
+    chains = cut(chain_keys(stacks, labels))
     by_event = raw.groupBy("key", "event_key").agg(F.count(F.lit(1)).alias("n"), F.sum("period").alias("w"))
-    labelled = by_event.join(texts, "key").groupBy("stack", "event_key").agg(
-        F.sum("n").alias("n"), F.sum("w").alias("w"), F.min("leaf").alias("leaf"), F.min("root").alias("root"))
-    rows = cut(labelled.groupBy("stack").agg(
-        F.min("leaf").alias("leaf"), F.min("root").alias("root"), F.sum("n").alias("sample_count"),
-        F.sum("w").cast("double").alias("weight"),
+    labelled = by_event.join(chains, "key").groupBy("chain", "event_key").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    rows = cut(labelled.groupBy("chain").agg(
+        F.sum("n").alias("sample_count"), F.sum("w").cast("double").alias("weight"),
         weights_text(F.map_from_entries(F.collect_list(F.struct("event_key", "w")))).alias("event_weights")))
-    ids = raw.select("key", "cpu", "tid").distinct().join(texts.select("key", "stack"), "key")
+    ids = raw.select("key", "cpu", "tid").distinct().join(chains, "key")
     total = rows.agg(F.sum("weight")).scalar()
-    return rows.join(_ids(ids, ["stack"]), "stack").withColumn("p_pct", M.percent(F.col("weight"), total))
+    return (rows.join(_ids(ids, ["chain"]), "chain").join(chain_texts(stacks, chains, labels), "chain").drop("chain")
+            .withColumn("p_pct", M.percent(F.col("weight"), total)))
 
 
 def callchain_order() -> list[Column]:

@@ -8,6 +8,7 @@ from lumaprof.functions import text as X
 from lumaprof.operators import callstacks as R
 from lumaprof.operators import frames as G
 from lumaprof.operators import layout
+from lumaprof.operators import tree_order
 from lumaprof.operators import views
 from lumaprof.operators.reuse import cut
 from lumaprof.plans.registry import query, rounded
@@ -272,6 +273,29 @@ def tree_entries(v):
     return entries.join(parents, [*THREAD, "parent"], "left").select(*THREAD, "depth", "value", F.col("_parent").alias("parent"))
 
 
+def _document_sql(tree):
+    """Path order is pre-order; a line closes what is at least as deep as the next one."""
+    return f"""
+    WITH o AS (
+        SELECT *, row_number() OVER (PARTITION BY event, pid, tid ORDER BY sorted) AS entry,
+            coalesce(lead(depth) OVER (PARTITION BY event, pid, tid ORDER BY sorted), 0) AS next_depth,
+            row_number() OVER (PARTITION BY event, pid, tid, path[1:depth - 1] ORDER BY sorted) AS sibling
+        FROM (SELECT *, list_transform(path, lambda x: {{'n': 'f' || (x // 2), 'f': x}}) AS sorted FROM {tree}))
+    SELECT event, pid, tid, entry, CASE WHEN sibling > 1 THEN ',' ELSE '' END || '{{"e":' || self || ',"s":' || subtree || ',"f":' || func || ',"c":['
+        || repeat(']}}', depth - next_depth + 1) AS value FROM o
+    UNION ALL SELECT event, pid, tid, 0, '{{"e":0,"s":' || sum(subtree) || ',"f":-1,"c":[' FROM {tree} WHERE depth = 1 GROUP BY event, pid, tid"""
+
+
+@query("k5_tree_documents", _document_sql("v_tree"))
+def tree_documents(v):
+    return report.tree_documents(tree_order.preorder(R.call_tree(v.stacks), THREAD), THREAD)
+
+
+@query("k5_reverse_tree_documents", _document_sql("v_reverse_tree"))
+def reverse_tree_documents(v):
+    return report.tree_documents(tree_order.preorder(R.call_tree(v.stacks, reverse=True), THREAD), THREAD)
+
+
 @query("k5_function_lists", """
     SELECT event, pid, tid, lib, sum(self) OVER (PARTITION BY event, pid, tid, lib)::BIGINT AS lib_self,
         '{"f":' || func || ',"c":[' || sample_count || ',' || self || ',' || subtree || ']}' AS value FROM v_function_rows""")

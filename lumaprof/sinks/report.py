@@ -182,6 +182,35 @@ def tree_entries(tree: DataFrame, keys: Sequence[str]) -> DataFrame:
     return tree.select(*keys, "depth", name("node"), name("parent"), value.alias("value"))
 
 
+#: Function id of the node above all roots of a call tree.
+NO_FUNCTION = -1
+
+
+def tree_documents(ordered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The nested document of each tree as lines: ``(keys, entry, value)``, to be joined in the order of ``entry``.
+
+    ``ordered`` is a tree with pre-order numbers. Line 0 is the node above all
+    roots; every further line opens one node, and closes it and each node whose
+    subtree ends with it. So a document is a stream of rows, whatever its size.
+    """
+    root = ordered.groupBy(*keys).agg(
+        F.lit(0).cast("bigint").alias("entry"), F.count(F.lit(1)).alias("exit"), F.lit(1).alias("sibling"), F.lit(0).cast("bigint").alias("self"),
+        F.sum(F.when(F.col("depth") == 1, F.col("subtree"))).alias("subtree"), F.lit(NO_FUNCTION).cast("bigint").alias("func"))
+    nodes = ordered.select(*root.columns).unionByName(root)
+    ends = nodes.groupBy(*keys, F.col("exit").alias("entry")).agg(F.count(F.lit(1)).cast("int").alias("_ends"))
+    value = F.concat(
+        F.when(F.col("sibling") > 1, F.lit(",")).otherwise(F.lit("")), F.lit('{"e":'), F.col("self").cast("string"), F.lit(',"s":'),
+        F.col("subtree").cast("string"), F.lit(',"f":'), F.col("func").cast("string"), F.lit(',"c":['),
+        F.repeat(F.lit("]}"), F.coalesce("_ends", F.lit(0))))
+    return nodes.join(ends, [*keys, "entry"], "left").select(*keys, "entry", value.alias("value"))
+
+
+def write_tree_documents(lines: DataFrame, keys: Sequence[str], root: str) -> None:
+    """One folder per tree; its files in name order are the document, cut between lines."""
+    lines.repartitionByRange(*keys, "entry").sortWithinPartitions(*keys, "entry").select(*keys, "value").write.mode(
+        "overwrite").partitionBy(*keys).text(root)
+
+
 def frame_entries(totals: DataFrame, functions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Frames as ``[total,[func,self,subtree,...]]``; a frame's list is bounded by its distinct functions."""
     triple = F.array("func", "self", "subtree")
