@@ -8,13 +8,18 @@ is. A logistic calibration turns both into a score between 0 and 1. The labelled
 pair of dictionaries each: the calibration measures a labelled text with the pair of
 the other fold, and a score is the mean (of logits) over both pairs.
 
-The labelled sample is bounded (``per_class`` rows of each label, lowest id hashes
-first); it is the only thing that is. The calibration weighs the sampled rows so that
+The labelled sample is bounded: ``per_class`` rows of each label, lowest id hashes
+first, and of the pieces of ``SAMPLE_BYTES`` into which their whole texts are cut,
+``samples`` of each label and fold, lowest hashes first; nothing else is. The calibration
+measures whole texts and weighs the sampled rows so that
 the classes have their shares of all rows that may be learned from. Rows whose ``crc32(id) mod 4`` is 2 are never
 learned from. Scores use the text alone.
 
-Null and empty texts get the score of an empty text. Without rows of both labels
-every score is the share of good labels (0.5 without any). Ids with differing
+Null and empty texts get the score of an empty text. Folds alternate within a label, so
+two rows of it fill both; with a single row both folds share one pair of dictionaries.
+Where some group has too little text to train on, the texts themselves, repeated to
+one length, are the dictionaries of all groups (``trained`` is false). Without rows of
+both labels every score is the share of good labels (0.5 without any). Ids with differing
 labels count as good if at least half of them are; null labels and ids are not
 learned from. Repeated rows get equal scores; an empty table gives no row. ``kept``
 returns the columns of its input, whatever they are called.
@@ -28,15 +33,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaprof.llm.common import slices, written
 
 #: Labelled rows of each class that are learned from, at most.
 PER_CLASS = 3000
-#: Bytes of a text that go into a dictionary's training, and of the dictionary.
-SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 4000, 112_640, 3
+#: Pieces of whole labelled texts that train a dictionary: their bytes, and how many of a label and fold at most.
+SAMPLE_BYTES, SAMPLES = 4000, 3000
+DICTIONARY_BYTES, LEVEL = 112_640, 3
 #: Bytes of a text that are compressed at once; a text's sizes are the sums over its pieces.
 PIECE_BYTES = 16_384
 
@@ -52,19 +58,20 @@ class Model:
     pairs: tuple[tuple[bytes, bytes], ...]
     weights: tuple[float, ...]
     prior: float
+    trained: bool = False
 
     def compressors(self) -> list[list[zstandard.ZstdCompressor]]:
         return [[_compressor(d) for d in pair] for pair in self.pairs]
 
 
-def _dictionaries(groups: list[list[bytes]]) -> list[bytes]:
-    """A dictionary for each group of texts, all made the same way so that they compare."""
+def _dictionaries(groups: list[list[bytes]]) -> tuple[list[bytes], bool]:
+    """A dictionary for each group of samples, all made the same way so that they compare; and whether they are trained."""
     try:
-        return [zstandard.train_dictionary(DICTIONARY_BYTES, texts, level=LEVEL).as_bytes() for texts in groups]
-    except zstandard.ZstdError:  # some group has too few or too short texts to train on: plain text of equal size
-        joined = [b"\n".join(texts) for texts in groups]
-        size = max(8, min(DICTIONARY_BYTES, *map(len, joined)))
-        return [text[:size].ljust(size, b"\0") for text in joined]
+        return [zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes() for samples in groups], True
+    except zstandard.ZstdError:  # too few or too short samples in some group
+        joined = [b"\n".join(samples) or b"\n" for samples in groups]
+        size = max(8, min(DICTIONARY_BYTES, max(map(len, joined))))
+        return [(text * -(-size // len(text)))[:size] for text in joined], False
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -109,8 +116,11 @@ def scores(model: Model, compressors: list, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.mean(logits, axis=0), -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Learn from at most ``per_class`` labelled rows of each class, none of them held out."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, samples: int = SAMPLES) -> Model:
+    """Learn from at most ``per_class`` labelled rows of each class, none of them held out.
+
+    Of their texts' pieces at most ``samples`` of each class and fold train the dictionaries.
+    """
     marked = (labels.filter("doc_id is not null and quality is not null").filter(~held_out())
               .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_label")))
     marked = written(marked.join(docs.select("doc_id"), "doc_id", "left_semi"), "marked")
@@ -122,19 +132,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         picked = some if picked is None else picked.unionByName(some)
     # At most 2 * per_class rows of an id and a label.
     chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
-    sample = written(chosen.select("_label", F.pmod(F.shiftright(order, 8), F.lit(2)).cast("int").alias("_fold"), order.alias("_order"),
+    # The window is over the sampled rows of a label, ``per_class`` at most.
+    fold = (F.row_number().over(Window.partitionBy("_label").orderBy(order, "doc_id")) % 2).cast("int")
+    sample = written(chosen.select("_label", fold.alias("_fold"), order.alias("_order"),
                                    F.coalesce("text", F.lit("")).cast("binary").alias("_text")), "labelled")
     counts = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     prior = total.get(1, 0) / sum(total.values()) if total else 0.5
     if len(counts) < 2:
         return Model((), (), prior)
-    texts: dict[tuple[int, int], list[bytes]] = {(label, fold): [] for label in (0, 1) for fold in (0, 1)}
-    for row in sample.orderBy("_order").select("_label", "_fold", F.substring("_text", 1, SAMPLE_BYTES).alias("t")).collect():
-        texts[row["_label"], row["_fold"]].append(bytes(row["t"]))
-    if not all(texts.values()):
-        return Model((), (), prior)
-    made = _dictionaries([texts[label, fold] for fold in (0, 1) for label in (1, 0)])
-    pairs = ((made[0], made[1]), (made[2], made[3]))
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length("_text"), F.lit(1)), F.lit(SAMPLE_BYTES))
+    pieces = sample.select("_label", "_fold", "_order", "_text", F.explode(starts).alias("_at")).withColumn("_rank", F.xxhash64("_order", "_at"))
+    texts: dict[tuple[int, int], list[bytes]] = {}
+    for label in (1, 0):
+        for side in (0, 1):
+            group = pieces.filter((F.col("_label") == label) & (F.col("_fold") == side))
+            group = group.select("_rank", "_at", F.substring("_text", F.col("_at"), F.lit(SAMPLE_BYTES)).alias("t"))
+            texts[label, side] = [bytes(r["t"]) for r in group.orderBy("_rank", "_at", "t").limit(samples).collect()]
+    if all(texts.values()):
+        made, trained = _dictionaries([texts[label, side] for side in (0, 1) for label in (1, 0)])
+        pairs = ((made[0], made[1]), (made[2], made[3]))
+    else:
+        made, trained = _dictionaries([texts[label, 0] + texts[label, 1] for label in (1, 0)])
+        pairs = ((made[0], made[1]),) * 2
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = [[_compressor(d) for d in pair] for pair in pairs]
@@ -149,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     # Sampled rows stand for all of their class; as many in all as were sampled.
     mass = {label: n / counts[label] * sum(counts.values()) / sum(total.values()) for label, n in total.items()}
     weights = logistic(features(measured[["good", "bad", "length"]].to_numpy()), measured["label"].to_numpy(float), measured["label"].map(mass).to_numpy(float))
-    return Model(pairs, tuple(weights.tolist()), prior)
+    return Model(pairs, tuple(weights.tolist()), prior, trained)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

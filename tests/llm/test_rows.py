@@ -112,6 +112,35 @@ def test_quality_keeps_the_shares_of_capped_classes(spark):
     assert 1 / (1 + np.exp(-weight[0])) == pytest.approx(0.9)
 
 
+def test_quality_learns_from_the_ends_of_texts(spark):
+    # All texts begin alike, for longer than a sample; good and bad differ behind that only.
+    rng = np.random.default_rng(4)
+    common = " ".join(f"w{n % 700}" for n in range(2600))
+    assert len(common) > 10_000
+
+    def text(words):
+        return common + " " + " ".join(rng.choice(words, 400))
+
+    kinds = [[f"{a}{b}ing" for a in "bcdfgh" for b in "aeiou"], [f"zz{a}{b}{a}q" for a in "klmnp" for b in "xyvw"]]
+    docs = spark.createDataFrame([(i, text(kinds[i % 2])) for i in range(160)], "doc_id bigint, text string")
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = quality.fit(docs, labels)
+    rows = quality.scored(docs, model, threshold=0.5).filter("held_out").collect()
+    assert model.trained and len(rows) > 20 and all(r.predicted == 1 - r.doc_id % 2 for r in rows)
+
+
+def test_quality_with_few_labels(spark):
+    learned = [n for n in range(40) if crc32(str(n).encode()) % 4 != 2]
+    texts = {n: (f"calm and clear prose about rivers {n} " if n % 2 else f"$$$ !!! 999 $$$ {n} ") * 30 for n in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    odd, even = [n for n in learned if n % 2], [n for n in learned if not n % 2]
+    for marks, shared in (([(odd[0], 1), (even[0], 0)], True), ([(n, n % 2) for n in odd[:2] + even[:2]], False)):
+        model = quality.fit(docs, spark.createDataFrame(marks, "doc_id bigint, quality int"))
+        assert not model.trained and len(model.pairs) == 2 and (model.pairs[0] == model.pairs[1]) == shared
+        scores = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+        assert min(scores[n] for n in texts if n % 2) > max(scores[n] for n in texts if not n % 2)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
