@@ -86,25 +86,27 @@ def _token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_warc", sql="""
 with kept as (
-  select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
+  select page_id, coalesce(page_id::varchar, '') as page, coalesce(url, '') as url, coalesce(html, '') as html from pages),
 twins as (
-  select *, case when ((page_id % 97) + 97) % 97 = 5 then left(html, greatest(length(html), 1) - 1) || '~' else html end as found_html from kept),
-records as (
-  select page_id,
-    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
-      || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) as a,
-    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
-      || 'Content-Length: ' || strlen(found_html) || chr(13) || chr(10) || chr(13) || chr(10) || found_html || chr(13) || chr(10) || chr(13) || chr(10) as b
-  from twins),
-digests as (select page_id, strlen(a) as length, strlen(b) as found_length, sha256(a) as expected, sha256(b) as found from records),
-placed as (select *, row_number() over (order by page_id nulls first, expected) - 1 as position from digests),
-files as (
-  select *, position // 256 as archive, coalesce(sum(length) over (partition by position // 256 order by position
-    rows between unbounded preceding and 1 preceding), 0) as "offset",
-    coalesce(sum(found_length) over (partition by position // 256 order by position
-    rows between unbounded preceding and 1 preceding), 0) as found_offset from placed)
-select position, archive, cast("offset" as bigint) as "offset", length, expected, found, page_id
-from files where expected <> found or "offset" <> found_offset or length <> found_length
+  select *, sha256(page || chr(10) || strlen(url) || chr(10) || url || html) as record_id,
+    case when ((page_id % 97) + 97) % 97 = 5 then left(html, greatest(length(html), 1) - 1) || '~' else html end as found_html,
+    coalesce(((page_id % 89) + 89) % 89 = 7, false) as lost from kept),
+headed as (
+  select *, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:sha256:' || record_id || '>' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'X-Page-Id: ' || page || chr(13) || chr(10) || 'Content-Length: ' as head,
+    chr(13) || chr(10) || chr(13) || chr(10) as blank from twins),
+whole as (
+  select record_id, page_id, lost, head || strlen(html) || blank || html || blank as a, head || strlen(found_html) || blank || found_html || blank as b from headed),
+leaves as (
+  select record_id, min(page_id) as page_id, sum(strlen(a))::bigint as bytes, count(*) as copies, count(*) filter (not lost) as found_copies,
+    min(sha256(a)) as expected, min(sha256(b)) filter (not lost) as found from whole group by record_id),
+cut as (select len(list_filter(range(1, 16), lambda i: 256 * 16::double ** (i - 1) < (select count(*) from leaves))) as digits),
+files as (select *, 'a' || left(record_id, digits::bigint) as archive from leaves, cut)
+select record_id, archive, page_id, "offset", bytes, copies, found_copies, expected, found
+from (select *, coalesce(sum(bytes) over (partition by archive order by record_id rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from files)
+where copies <> found_copies or expected is distinct from found
 """)
 def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audited(table(spark, sf_dir, "pages"))

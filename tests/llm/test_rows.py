@@ -229,18 +229,56 @@ def pages_of(spark, count):
 
 def test_audit_finds_damage_and_nothing_else(spark):
     pages = pages_of(spark, 700)
-    whole = {"primary": F.col("html"), "replica": F.when(F.col("page_id").isin(5, 301, 699), F.lit("bad")).otherwise(F.col("html"))}
-    both = warc.catalogue(pages, whole)
-    primary, replica = warc.tree(warc.leaves(both, "primary")), warc.tree(warc.leaves(both, "replica"))
-    assert [t.count() for t in primary] == [703, 44, 3, 1]
-    found = warc.audit(primary, replica).join(both, "position").toPandas()
-    damaged = found[found.expected != found.found]
-    assert sorted(damaged.page_id) == [5, 301, 699]
-    # Later records of a file are where they are not expected when a length has changed.
-    assert (found.groupby(found.position // 256)["position"].count() > 0).all()
-    assert warc.audit(primary, primary).count() == 0
-    shorter = warc.tree(warc.leaves(both.filter("position < 690"), "primary"))
-    assert sorted(r.position for r in warc.audit(primary, shorter).collect()) == list(range(690, 703))
+    damaged = F.when(F.col("page_id").isin(5, 301, 699), F.lit("bad")).otherwise(F.col("html"))
+    primary = warc.catalogue(warc.records(pages))
+    a, b = warc.leaves(primary), warc.leaves(warc.catalogue(warc.records(pages, damaged)))
+    digits = warc.archive_digits(a.count())
+    trees = warc.tree(a, digits), warc.tree(b, digits)
+    assert digits == 1 and [t.count() for t in trees[0]][0] == 702 and [t.count() for t in trees[0]][2:] == [16, 1]
+    found = warc.audit(*trees).toPandas()
+    assert sorted(found.page_id) == [5, 301, 699] and (found.expected != found.found).all() and (found.copies == found.found_copies).all()
+    assert warc.audit(trees[0], trees[0]).count() == 0
+
+
+def test_audit_of_lost_extra_and_repeated_records(spark):
+    pages = pages_of(spark, 700)
+    primary = warc.catalogue(warc.records(pages))
+
+    def differences(replica):
+        return {(r.page_id, r.copies, r.found_copies) for r in warc.compared(primary, warc.catalogue(warc.records(replica))).collect()}
+
+    assert differences(pages.filter("page_id <> 10 or page_id is null")) == {(10, 1, 0)}
+    more = spark.createDataFrame([(900, None, "new"), (3, "http://h/3", "x")], "page_id bigint, url string, html string")
+    assert differences(pages.drop("archive").unionByName(more)) == {(900, 0, 1), (3, 2, 3)}
+    # A page under another url is one record less and one more.
+    assert differences(pages.withColumn("url", F.when(F.col("page_id") == 8, "elsewhere").otherwise(F.col("url")))) == {(8, 1, 0), (8, 0, 1)}
+    assert len(differences(pages.limit(0))) == 702
+
+
+def test_archives_are_read_back(spark, tmp_path):
+    long = "é\r\n\r\nWARC/1.0\r\n" + "x y" * 700_000
+    pages = pages_of(spark, 600).drop("archive").unionByName(
+        spark.createDataFrame([(-1, "a\r\nb", long)], "page_id bigint, url string, html string"))
+    held, path = warc.records(pages), str(tmp_path / "archives")
+    warc.write_archives(held, path)
+    rows = warc.read_archives(spark, path)
+    back = Counter((r.page_id, r.html) for r in rows.collect())
+    assert back == Counter((r.page_id, r.html or "") for r in pages.collect())
+    assert warc.compared(warc.catalogue(held), rows).count() == 0
+    # Offsets of the audit are those of the files.
+    at = {r.record_id: r.offset for r in rows.groupBy("record_id").agg(F.min("offset").alias("offset")).collect()}
+    found = warc.compared(warc.catalogue(held), rows.filter("page_id not in (4, 77)")).collect()
+    assert {(r.page_id, r.offset) for r in found if r.page_id is not None} == {(p, at[r.record_id]) for r in found for p in [r.page_id] if p is not None}
+    assert {r.page_id for r in found} == {4, 77, None}
+
+
+def test_broken_archive_is_read_on():
+    one = b"WARC/1.0\r\nWARC-Record-ID: <urn:sha256:%s>\r\nX-Page-Id: 4\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n"
+    good, broken = one % (b"ab", 3, b"abc"), one % (b"cd", 999, b"abc")
+    rows = list(warc.parsed(good + broken + good + b"rest"))
+    assert [(r[0], r[2], r[6]) for r in rows] == [
+        (0, "ab", None), (len(good), None, "not a whole record"), (len(good + broken), "ab", None), (len(good + broken + good), None, "not a whole record")]
+    assert list(warc.parsed(b"")) == []
 
 
 def test_audit_of_nothing(spark):
