@@ -102,7 +102,7 @@ whole as (
 leaves as (
   select record_id, min(page_id) as page_id, sum(strlen(a))::bigint as bytes, count(*) as copies, count(*) filter (not lost) as found_copies,
     min(sha256(a)) as expected, min(sha256(b)) filter (not lost) as found from whole group by record_id),
-cut as (select len(list_filter(range(1, 16), lambda i: 256 * 16::double ** (i - 1) < (select count(*) from leaves))) as digits),
+cut as (select count(*) as digits from range(1, 16) as r(i), (select count(*) as n from leaves) where 256 * 16::double ** (i - 1) < n),
 files as (select *, 'a' || left(record_id, digits::bigint) as archive from leaves, cut)
 select record_id, archive, page_id, "offset", bytes, copies, found_copies, expected, found
 from (select *, coalesce(sum(bytes) over (partition by archive order by record_id rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from files)
