@@ -47,6 +47,23 @@ def removed(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+class Scratch:
+    """Tables of one run in the shared folder, deleted by name once no later step reads them."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.live = spark, shared_path(spark, label), set()
+
+    def written(self, rows: DataFrame, name: str) -> DataFrame:
+        self.live.add(name)
+        return written(rows, name, path=f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Only after all that is made of these tables has been written itself."""
+        for name in names:
+            self.live.remove(name)
+            removed(self.spark, f"{self.root}/{name}")
+
+
 def text_bytes(column: str | Column) -> Column:
     """UTF-8 bytes of a text, a null one being empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
