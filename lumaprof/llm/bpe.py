@@ -11,7 +11,9 @@ The work is per row and needs no shuffle. A worker keeps a bounded dictionary of
 pieces it has encoded; text is cut for it only where a token can never span.
 
 Null texts count as empty. Special tokens in a text become their own id, as the
-tokenizers library does by default. Extra columns are not touched.
+tokenizers library does by default. Repeated rows are encoded each; an empty table
+gives no row. Texts of any length are encoded whole, one at a time where they are
+long. Extra columns are not touched.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ A batch ends by cutting a document where its windows are full but for ``margin``
 tokens; the rest of the document opens the next batch.
 
 Null texts count as empty (the end id alone); null ids and repeated rows are
-packed like any other row; an empty table gives no piece. Only the id and text
+packed like any other row; an empty table gives no piece. Long texts are read whole
+and fill as many windows as they need. Only the id and text
 columns are read, so extra columns cannot clash.
 """
 

@@ -8,7 +8,8 @@ with context too, but never removes it.
 
 Everything is per row: nothing is shuffled. Patterns are anchored so that long runs
 of one character class are read once. Null and empty texts have no spans. Null ids
-and repeated rows are rows like any other; extra columns are kept by ``redacted``
+and repeated rows are rows like any other, texts of any length are searched whole, and
+an empty table gives no row; extra columns are kept by ``redacted``
 and not read by ``found``.
 """
 

@@ -12,7 +12,8 @@ rows are cut into ranges of that order, numbered inside each range, and the coun
 of the ranges are added up, so no window holds a whole shard.
 
 Null texts have no bytes and a size of one. Null keys are hashed as the empty text;
-repeated rows go to the same shard, each with a slot of its own. An empty table
+repeated rows go to the same shard, each with a slot of its own. Of a text, however
+long, only size and checksum are moved. An empty table
 gives no row. Only the key and the text are read, so extra columns cannot clash.
 """
 

@@ -14,8 +14,8 @@ not all its pairs; components are contracted over those edges.
 
 Null and blank texts have fingerprint zero and are linked like any other. Rows
 with a null id keep their fingerprint and take part; a component's id is the least
-id in it that is not null. Repeated rows are one node and all are returned. Extra
-columns are not read.
+id in it that is not null. Repeated rows are one node and all are returned. Texts of
+any length count with all their shingles; an empty table gives no row. Extra columns are not read.
 """
 
 from __future__ import annotations

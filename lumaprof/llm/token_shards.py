@@ -13,7 +13,8 @@ A record is the sequence's ids as little-endian unsigned 16-bit integers and one
 line feed that the writer adds. The last sequence of a task is filled up with the
 end id.
 
-Null texts count as empty; null ids and repeated rows are tokenised like any other.
+Null texts count as empty; null ids and repeated rows are tokenised like any other,
+and long texts whole, over as many sequences as they need.
 An empty table gives no shard and no row. Only the text is read.
 """
 
