@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,28 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+class Scratch:
+    """Tables of one run in the shared folder, deleted by name once no later step reads them.
+
+    For rounds of narrow rows, where every round replaces the one before: a table is
+    compressed, and only the last ones lie on disk.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+    def written(self, rows: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        rows.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Only after all that is made of these tables has been written itself."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release() -> int:
     """Give up everything kept so far; returns how many results that were."""
     count = len(_HELD)

@@ -197,12 +197,14 @@ def tree_documents(ordered: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.lit(0).cast("bigint").alias("entry"), F.count(F.lit(1)).alias("exit"), F.lit(1).alias("sibling"), F.lit(0).cast("bigint").alias("self"),
         F.sum(F.when(F.col("depth") == 1, F.col("subtree"))).alias("subtree"), F.lit(NO_FUNCTION).cast("bigint").alias("func"))
     nodes = ordered.select(*root.columns).unionByName(root)
-    ends = nodes.groupBy(*keys, F.col("exit").alias("entry")).agg(F.count(F.lit(1)).cast("int").alias("_ends"))
+    # What ends at a line ends with its node, which has none below; only such lines meet the nodes above them.
+    inner, leaves = nodes.filter("entry < exit"), nodes.filter("entry >= exit")
+    closed = inner.groupBy(*keys, F.col("exit").alias("entry")).agg(F.count(F.lit(1)).cast("int").alias("_above"))
+    ended = leaves.join(closed, [*keys, "entry"], "left").withColumn("_ends", 1 + F.coalesce("_above", F.lit(0))).drop("_above")
     value = F.concat(
         F.when(F.col("sibling") > 1, F.lit(",")).otherwise(F.lit("")), F.lit('{"e":'), F.col("self").cast("string"), F.lit(',"s":'),
-        F.col("subtree").cast("string"), F.lit(',"f":'), F.col("func").cast("string"), F.lit(',"c":['),
-        F.repeat(F.lit("]}"), F.coalesce("_ends", F.lit(0))))
-    return nodes.join(ends, [*keys, "entry"], "left").select(*keys, "entry", value.alias("value"))
+        F.col("subtree").cast("string"), F.lit(',"f":'), F.col("func").cast("string"), F.lit(',"c":['), F.repeat(F.lit("]}"), F.col("_ends")))
+    return inner.withColumn("_ends", F.lit(0)).unionByName(ended).select(*keys, "entry", value.alias("value"))
 
 
 def write_tree_documents(lines: DataFrame, keys: Sequence[str], root: str) -> None:

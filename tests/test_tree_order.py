@@ -113,3 +113,21 @@ def test_path_sums_against_brute_force(spark):
             n = parents[n]
     assert sums == expected
     assert {r.node: r["size"] for r in tree_order.subtree_sizes(rows, ["k"]).collect()} == dict(sizes)
+
+
+def test_numbering_leaves_one_narrow_table(spark):
+    """The rounds' tables are gone afterwards, and what stays is a compressed table of the nodes."""
+    from lumaprof.operators.reuse import shared_dir
+
+    root = Path(shared_dir(spark).removeprefix("file:"))
+    stored = lambda: {p: p.stat().st_size for p in root.rglob("*") if p.is_file()}
+    rows = spark.range(20_000).selectExpr(
+        "'e' AS event", "1L AS pid", "id % 3 AS tid", "id AS node", "if(id < 30, null, id div 10 - id div 10 % 3 + id % 3) AS parent",
+        "if(id < 30, 1, if(id < 300, 2, if(id < 3000, 3, 4))) AS depth", "id AS func", "concat('f', id) AS name", "1L AS self", "1L AS subtree")
+    before = stored()
+    ordered = tree_order.preorder(rows, THREAD).collect()
+    added = sum(size for path, size in stored().items() if path not in before)
+    assert added < 60 * 20_000
+    entries = {(r.tid, r.node): r for r in ordered}
+    assert all(sorted(r.entry for r in ordered if r.tid == t) == list(range(1, 1 + sum(r.tid == t for r in ordered))) for t in range(3))
+    assert all(entries[r.tid, r.parent].entry < r.entry <= r.exit <= entries[r.tid, r.parent].exit for r in ordered if r.depth > 1)
