@@ -55,8 +55,9 @@ def _seen_order() -> Column:
 
 
 def thread_names(samples: DataFrame) -> DataFrame:
-    """Last seen name of each thread."""
-    return samples.groupBy(*THREAD).agg(F.max_by("comm", _seen_order()).alias("thread_name"))
+    """Last seen name of each thread; samples are reduced to the last time of each name, by hash, before names are compared."""
+    seen = samples.groupBy(*THREAD, "comm").agg(F.max("time").alias("time"))
+    return seen.groupBy(*THREAD).agg(F.max_by("comm", _seen_order()).alias("thread_name"))
 
 
 def process_names(threads: DataFrame) -> DataFrame:
