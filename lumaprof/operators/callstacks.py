@@ -77,7 +77,10 @@ def named_rollup(samples: DataFrame) -> DataFrame:
 
 
 def _frame_rows(samples: DataFrame, depth_limit: int | None) -> DataFrame:
-    return samples.select("time", F.posexplode(_cut(depth_limit)).alias("_pos", "f")).select("time", "_pos", "f.*")
+    """Frames of each distinct stack at its first time; a null time is the first of all."""
+    first = F.when(~F.bool_or(F.col("time").isNull()), F.min("time"))
+    stacks = samples.groupBy(_cut(depth_limit).alias("_frames")).agg(first.alias("time"))
+    return stacks.select("time", F.posexplode("_frames").alias("_pos", "f")).select("time", "_pos", "f.*")
 
 
 def dictionaries(samples: DataFrame, depth_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
