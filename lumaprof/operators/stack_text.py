@@ -82,7 +82,8 @@ def callchains(samples: DataFrame, maps: DataFrame, symbols: DataFrame) -> DataF
     """Whole stacks by their labels. Sums and ids are taken under keys; texts meet the finished rows."""
     ips = F.concat(F.array("ip"), F.col("callchain"))
     raw = samples.select(stack_key(ips).alias("key"), ips.alias("ips"), "event_key", "cpu", "tid", "period")
-    stacks = cut(raw.groupBy("key").agg(F.first("ips").alias("ips")))
+    # Distinct by hash first: an array is aggregated by sorting, which is for stacks and not for samples.
+    stacks = cut(raw.groupBy("key", "ips").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("ips", "n").alias("ips")))
     labels = cut(label_dictionary(stacks.select(F.explode("ips").alias("ip")).distinct(), maps, symbols))
     chains = cut(chain_keys(stacks, labels))
     by_event = raw.groupBy("key", "event_key").agg(F.count(F.lit(1)).alias("n"), F.sum("period").alias("w"))
