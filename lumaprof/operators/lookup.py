@@ -128,6 +128,8 @@ def merged_before(points: DataFrame, marks: DataFrame, by: Sequence[str], point:
         *by, F.col("_at").alias(point), *[F.col(f"_hit.{c}").alias(c) for c in dict.fromkeys([mark, *payload])])
 
 
+#: Interval ends that one slice of a sweep holds.
+SWEPT_ROWS = 50_000
 #: Levels of the tree over slices; enough for 2**24 of them.
 LEVELS = 24
 
@@ -199,12 +201,13 @@ def segments(intervals: DataFrame, lo: str, hi: str, order: Sequence[str], paylo
              slice_rows: int | None = None) -> DataFrame:
     """Elementary segments ``(by, _at, payload)``: from ``_at`` on, the first by ``order`` of the intervals ``[lo, hi)`` there; null in gaps.
 
-    The interval ends are cut into slices; a slice knows the intervals that start or
+    A slice is swept in one Python worker, so it holds ``SWEPT_ROWS`` ends if no
+    other size is asked for, whatever the size of the table. The interval ends are cut into slices; a slice knows the intervals that start or
     end in it, and the first one of those that only pass through.
     """
     columns = list(dict.fromkeys([*by, *order, *payload]))
     real = intervals.filter(F.col(hi) > F.col(lo)).select(*columns, F.array(lo, hi).alias("_ends"), F.monotonically_increasing_id().alias("_id"))
-    ends = sliced(real.select(*columns, "_id", F.posexplode("_ends").alias("_kind", "_at")), [*by, "_at"], slice_rows)
+    ends = sliced(real.select(*columns, "_id", F.posexplode("_ends").alias("_kind", "_at")), [*by, "_at"], slice_rows or SWEPT_ROWS)
     types = dict(intervals.dtypes)
     out = list(dict.fromkeys(payload))
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), "_at bigint", *(f"`{c}` {types[c]}" for c in out)])
