@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, of every group with a five-word similarity of 0.8 or more."""
+    """One document, the one with the least id, of every group with a five-word similarity of 0.8 or more; SimHash and banded minima propose."""
     return near_copies.one_of_each(docs)
 
 

@@ -1,8 +1,11 @@
 """Near copies of texts: groups of rows whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-Rows with equal shingle sets are one node. Minima of every node's set under 240 hash
-functions are banded (48 bands of 5); nodes that share a band are candidates, and
-only candidates whose whole sets are similar enough, counted exactly, are linked.
+Rows with equal shingle sets are one node. Candidates come from the components of
+``simhash`` (fingerprints within two bits of each other, as ``op6_simhash`` links them):
+a component is a band of its nodes. Texts that are similar lie further apart than that
+as a rule, so minima of every node's set under 240 hash functions are banded as well
+(48 bands of 5); nodes that share a band are candidates, and only candidates whose
+whole sets are similar enough, counted exactly, are linked.
 Two sets with a similarity of just 0.8 share no band with a chance of 5 in a billion.
 
 Candidates are confirmed in two rounds: first every node against the least node of
@@ -30,11 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
+from lumaprof.llm import simhash
 from lumaprof.llm.common import Scratch, slices
 from lumaprof.llm.components import components
 from lumaprof.llm.simhash import shingle_hashes
 
 WORDS = 5
+#: Words of a fingerprint's shingles and the bits in which linked fingerprints differ at most.
+PRINT_WORDS, PRINT_BITS = 3, 2
 #: Sets are similar if their intersection is at least 4/5 of their union.
 SHARED, OF = 4, 5
 BANDS, ROWS = 48, 5
@@ -64,17 +70,28 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _described(rows: DataFrame) -> DataFrame:
-    """(one, two, doc_id, shingles, digest, bands) of every row; ``one`` and ``two`` name the row."""
+    """(one, two, doc_id, shingles, digest, bands, fp) of every row; ``one`` and ``two`` name the row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [shingle_set(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()]
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                sets = [shingle_set(t or b"") for t in texts]
+                prints = simhash.majorities([shingle_hashes(t or b"", PRINT_WORDS) for t in texts]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in ("one", "two", "doc_id")), pa.array([s.size for s in sets], pa.int32()),
                      pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                     pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["one", "two", "doc_id", "shingles", "digest", "bands"])
+                     pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array(prints)],
+                    ["one", "two", "doc_id", "shingles", "digest", "bands", "fp"])
+
+    return rows.mapInArrow(run, "one bigint, two bigint, doc_id bigint, shingles int, digest binary, bands array<bigint>, fp bigint")
+
 
-    return rows.mapInArrow(run, "one bigint, two bigint, doc_id bigint, shingles int, digest binary, bands array<bigint>")
+def _print_bands(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, shingles, band): the components of fingerprints as bands, named by their least fingerprint."""
+    prints = scratch.written(nodes.select("node", "shingles", F.explode("prints").alias("fp")), "prints")
+    roots = components(simhash.links(prints.select("fp").distinct(), PRINT_BITS))
+    placed = prints.join(roots.withColumnRenamed("u", "fp"), "fp", "left")
+    return placed.select("node", "shingles", F.coalesce("root", "fp").alias("band")).distinct()
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -170,14 +187,14 @@ def _links(docs: DataFrame, nodes: DataFrame, few: int, block: int, scratch: Scr
 
     ``nodes`` is the scratch table of that name, which is gone afterwards, as is every table but the result's.
     """
-    bands = nodes.select("node", "shingles", F.explode("bands").alias("band"))
+    bands = nodes.select("node", "shingles", F.explode("bands").alias("band")).unionByName(_print_bands(nodes, scratch))
     # Most bands have one member and are neither written nor joined on.
     shared = bands.groupBy("band").agg(F.min(F.struct("node", "shingles")).alias("first"), F.count("*").alias("_n")).filter("_n > 1")
     seats = scratch.written(bands.join(shared.select("band", F.col("first.node").alias("first"), F.col("first.shingles").alias("first_shingles")), "band"), "seats")
     candidates = nodes.select("one", "two", "node").join(seats.select("node").distinct(), "node", "left_semi")
     # Rows that are equal in all columns give one set.
     sets = scratch.written(_sets(docs.join(candidates, ["one", "two"]).select("node", "text")).dropDuplicates(["node"]), "sets")
-    scratch.drop("nodes")
+    scratch.drop("nodes", "prints")
     tried = scratch.written(seats.filter("first < node").filter(_of_like_size("shingles", "first_shingles"))
                             .select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), "tried")
     linked = _confirmed(tried, sets, scratch, "linked")
@@ -213,7 +230,9 @@ def one_of_each(docs: DataFrame, few: int = FEW, block: int = BLOCK) -> DataFram
     rows = scratch.written(_described(docs.select(*names, F.col("doc_id").cast("bigint").alias("doc_id"), "text")), "described")
     # The least row stands for all rows with its set. Its bands are moved, those of its copies end here.
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "one", "two", "shingles", "bands")
-    least = rows.groupBy("digest").agg(F.min(row).alias("x")).select("x.*").withColumn("node", F.monotonically_increasing_id())
+    # Texts with equal sets may repeat their shingles differently, and then have fingerprints of their own.
+    least = rows.groupBy("digest").agg(F.min(row).alias("x"), F.collect_set("fp").alias("prints")).select(
+        "x.*", "prints").withColumn("node", F.monotonically_increasing_id())
     nodes = scratch.written(least, "nodes")
     # Without the bands, which are not kept for longer than the links need them.
     narrow = scratch.written(nodes.select("no_id", "doc_id", "one", "two", "node"), "narrow")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumaprof.llm import near_copies, pii, quality, sharding, warc
+from lumaprof.llm import near_copies, pii, quality, sharding, simhash, warc
 
 SF = "/root/testdata/sf0.01"
 
@@ -335,6 +335,26 @@ def test_pipeline_against_its_parts(spark):
     assert rows.groupby("doc_id")["length"].sum().to_dict() == wanted
 
 
+def test_pipeline_takes_candidates_from_the_links_of_fingerprints(spark, monkeypatch):
+    """A text with one word changed among many repeats is linked by its fingerprint alone: minima get no band here."""
+    seen, links = [], simhash.links
+
+    def recorded(prints, bits, **limits):
+        seen.append((bits, {r.fp for r in prints.collect()}))
+        return links(prints, bits, **limits)
+
+    monkeypatch.setattr(simhash, "links", recorded)
+    words = [f"w{n}" for n in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:200] + words[199:])), (3, "else"), (4, None)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == [1, 3, 4]
+    assert seen == [(2, {r.fp for r in simhash.fingerprints(docs).collect()})]
+    nodes = near_copies._described(docs.selectExpr("doc_id AS one", "doc_id AS two", "doc_id", "text"))
+    lone = nodes.selectExpr("one", "two", "doc_id AS node", "shingles", "cast(array() AS array<bigint>) AS bands", "array(fp) AS prints")
+    scratch = near_copies.Scratch(spark, "lone")
+    found = near_copies._links(docs.selectExpr("doc_id AS one", "doc_id AS two", "text"), scratch.written(lone, "nodes"), 32, 4096, scratch)
+    assert [tuple(r) for r in found.collect()] == [(2, 1)]
+
+
 def test_columns_of_any_name_come_back_as_they_are(spark):
     docs = spark.createDataFrame([(1, "a b", 70, "x"), (2, "a b", 71, "y"), (3, "c", 72, None)], "doc_id bigint, text string, _row bigint, `one two` string")
     found = near_copies.one_of_each(docs)
