@@ -121,23 +121,13 @@ def map_text(metrics: Column) -> Column:
     return F.to_json(F.map_from_entries(entries))
 
 
-def _any(maps: list[Column], test) -> Column:
-    found = F.lit(False)
-    for metrics in maps:
-        found = found | F.exists(F.map_values(metrics), test)
-    return found
-
-
 def row_status(maps: list[Column]) -> Column:
     """``NonZero|Missing|Unresolved|Undefined`` or ``0``; NonZero means above 0."""
-    flags = F.concat_ws(
-        "|",
-        F.when(_any(maps, lambda m: (m["state"] == "number") & (m["value"] > 0)), F.lit("NonZero")),
-        F.when(_any(maps, lambda m: m["state"] == "missing"), F.lit("Missing")),
-        F.when(_any(maps, lambda m: m["state"] == "unresolved"), F.lit("Unresolved")),
-        F.when(_any(maps, lambda m: m["state"] == "undefined"), F.lit("Undefined")),
-    )
-    return F.when(flags == "", F.lit("0")).otherwise(flags)
+    # The values of all maps are gone through once.
+    states = F.transform(F.concat(*[F.map_values(m) for m in maps]), lambda m: F.when(
+        m["state"] == "number", F.when(m["value"] > 0, F.lit("NonZero"))).otherwise(F.initcap(m["state"])))
+    return bound(F.array_distinct(states), lambda seen: F.coalesce(F.nullif(F.concat_ws("|", *[
+        F.when(F.array_contains(seen, name), F.lit(name)) for name in ("NonZero", "Missing", "Unresolved", "Undefined")]), F.lit("")), F.lit("0")))
 
 
 def row_detail(maps: list[Column]) -> Column:

@@ -278,21 +278,24 @@ def finish(lines: DataFrame, plan: CounterPlan) -> DataFrame:
     columns of the line operators above plus the three sparse metric maps.
     """
     empty = F.create_map().cast(f"map<string,{M.TYPE}>")
+    # The totals of files are met by the counters; the metric maps made of them are not moved.
+    rows = percentages(lines.select(
+        *LINE, "code", *[F.coalesce(c, F.lit("")).alias(c) for c in ("function", "module", "cpu", "thread")],
+        F.coalesce("sample_count", F.lit(0)).alias("sample_count"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("self_weight", "accumulated_weight")], "event_samples", *METRIC_MAPS[1:]))
     counts = F.coalesce("event_samples", F.create_map().cast("map<string,bigint>"))
-    samples = F.coalesce("sample_count", F.lit(0))
     spe = F.coalesce("spe_values", empty)
     if not plan.spe_available:
         reason = M.missing(plan.spe_missing_reason or "SPE unavailable")
         spe = F.map_from_entries(F.transform(
             F.array(*[F.lit(k) for k in spe_column_keys()]), lambda k: F.struct(k, reason)))
-    rows = lines.select(
-        *LINE, "code", *[F.coalesce(c, F.lit("")).alias(c) for c in ("function", "module", "cpu", "thread")],
-        samples.alias("sample_count"),
-        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("self_weight", "accumulated_weight")],
-        pmu_values(counts, samples, plan).cast(f"map<string,{M.TYPE}>").alias("pmu_values"),
-        spe.alias("spe_values"), *[F.coalesce(c, empty).alias(c) for c in METRIC_MAPS[2:]])
+    finished = rows.select(
+        *LINE, "code", "function", "module", "cpu", "thread", "sample_count", "self_weight", "accumulated_weight",
+        pmu_values(counts, F.col("sample_count"), plan).cast(f"map<string,{M.TYPE}>").alias("pmu_values"),
+        spe.alias("spe_values"), *[F.coalesce(c, empty).alias(c) for c in METRIC_MAPS[2:]],
+        "p_pct", "acc_p_pct", "file_p_pct", "file_acc_p_pct")
     maps = [F.col(m) for m in METRIC_MAPS]
-    return percentages(rows).withColumns({"status": M.row_status(maps), "detail": M.row_detail(maps)})
+    return finished.withColumns({"status": M.row_status(maps), "detail": M.row_detail(maps)})
 
 
 def summarize_files(rows: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lumaprof.functions import address as A
 from lumaprof.functions import paths as P
 from lumaprof.operators.lookup import first_containing, latest_before
+from lumaprof.operators.reuse import cut
 
 _MAP_COLUMNS = ["start", "end", "offset", "load_bias", "module_id"]
 
@@ -38,7 +39,7 @@ def to_module(addresses: DataFrame, maps: DataFrame) -> DataFrame:
     A nonzero mapping id is final, even if the address lies outside it; only
     id 0 asks for a range lookup. Tags are masked first.
     """
-    keys = addresses.select("mapping_id", F.col("ip").alias("raw_ip")).distinct().withColumn(
+    keys = cut(addresses.select("mapping_id", F.col("ip").alias("raw_ip")).distinct()).withColumn(
         "ip", A.untagged(F.col("raw_ip")))
     by_id = keys.filter("mapping_id <> 0").join(_first_mapping(maps), "mapping_id", "left")
     in_range = narrowest_mapping(keys.filter("mapping_id = 0"), maps).drop("mapping_id")

@@ -33,14 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """Computed at once and checkpointed in the shared folder: plans on top of it neither hold nor print its own.
+    """Computed at once and written to the shared folder: plans on top of it neither hold nor print its own.
 
     For results that results are built of in turn: nested persisted plans are walked
     once per reference at every adaptive step, which costs the driver more than the
-    work. Spark's cleaner removes the files if it is told to.
+    work. A compressed table in columns, so that a later step reads only those it asks
+    for; a checkpoint holds whole rows as they lie in memory.
     """
-    shared_dir(rows.sparkSession)
-    return rows.checkpoint()
+    return Scratch(rows.sparkSession, "cut").written(rows, "rows")
 
 
 class Scratch:

@@ -51,6 +51,7 @@ def place(profile: Profile) -> Placed:
         base = cut(sampling.base_frequency(profile.spe, profile.spe_classes))
         lanes = lanes.unionByName(spe_rows.select("mapping_id", "ip", F.lit(1).alias("lane")))
     addresses = lanes.groupBy("mapping_id", "ip").agg(F.min("lane").alias("lane"))
+    addresses = cut(addresses) if profile.spe is not None else addresses
     resolved = resolve.address_lines(addresses, profile.maps, profile.matches, profile.line_table)
     placed = addresses.join(resolved, ["mapping_id", "ip"]) if profile.spe is not None else resolved.withColumn("lane", F.lit(0))
     return Placed(by_address, cut(placed), spe_rows, base)

@@ -1,6 +1,49 @@
 """Steps that many queries share: bounded sweeps and aggregations by hash."""
 
-from lumaprof.operators import callstacks, lookup, stack_text
+from pyspark.sql import functions as F
+
+from lumaprof.functions import metric_value as M
+from lumaprof.operators import callstacks, lookup, reuse, stack_text
+
+
+def test_cut_is_a_table_in_columns(spark):
+    """A later step reads the columns it asks for, and no plan before the cut."""
+    rows = spark.range(50).selectExpr("id", "repeat('long', 200) AS text", "map('a', struct(id AS n)) AS m", "array(id) AS l")
+    held = reuse.cut(rows)
+    assert sorted(map(tuple, held.select("id", "text").collect())) == sorted(map(tuple, rows.select("id", "text").collect()))
+    assert [r.m["a"].n for r in held.orderBy("id").collect()] == list(range(50))
+    plan = held.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan and "text" not in plan
+
+
+def test_segments_are_swept_once(spark, monkeypatch):
+    swept = spark.sparkContext.accumulator(0)
+    sweep = lookup._sweep
+
+    def counted(*names):
+        run = sweep(*names)
+
+        def one(rows):
+            swept.add(1)
+            return run(rows)
+
+        return one
+
+    monkeypatch.setattr(lookup, "_sweep", counted)
+    spans = spark.range(40).selectExpr("id * 3 AS lo", "id * 3 + 2 AS hi", "id AS i")
+    points = spark.range(120).selectExpr("id AS p")
+    found = lookup.first_containing(points, spans, "p", "lo", "hi", ["i"], ["i"])
+    assert {(r.p, r.i) for r in found.collect()} == {(3 * i + d, i) for i in range(40) for d in (0, 1)}
+    assert swept.value == 1
+
+
+def test_status_of_all_maps(spark):
+    value = lambda state, number=None: f"named_struct('state', '{state}', 'value', cast({number or 'NULL'} AS double), 'reason', NULL)"
+    rows = spark.sql(f"""SELECT map('a', {value('number', 1)}, 'b', {value('missing')}) AS x, map('c', {value('undefined')}) AS y
+        UNION ALL SELECT map('a', {value('number', -1)}), map('c', {value('number')})
+        UNION ALL SELECT map('a', {value('unresolved')}), map('c', {value('number', 2)})""")
+    found = rows.select(M.row_status([F.col("x"), F.col("y")]).alias("s")).collect()
+    assert sorted(r.s for r in found) == ["0", "NonZero|Missing|Undefined", "NonZero|Unresolved"]
 
 
 def test_a_sweep_has_a_bounded_slice_without_being_asked(spark, monkeypatch):
