@@ -44,6 +44,8 @@ PRINT_WORDS, PRINT_BITS = 3, 2
 #: Sets are similar if their intersection is at least 4/5 of their union.
 SHARED, OF = 4, 5
 BANDS, ROWS = 48, 5
+#: Bytes of texts that are described, and that give sets, at once: their shingle hashes are some twenty times as large.
+DESCRIBED_BYTES, SET_BYTES = 1 << 20, 2 << 20
 #: Shingles hashed at once by all functions.
 STEP = 256
 #: Nodes of one band that a join pairs; of more, bitmaps (of so many bytes) are compared in blocks of so many nodes.
@@ -69,21 +71,23 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return ((rows * _ODD[:ROWS]).sum(axis=1, dtype=np.uint64) ^ _SALT[:BANDS]).view(np.int64)
 
 
+def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets, bands and fingerprints of (one, two, doc_id, text), of a bounded number of bytes at once."""
+    for batch in batches:
+        for part in slices(batch, "text", DESCRIBED_BYTES):
+            texts = part.column("text").cast(pa.binary()).to_pylist()
+            sets = [shingle_set(t or b"") for t in texts]
+            prints = simhash.majorities([shingle_hashes(t or b"", PRINT_WORDS) for t in texts]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in ("one", "two", "doc_id")), pa.array([s.size for s in sets], pa.int32()),
+                 pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                 pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array(prints)],
+                ["one", "two", "doc_id", "shingles", "digest", "bands", "fp"])
+
+
 def _described(rows: DataFrame) -> DataFrame:
     """(one, two, doc_id, shingles, digest, bands, fp) of every row; ``one`` and ``two`` name the row."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                sets = [shingle_set(t or b"") for t in texts]
-                prints = simhash.majorities([shingle_hashes(t or b"", PRINT_WORDS) for t in texts]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("one", "two", "doc_id")), pa.array([s.size for s in sets], pa.int32()),
-                     pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                     pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array(prints)],
-                    ["one", "two", "doc_id", "shingles", "digest", "bands", "fp"])
-
-    return rows.mapInArrow(run, "one bigint, two bigint, doc_id bigint, shingles int, digest binary, bands array<bigint>, fp bigint")
+    return rows.mapInArrow(describe, "one bigint, two bigint, doc_id bigint, shingles int, digest binary, bands array<bigint>, fp bigint")
 
 
 def _print_bands(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -114,7 +118,7 @@ def _sets(rows: DataFrame) -> DataFrame:
     """(node, n, hashes, bits): the shingle set of every row, its size and its bitmap in words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", SET_BYTES):
                 sets = [shingle_set(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("node"), pa.array([s.size for s in sets], pa.int32()),

@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -202,3 +204,15 @@ def test_ann_of_few(spark):
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann.search(few).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 50), (0, 2, 3), (0, 3, 3), (50, 1, 0), (50, 2, 3), (50, 3, 3)]
     assert ann.search(few.limit(0)).count() == 0
+
+
+def test_texts_are_described_in_bounded_memory():
+    texts = [" ".join(f"w{(n * 7919 + i) % 5003}" for i in range(1500)) for n in range(900)]  # 8 MB in one batch
+    batch = pa.RecordBatch.from_pydict({"one": list(range(900)), "two": list(range(900)), "doc_id": list(range(900)), "text": texts})
+    tracemalloc.start()
+    parts = list(near_copies.describe([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(p.num_rows for p in parts) == 900 and peak < 60 << 20
+    whole = [near_copies.shingle_set(t.encode()).size for t in texts]
+    assert [n for p in parts for n in p.column("shingles").to_pylist()] == whole

@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -103,6 +104,16 @@ def test_packing_pads_little(spark):
     assert sums.max() <= 4096 and padding < 0.01 * sums.sum()
 
 
+def test_packing_gives_rows_before_many_pieces_are_held(spark, monkeypatch):
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    taken = []
+    docs = type("Docs", (), {"select": lambda self, *c: self, "mapInArrow": lambda self, run, schema: taken.append(run)})()
+    packing.pack(docs, WORD, capacity=64, batch_windows=4)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(4000)), "text": ["one two three four"] * 4000})
+    parts = list(taken[0]([batch]))
+    assert max(p.num_rows for p in parts) < 2 * packing.PIECES and sum(sum(p.column("length").to_pylist()) for p in parts) == 4000 * 5
+
+
 def test_differencing_balances():
     random.seed(23)
     sizes = [random.randrange(1, 900) for _ in range(400)]
