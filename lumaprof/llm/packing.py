@@ -191,9 +191,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
 
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                for doc, text in zip(part.column("doc_id").to_pylist(), texts):
-                    packer.add(doc, words.encode(text or b"") + end)
+                for doc, ids in zip(part.column("doc_id").to_pylist(), words.encode_all(part.column("text"))):
+                    packer.add(doc, ids + end)
                     if len(packer.out) >= PIECES:
                         yield rows()
         packer.finish()

@@ -55,8 +55,8 @@ def sequences(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, end_
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [rest]
-                for text in part.column("text").cast(pa.binary()).to_pylist():
-                    ids = np.frombuffer(words.encode(text or b""), "<u4")
+                for whole in words.encode_all(part.column("text")):
+                    ids = np.frombuffer(whole, "<u4")
                     if ids.size and ids.max() > 0xFFFF:
                         raise ValueError("an id needs more than 16 bits")
                     found += [ids.astype("<u2").tobytes(), end]

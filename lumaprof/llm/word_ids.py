@@ -1,9 +1,11 @@
 """Ids of whole texts by a word-level BPE file (lower case, word ends, white space dropped).
 
 The tokenizers library gives the ids. No token of this kind of vocabulary spans
-white space, so each blank-separated piece is encoded once per worker and looked
-up from then on; pieces of plain Latin characters skip the library's normaliser
-and splitter, which do nothing to them but lower-case and cut at class borders.
+white space, so the texts of a slice are split at blanks and dictionary-encoded in
+Arrow: each distinct piece of a slice is encoded once and its ids are taken by
+index. Pieces of plain Latin characters skip the library's normaliser and splitter,
+which do nothing to them but lower-case and cut at class borders; their words are
+kept per worker in bounded dictionaries.
 """
 
 from __future__ import annotations
@@ -12,11 +14,22 @@ import os
 import re
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from lumaprof.llm.bpe import CACHE_ENTRIES, Kept, byte_symbols
 
 
+def _values(column: pa.Array) -> list[bytes]:
+    """The values of a binary column without nulls."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset).tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 class WordIds:
     """Text bytes to ids, as little-endian unsigned 32-bit integers."""
 
@@ -29,13 +42,13 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.table = dict(enumerate(byte_symbols()))
-        # Words are asked for only when their piece is new.
+        self.as_bytes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values(), default=-1) + 1)]
         self.words = Kept(self._word, CACHE_ENTRIES // 2)
         self.ascii_words = Kept(lambda word: self._ids(word.decode()), CACHE_ENTRIES // 2)
-        self.pieces = Kept(self._piece)
 
     def _ids(self, symbols: str) -> bytes:
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(symbols)])
+        as_bytes = self.as_bytes
+        return b"".join([as_bytes[t.id] for t in self.model.tokenize(symbols)])
 
     def _word(self, word: str) -> bytes:
         return self._ids(word.encode().decode("latin-1").translate(self.table))
@@ -54,7 +67,20 @@ class WordIds:
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, text.split()))
+        return b"".join(map(self._piece, text.split()))
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """What ``encode`` gives for each text of a column; null texts count as empty."""
+        if not len(texts):
+            return []
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        pieces = split.flatten().cast(pa.binary()).dictionary_encode()
+        # Ids of a long text may need more than 32-bit offsets.
+        ids = pa.array(map(self._piece, _values(pieces.dictionary)), pa.large_binary()).take(pieces.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(ids) + 1, 8 * ids.offset)[split.offsets.to_numpy()].tolist()
+        data = data or pa.py_buffer(b"")
+        return [data[a:b].to_pybytes() for a, b in zip(ends, ends[1:])]
 
 
 @lru_cache(2)

@@ -65,6 +65,19 @@ def test_word_ids_equal_the_library(odd_texts, word_tokenizer):
         assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == ids_of(word_tokenizer, text), repr(text[:80])
 
 
+def test_word_ids_of_a_column_ask_once_for_each_piece(odd_texts, word_tokenizer):
+    own, asked = WordIds(WORD), Counter()
+    piece = own._piece
+    own._piece = lambda p: (asked.update([p]), piece(p))[1]
+    texts = odd_texts * 3 + ["a\x0bb\x0cc\rd"]
+    for column in (pa.array(texts), pa.array(["cut off", *texts, "cut off"]).slice(1, len(texts))):
+        asked.clear()
+        found = own.encode_all(column)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [ids_of(word_tokenizer, t) for t in texts]
+        assert set(asked.values()) == {1} and b"cut" not in asked
+    assert own.encode_all(pa.array([], pa.string())) == [] and own.encode_all(pa.array([None, "", " \n"])) == [b""] * 3
+
+
 def check_packing(rows, docs, tokenizer, capacity):
     by_sequence, by_doc = {}, {}
     for r in rows:
