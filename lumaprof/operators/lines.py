@@ -16,6 +16,8 @@ from lumaprof.operators import sampling as S
 
 LINE = ["file", "line"]
 ADDRESS = ["mapping_id", "ip"]
+#: Entries of a metric map.
+ENTRIES = f"array<struct<key:string,value:{M.TYPE}>>"
 METRIC_MAPS = ["pmu_values", "spe_values", "instruction_values", "load_instruction_values"]
 
 
@@ -189,28 +191,60 @@ def frequency_by_line(base: DataFrame, placed: DataFrame, dimension: str) -> Dat
 
 
 def frequency_by_dimension(base: DataFrame, placed: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """Latency frequency of several dimensions at once: one join with the lines, one row per (line, dimension, name, latency)."""
-    rows = base.groupBy(*ADDRESS, *dimensions, "latency").agg(F.sum("cnt").alias("cnt"))
+    """Latency frequency of several dimensions at once: ``(line, dimension, name, latency, cnt)``; a latency may come in several rows.
+
+    Rows move once, by their line and before they are taken apart by dimension, so all
+    that follows per line finds them in place. ``base`` holds frequencies by address,
+    so a line has at most as many rows as its addresses have latencies.
+    """
+    rows = at_lines(base.select(*ADDRESS, *dimensions, "latency", "cnt"), placed).drop(*ADDRESS).repartition(*LINE)
+    merged = L.merge(rows, [*LINE, *dimensions])
     named = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("name")) for d in dimensions])
-    split = at_lines(rows, placed).select(*LINE, "latency", "cnt", F.inline(named)).filter("name is not null")
-    return L.merge(split, [*LINE, "dimension", "name"])
+    return merged.select(*LINE, "latency", "cnt", F.inline(named)).filter("name is not null")
+
+
+def statistics_by_line(freq: DataFrame) -> DataFrame:
+    """One row per line: the latency statistics of its names of all dimensions, a few numbers instead of 14 metrics a name."""
+    stats = L.statistics(freq, [*LINE, "dimension", "name"])
+    # At most the fixed vocabularies of the dimensions.
+    return stats.groupBy(*LINE).agg(F.collect_list(F.struct(*[c for c in stats.columns if c not in LINE])).alias("statistics"))
+
+
+def dimension_totals(by_line: DataFrame) -> Column:
+    """Samples ``n`` and ``cycles`` of all lines by dimension, from their statistics."""
+    whole = F.struct(F.sum("sample_count").alias("n"), F.coalesce(F.sum("latency_sum"), F.lit(0)).alias("cycles"))
+    per = by_line.select(F.inline("statistics")).groupBy("dimension").agg(whole.alias("_t"))
+    return per.agg(F.map_from_entries(F.collect_list(F.struct("dimension", "_t")))).scalar()
+
 
+def _sparse(entries: Column) -> Column:
+    return F.filter(entries, lambda e: ~((e["value"]["state"] == "number") & (e["value"]["value"] == 0.0)))
 
-def _sparse(values: DataFrame) -> DataFrame:
-    return values.filter(~((F.col("value.state") == "number") & (F.col("value.value") == 0.0)))
 
+def metric_entries(statistics: Column, dimension: str, total: Column, baseline: S.Baseline) -> Column:
+    """(key, value) of the nonzero metrics of a line in one dimension; see ``statistics_by_line`` and ``sampling.line_metrics``."""
+    def of_name(s: Column) -> Column:
+        values = S.line_metric_values(total, baseline, lambda name: s[name])
+        name = F.concat(F.lit(DIMENSION_PREFIX[dimension]), s["name"], F.lit("."))
+        return F.array(*[F.struct(F.concat(name, F.lit(metric)).alias("key"), value.alias("value")) for metric, value in values.items()])
 
-def metric_facts(long: DataFrame, maps: Mapping[str, str]) -> DataFrame:
-    """(file, line, map, key, value) of the nonzero metrics of lines, per dimension; see ``sampling.line_metrics``."""
-    of = lambda names: F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("dimension")]
-    key = F.concat(of({d: DIMENSION_PREFIX[d] for d in maps}), "name", F.lit("."), "metric")
-    return _sparse(long).select(*LINE, of(maps).alias("map"), key.alias("key"), "value")
+    return _sparse(F.flatten(F.transform(F.filter(statistics, lambda s: s["dimension"] == dimension), of_name)))
 
 
-def outcome_facts(spe_values: DataFrame, name: str) -> DataFrame:
-    """(file, line, map, key, value) of the nonzero outcome metrics of lines."""
+def outcome_facts(spe_values: DataFrame) -> DataFrame:
+    """(file, line, outcome): the nonzero outcome metrics of lines as a list of (key, value)."""
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in SPE_COLUMNS])
-    return _sparse(spe_values.select(*LINE, F.lit(name).alias("map"), F.inline(pairs)))
+    return spe_values.select(*LINE, _sparse(pairs).alias("outcome"))
+
+
+def no_outcome_facts(placed: DataFrame) -> DataFrame:
+    """``outcome_facts`` of a report without sampling."""
+    return placed.limit(0).select(*LINE, F.lit(None).cast(ENTRIES).alias("outcome"))
+
+
+def joined_entries(*lists: Column) -> Column:
+    """The (key, value) of several lists, which may be null, as one list."""
+    return F.concat(*[F.coalesce(e, F.array().cast(ENTRIES)) for e in lists])
 
 
 def name_facts(placed: DataFrame) -> DataFrame:
@@ -220,22 +254,20 @@ def name_facts(placed: DataFrame) -> DataFrame:
 
 
 def collected(facts: DataFrame) -> DataFrame:
-    """One row per sampled line from the long table of all its facts: counters, metrics, names and ids in one aggregation.
+    """One row per sampled line from the long table of its facts: counters, outcomes, names and ids in one aggregation.
 
     Facts are ``file, line`` and, null where they do not apply, the columns of
-    ``counters_by_line``, ``metric_facts``, ``name_facts`` and (cpu, tid). Lines that
-    have neither a counter nor a metric are left out.
+    ``counters_by_line``, ``outcome_facts``, ``name_facts`` and (cpu, tid). Lines that
+    have neither a counter nor an outcome are left out.
     """
     def first(column: str) -> Column:
         order = F.when(F.col(column) != "", F.col("name_order"))
         return F.coalesce(F.min_by(column, order), F.lit(""))
 
-    # At most the fixed vocabulary of a dimension.
-    maps = [F.map_from_entries(F.collect_list(F.when(F.col("map") == m, F.struct("key", "value")))).alias(m) for m in METRIC_MAPS[1:]]
     return facts.groupBy(*LINE).agg(
-        *_counter_columns(), *maps, first("function").alias("function"), first("module_id").alias("module"),
+        *_counter_columns(), F.first("outcome", ignorenulls=True).alias("outcome"), first("function").alias("function"), first("module_id").alias("module"),
         id_list_text(F.collect_set("cpu")).alias("cpu"), id_list_text(F.collect_set("tid")).alias("thread"),
-        F.bool_or(F.col("event_key").isNotNull() | F.col("map").isNotNull()).alias("_sampled")).filter("_sampled").drop("_sampled")
+        F.bool_or(F.col("event_key").isNotNull() | F.col("outcome").isNotNull()).alias("_sampled")).filter("_sampled").drop("_sampled")
 
 
 def line_names(placed: DataFrame) -> DataFrame:
@@ -260,31 +292,41 @@ def with_source(sampled: DataFrame, source: DataFrame) -> DataFrame:
         "code", F.coalesce("code", F.lit("")))
 
 
-def percentages(rows: DataFrame) -> DataFrame:
-    """Share of a line in the report and in its file, for self and accumulated weight."""
-    total = rows.agg(F.struct(F.sum("self_weight").alias("s"), F.sum("accumulated_weight").alias("a"))).scalar()
-    files = rows.groupBy("file").agg(F.sum("self_weight").alias("_fs"), F.sum("accumulated_weight").alias("_fa"))
+def with_copies(sampled: DataFrame, source: DataFrame) -> DataFrame:
+    """Sampled lines with ``copies``, the number of rows that ``with_source`` makes of each; no code is moved."""
+    return sampled.join(source.groupBy(*LINE).agg(F.count(F.lit(1)).alias("copies")), LINE, "left").withColumn(
+        "copies", F.coalesce("copies", F.lit(1)))
+
+
+def percentages(rows: DataFrame, copies: Column | None = None) -> DataFrame:
+    """Share of a line in the report and in its file, for self and accumulated weight; a row counts ``copies`` times in them."""
     own, acc = F.col("self_weight"), F.col("accumulated_weight")
+    times = F.lit(1) if copies is None else copies
+    total = rows.agg(F.struct(F.sum(own * times).alias("s"), F.sum(acc * times).alias("a"))).scalar()
+    files = rows.groupBy("file").agg(F.sum(own * times).alias("_fs"), F.sum(acc * times).alias("_fa"))
     return (
         rows.join(files, "file").withColumn("_t", total).select(
             *rows.columns, M.percent(own, F.col("_t.s")).alias("p_pct"), M.percent(acc, F.col("_t.a")).alias("acc_p_pct"),
             M.percent(own, F.col("_fs")).alias("file_p_pct"), M.percent(acc, F.col("_fa")).alias("file_acc_p_pct")))
 
 
-def finish(lines: DataFrame, plan: CounterPlan) -> DataFrame:
-    """Fill absent values, build the counter map, status, detail and percentages.
+def finish(lines: DataFrame, plan: CounterPlan, entries: Mapping[str, Column]) -> DataFrame:
+    """Fill absent values, build the maps, status and detail; metric maps are made of each row's numbers here, and never moved.
 
-    ``lines`` has ``file, line, code`` and, null where nothing was sampled, the
-    columns of the line operators above plus the three sparse metric maps.
+    ``lines`` has ``file, line, code`` and, null where nothing was sampled, the columns
+    of the line operators above and of ``percentages``: a line without weight has no
+    share in anything. ``entries`` are the lists of (key, value) of the metric maps.
     """
     empty = F.create_map().cast(f"map<string,{M.TYPE}>")
-    # The totals of files are met by the counters; the metric maps made of them are not moved.
-    rows = percentages(lines.select(
-        *LINE, "code", *[F.coalesce(c, F.lit("")).alias(c) for c in ("function", "module", "cpu", "thread")],
-        F.coalesce("sample_count", F.lit(0)).alias("sample_count"),
-        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("self_weight", "accumulated_weight")], "event_samples", *METRIC_MAPS[1:]))
+    # A row without a file is in no file's report.
+    rows = lines.filter("file is not null").withColumns({
+        **{c: F.coalesce(c, F.lit("")) for c in ("function", "module", "cpu", "thread")},
+        "sample_count": F.coalesce("sample_count", F.lit(0)),
+        **{c: F.coalesce(c, F.lit(0.0)) for c in (
+            "self_weight", "accumulated_weight", "p_pct", "acc_p_pct", "file_p_pct", "file_acc_p_pct")}})
     counts = F.coalesce("event_samples", F.create_map().cast("map<string,bigint>"))
-    spe = F.coalesce("spe_values", empty)
+    made = {m: F.coalesce(F.map_from_entries(entries[m]), empty) if m in entries else empty for m in METRIC_MAPS[1:]}
+    spe = made.pop("spe_values")
     if not plan.spe_available:
         reason = M.missing(plan.spe_missing_reason or "SPE unavailable")
         spe = F.map_from_entries(F.transform(
@@ -292,7 +334,7 @@ def finish(lines: DataFrame, plan: CounterPlan) -> DataFrame:
     finished = rows.select(
         *LINE, "code", "function", "module", "cpu", "thread", "sample_count", "self_weight", "accumulated_weight",
         pmu_values(counts, F.col("sample_count"), plan).cast(f"map<string,{M.TYPE}>").alias("pmu_values"),
-        spe.alias("spe_values"), *[F.coalesce(c, empty).alias(c) for c in METRIC_MAPS[2:]],
+        spe.alias("spe_values"), *[column.alias(m) for m, column in made.items()],
         "p_pct", "acc_p_pct", "file_p_pct", "file_acc_p_pct")
     maps = [F.col(m) for m in METRIC_MAPS]
     return finished.withColumns({"status": M.row_status(maps), "detail": M.row_detail(maps)})

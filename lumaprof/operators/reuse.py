@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +45,21 @@ def cut(rows: DataFrame) -> DataFrame:
     return Scratch(rows.sparkSession, "cut").written(rows, "rows")
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is made and run in here go when it has run, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables of one run in the shared folder, deleted by name once no later step reads them.
 
@@ -55,7 +72,9 @@ class Scratch:
 
     def written(self, rows: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        rows.write.option("compression", "zstd").parquet(path)
+        with _shuffles_removed(self.spark):
+            # What was made before keeps its shuffles, so the same rows are asked for anew.
+            rows.select("*").write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -75,12 +75,13 @@ def data_sources_by_address(samples: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("cnt"))
 
 
-def base_frequency(samples: DataFrame, classes: DataFrame) -> DataFrame:
+def base_frequency(samples: DataFrame, classes: DataFrame, keys: Sequence[str] = (*ADDRESS, "cpu")) -> DataFrame:
     """The fused pass: one frequency table that all category, class and kind outputs merge from.
 
     Samples are reduced first; only the frequencies meet the classes of their addresses.
+    ``keys`` are the address and, for outputs per cpu, the cpu.
     """
-    return classified(L.frequency(with_category(samples), [*ADDRESS, "cpu", "category"]), classes)
+    return classified(L.frequency(with_category(samples), [*keys, "category"]), classes)
 
 
 def address_and_cpu_frequency(base: DataFrame, dimension: str) -> DataFrame:
@@ -112,17 +113,21 @@ class Baseline:
     period: float
 
 
-def _or_missing(value: Column) -> Column:
+#: A statistic by name: a column of the row, or a field of a struct of statistics.
+Statistic = Callable[[str], Column]
+
+
+def _or_missing(value: Column, of: Statistic = F.col) -> Column:
     """A group with samples but no latency has no latency metric; an empty group has zeros."""
-    no_latency = (F.col("sample_count") > 0) & (F.col("latency_count") == 0)
+    no_latency = (of("sample_count") > 0) & (of("latency_count") == 0)
     return F.when(no_latency, M.missing(NO_LATENCY)).otherwise(M.number(F.coalesce(value, F.lit(0.0))))
 
 
-def _time_share(cycles: Column, denominator: Column, period: float) -> Column:
-    no_latency = (F.col("sample_count") > 0) & (F.col("latency_count") == 0)
+def _time_share(cycles: Column, denominator: Column, period: float, of: Statistic = F.col) -> Column:
+    no_latency = (of("sample_count") > 0) & (of("latency_count") == 0)
     return (
         F.when(no_latency, M.missing(NO_LATENCY))
-        .when(F.col("sample_count") == 0, M.number(F.lit(0.0)))
+        .when(of("sample_count") == 0, M.number(F.lit(0.0)))
         .when(denominator.isNull(), M.missing("PMU cpu_cycles baseline missing"))
         .when((denominator <= 0) | F.isnan(denominator) | (denominator == float("inf")),
               M.undefined("PMU cpu_cycles baseline is zero"))
@@ -130,15 +135,15 @@ def _time_share(cycles: Column, denominator: Column, period: float) -> Column:
     )
 
 
-def latency_metrics(denominator: Column, period: float) -> dict[str, Column]:
+def latency_metrics(denominator: Column, period: float, of: Statistic = F.col) -> dict[str, Column]:
     """The ten latency metrics of a statistics row."""
-    own = F.col("latency_sum").cast("double")
-    plain = {f"{p}_latency_cycles": _or_missing(F.col(f"{p}_latency_cycles"))
+    own = of("latency_sum").cast("double")
+    plain = {f"{p}_latency_cycles": _or_missing(of(f"{p}_latency_cycles"), of)
              for p in ("min", "max", "avg", "std", "p95", "p99")}
     tails = {}
     for suffix, total, scale in (("est_time_pct", own, 1.0), ("all_est_time_pct", denominator, period)):
         for tail in ("p95", "avg"):
-            tails[f"over_{tail}_{suffix}"] = _time_share(F.col(f"over_{tail}_sum"), total, scale)
+            tails[f"over_{tail}_{suffix}"] = _time_share(of(f"over_{tail}_sum"), total, scale, of)
     return plain | tails
 
 
@@ -149,28 +154,27 @@ def _long(stats: DataFrame, keys: Sequence[str], metrics: dict[str, Column]) ->
     return stats.select(*keys, F.inline_outer(pairs))
 
 
-def line_metrics(freq: DataFrame, baseline: Baseline, keys: Sequence[str] = ("file", "line"), within: str | None = None) -> DataFrame:
+def line_metric_values(total: Column, baseline: Baseline, of: Statistic = F.col) -> dict[str, Column]:
+    """The 14 metrics of the statistics of one (line, name); ``total`` has the report's samples ``n`` and ``cycles``."""
+    denominator = F.lit(baseline.cpu_cycles).cast("double")
+    return {
+        "sample_count": M.number(of("sample_count")),
+        "sample_pct": M.number(M.percent(of("sample_count"), total["n"])),
+        "spe_latency_pct": _or_missing(M.percent(of("latency_sum"), total["cycles"]), of),
+        "est_time_pct": _time_share(of("latency_sum"), denominator, baseline.period, of),
+        **latency_metrics(denominator, baseline.period, of),
+    }
+
+
+def line_metrics(freq: DataFrame, baseline: Baseline, keys: Sequence[str] = ("file", "line")) -> DataFrame:
     """Category, class or kind metrics of each line: 14 rows per (line, name).
 
     ``freq`` is ``(keys, name, latency, cnt)`` over attributed lines only, so its
-    sums are the report totals; with ``within``, one of the keys with few values, those of each value.
+    sums are the report totals.
     """
     whole = F.struct(F.sum("cnt").alias("n"), F.coalesce(F.sum(F.col("latency") * F.col("cnt")), F.lit(0)).alias("cycles"))
-    if within:
-        per = freq.groupBy(within).agg(whole.alias("_t")).agg(F.map_from_entries(F.collect_list(F.struct(within, "_t"))))
-        sums = per.scalar()[F.col(within)]
-    else:
-        sums = freq.agg(whole).scalar()
-    stats = L.statistics(freq, [*keys, "name"]).withColumn("_total", sums)
-    denominator = F.lit(baseline.cpu_cycles).cast("double")
-    metrics = {
-        "sample_count": M.number(F.col("sample_count")),
-        "sample_pct": M.number(M.percent(F.col("sample_count"), F.col("_total.n"))),
-        "spe_latency_pct": _or_missing(M.percent(F.col("latency_sum"), F.col("_total.cycles"))),
-        "est_time_pct": _time_share(F.col("latency_sum"), denominator, baseline.period),
-        **latency_metrics(denominator, baseline.period),
-    }
-    return _long(stats, [*keys, "name"], metrics)
+    stats = L.statistics(freq, [*keys, "name"]).withColumn("_total", freq.agg(whole).scalar())
+    return _long(stats, [*keys, "name"], line_metric_values(F.col("_total"), baseline))
 
 
 def cpu_metrics(freq: DataFrame, with_count: bool) -> DataFrame:

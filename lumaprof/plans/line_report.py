@@ -8,9 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaprof.functions import metric_value as M
 from lumaprof.operators import counters, lines, resolve, sampling
-from lumaprof.operators.reuse import cut
+from lumaprof.operators.reuse import Scratch
 
 MAPS = {"category": "spe_values", "class": "instruction_values", "kind": "load_instruction_values"}
 
@@ -32,7 +31,8 @@ class Profile:
 class Placed:
     """Address aggregates and where their addresses resolved to; everything later reads these.
 
-    ``addresses`` has one row per distinct address with its first ``lane``.
+    ``addresses`` has one row per distinct address with its first ``lane``. ``spe_base``
+    is not computed before it is read.
     """
 
     by_address: DataFrame
@@ -41,43 +41,58 @@ class Placed:
     spe_base: DataFrame | None = None
 
 
-def place(profile: Profile) -> Placed:
+def place(profile: Profile, held: Scratch) -> Placed:
     """Aggregate by address first, then resolve the distinct addresses of both lanes together."""
-    by_address = cut(counters.by_address(profile.samples))
+    by_address = held.written(counters.by_address(profile.samples), "by_address")
     lanes = by_address.select("mapping_id", "ip", F.lit(0).alias("lane"))
     spe_rows = base = None
     if profile.spe is not None:
-        spe_rows = cut(sampling.by_address(profile.spe))
-        base = cut(sampling.base_frequency(profile.spe, profile.spe_classes))
+        spe_rows = held.written(sampling.by_address(profile.spe), "spe_by_address")
+        # Its rows are as many as the samples: they are not written, but go on to their lines.
+        base = sampling.base_frequency(profile.spe, profile.spe_classes, sampling.ADDRESS)
         lanes = lanes.unionByName(spe_rows.select("mapping_id", "ip", F.lit(1).alias("lane")))
     addresses = lanes.groupBy("mapping_id", "ip").agg(F.min("lane").alias("lane"))
-    addresses = cut(addresses) if profile.spe is not None else addresses
+    addresses = held.written(addresses, "addresses") if profile.spe is not None else addresses
     resolved = resolve.address_lines(addresses, profile.maps, profile.matches, profile.line_table)
     placed = addresses.join(resolved, ["mapping_id", "ip"]) if profile.spe is not None else resolved.withColumn("lane", F.lit(0))
-    return Placed(by_address, cut(placed), spe_rows, base)
+    return Placed(by_address, held.written(placed, "placed"), spe_rows, base)
 
 
-def line_facts(profile: Profile, placed: Placed, plan: lines.CounterPlan) -> DataFrame:
-    """Everything that is known of sampled lines, of both lanes, as one long table."""
+def line_facts(profile: Profile, placed: Placed) -> DataFrame:
+    """What is known of sampled lines, of both lanes, as one long table; all but the latencies."""
     facts = [lines.counters_by_line(placed.by_address, placed.addresses), lines.name_facts(placed.addresses)]
     ids = counters.ids_by_address(profile.samples)
-    none = F.lit(None)
-    metrics = placed.addresses.limit(0).select(
-        *lines.LINE, none.cast("string").alias("map"), none.cast("string").alias("key"), none.cast(M.TYPE).alias("value"))
     if profile.spe is not None:
         ids = ids.unionByName(sampling.ids_by_address(profile.spe))
-        shown = {d: m for d, m in MAPS.items() if d != "category" or plan.spe_available}
-        freq = cut(lines.frequency_by_dimension(placed.spe_base, placed.addresses, list(shown)))
-        long = sampling.line_metrics(freq, plan.baseline, [*lines.LINE, "dimension"], within="dimension")
-        metrics = lines.metric_facts(long, shown)
-        if plan.spe_available:
-            outcome = lines.spe_line_values(lines.spe_counters_by_line(placed.spe_by_address, placed.addresses))
-            metrics = metrics.unionByName(lines.outcome_facts(outcome, MAPS["category"]))
+        outcome = lines.spe_line_values(lines.spe_counters_by_line(placed.spe_by_address, placed.addresses))
+        facts.append(lines.outcome_facts(outcome))
+    else:
+        facts.append(lines.no_outcome_facts(placed.addresses))
     seen = lines.at_lines(ids, placed.addresses).select(*lines.LINE, "cpu", "tid").distinct()
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*facts, metrics, seen])
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*facts, seen])
 
 
 def line_rows(profile: Profile, plan: lines.CounterPlan) -> DataFrame:
-    """Finished line rows: every source line, and every sampled line outside the source text."""
-    sampled = lines.collected(line_facts(profile, place(profile), plan))
-    return lines.finish(cut(lines.with_source(sampled, profile.source)), plan)
+    """Finished line rows: every source line, and every sampled line outside the source text.
+
+    What is written on the way is deleted as soon as no later step reads it; the rows
+    read two narrow tables, of the sampled lines and of their statistics, and the source.
+    """
+    held, entries = Scratch(profile.samples.sparkSession, "lines"), {}
+    placed = place(profile, held)
+    sampled = held.written(lines.collected(line_facts(profile, placed)), "sampled")
+    if profile.spe is not None:
+        shown = {d: m for d, m in MAPS.items() if d != "category" or plan.spe_available}
+        freq = lines.frequency_by_dimension(placed.spe_base, placed.addresses, list(shown))
+        statistics = held.written(lines.statistics_by_line(freq), "statistics")
+    held.drop("by_address", "spe_by_address", "addresses", "placed")
+    counted = held.written(lines.with_copies(sampled, profile.source), "counted")
+    held.drop("sampled")
+    rows = lines.percentages(counted, F.col("copies"))
+    if profile.spe is not None:
+        totals = lines.dimension_totals(statistics)
+        rows = rows.join(statistics, lines.LINE, "left").withColumn("totals", totals)
+        entries = {m: lines.metric_entries(F.col("statistics"), d, F.col("totals")[d], plan.baseline) for d, m in shown.items()}
+        if plan.spe_available:
+            entries["spe_values"] = lines.joined_entries(F.col("outcome"), entries["spe_values"])
+    return lines.finish(lines.with_source(rows, profile.source), plan, entries)
