@@ -49,9 +49,10 @@ def by_address(samples: DataFrame) -> DataFrame:
     )
 
 
-def ids_by_address(samples: DataFrame) -> DataFrame:
-    """``(mapping_id, ip, cpu, tid)`` seen together; the sets of an address derive from it."""
-    return address_hits(samples).select(*ADDRESS, "cpu", "tid").distinct()
+def ids_by_address(samples: DataFrame, distinct: bool = True) -> DataFrame:
+    """``(mapping_id, ip, cpu, tid)`` seen together; the sets of an address derive from it. Not ``distinct`` for one that takes in more lanes."""
+    ids = address_hits(samples).select(*ADDRESS, "cpu", "tid")
+    return ids.distinct() if distinct else ids
 
 
 def totals(samples: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -66,8 +66,10 @@ def by_address(samples: DataFrame) -> DataFrame:
     )
 
 
-def ids_by_address(samples: DataFrame) -> DataFrame:
-    return samples.select(*ADDRESS, "cpu", "tid").distinct()
+def ids_by_address(samples: DataFrame, distinct: bool = True) -> DataFrame:
+    """As ``counters.ids_by_address``."""
+    ids = samples.select(*ADDRESS, "cpu", "tid")
+    return ids.distinct() if distinct else ids
 
 
 def data_sources_by_address(samples: DataFrame) -> DataFrame:
@@ -75,13 +77,15 @@ def data_sources_by_address(samples: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("cnt"))
 
 
-def base_frequency(samples: DataFrame, classes: DataFrame, keys: Sequence[str] = (*ADDRESS, "cpu")) -> DataFrame:
+def base_frequency(samples: DataFrame, classes: DataFrame, keys: Sequence[str] = (*ADDRESS, "cpu"),
+                   held: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """The fused pass: one frequency table that all category, class and kind outputs merge from.
 
     Samples are reduced first; only the frequencies meet the classes of their addresses.
-    ``keys`` are the address and, for outputs per cpu, the cpu.
+    ``keys`` are the address and, for outputs per cpu, the cpu. ``held`` may write the
+    frequencies, so that their shuffle is over before that of the join.
     """
-    return classified(L.frequency(with_category(samples), [*keys, "category"]), classes)
+    return classified(held(L.frequency(with_category(samples), [*keys, "category"])), classes)
 
 
 def address_and_cpu_frequency(base: DataFrame, dimension: str) -> DataFrame:

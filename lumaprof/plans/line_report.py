@@ -31,8 +31,7 @@ class Profile:
 class Placed:
     """Address aggregates and where their addresses resolved to; everything later reads these.
 
-    ``addresses`` has one row per distinct address with its first ``lane``. ``spe_base``
-    is not computed before it is read.
+    ``addresses`` has one row per distinct address with its first ``lane``.
     """
 
     by_address: DataFrame
@@ -48,8 +47,8 @@ def place(profile: Profile, held: Scratch) -> Placed:
     spe_rows = base = None
     if profile.spe is not None:
         spe_rows = held.written(sampling.by_address(profile.spe), "spe_by_address")
-        # Its rows are as many as the samples: they are not written, but go on to their lines.
-        base = sampling.base_frequency(profile.spe, profile.spe_classes, sampling.ADDRESS)
+        # As many rows as samples, at worst: written before they meet their classes, which go on to the lines.
+        base = sampling.base_frequency(profile.spe, profile.spe_classes, sampling.ADDRESS, lambda rows: held.written(rows, "frequency"))
         lanes = lanes.unionByName(spe_rows.select("mapping_id", "ip", F.lit(1).alias("lane")))
     addresses = lanes.groupBy("mapping_id", "ip").agg(F.min("lane").alias("lane"))
     addresses = held.written(addresses, "addresses") if profile.spe is not None else addresses
@@ -58,18 +57,22 @@ def place(profile: Profile, held: Scratch) -> Placed:
     return Placed(by_address, held.written(placed, "placed"), spe_rows, base)
 
 
-def line_facts(profile: Profile, placed: Placed) -> DataFrame:
-    """What is known of sampled lines, of both lanes, as one long table; all but the latencies."""
-    facts = [lines.counters_by_line(placed.by_address, placed.addresses), lines.name_facts(placed.addresses)]
-    ids = counters.ids_by_address(profile.samples)
+def line_facts(profile: Profile, placed: Placed, held: Scratch) -> DataFrame:
+    """What is known of sampled lines, of both lanes, as one long table; all but the latencies.
+
+    Counters and ids are written by line, so that the shuffles of one are gone before those of the next.
+    """
+    facts = [held.written(lines.counters_by_line(placed.by_address, placed.addresses), "counters"), lines.name_facts(placed.addresses)]
+    ids = counters.ids_by_address(profile.samples, distinct=False)
     if profile.spe is not None:
-        ids = ids.unionByName(sampling.ids_by_address(profile.spe))
+        # The lanes share most addresses: they are told apart together.
+        ids = ids.unionByName(sampling.ids_by_address(profile.spe, distinct=False))
         outcome = lines.spe_line_values(lines.spe_counters_by_line(placed.spe_by_address, placed.addresses))
         facts.append(lines.outcome_facts(outcome))
     else:
         facts.append(lines.no_outcome_facts(placed.addresses))
-    seen = lines.at_lines(ids, placed.addresses).select(*lines.LINE, "cpu", "tid").distinct()
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*facts, seen])
+    seen = lines.at_lines(ids.distinct(), placed.addresses).select(*lines.LINE, "cpu", "tid").distinct()
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*facts, held.written(seen, "seen")])
 
 
 def line_rows(profile: Profile, plan: lines.CounterPlan) -> DataFrame:
@@ -80,12 +83,13 @@ def line_rows(profile: Profile, plan: lines.CounterPlan) -> DataFrame:
     """
     held, entries = Scratch(profile.samples.sparkSession, "lines"), {}
     placed = place(profile, held)
-    sampled = held.written(lines.collected(line_facts(profile, placed)), "sampled")
+    sampled = held.written(lines.collected(line_facts(profile, placed, held)), "sampled")
+    held.drop("by_address", "spe_by_address", "addresses", "counters", "seen")
     if profile.spe is not None:
         shown = {d: m for d, m in MAPS.items() if d != "category" or plan.spe_available}
         freq = lines.frequency_by_dimension(placed.spe_base, placed.addresses, list(shown))
         statistics = held.written(lines.statistics_by_line(freq), "statistics")
-    held.drop("by_address", "spe_by_address", "addresses", "placed")
+    held.drop("frequency", "placed")
     counted = held.written(lines.with_copies(sampled, profile.source), "counted")
     held.drop("sampled")
     rows = lines.percentages(counted, F.col("copies"))
